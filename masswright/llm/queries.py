@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, secrets, sharding
+from . import chat, fingerprints, quality, secrets, sharding
 from .common import read_table
 from .sql import ORACLES
 
@@ -15,6 +15,10 @@ from .sql import ORACLES
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -36,7 +40,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op6_secret_scans, op7_chat_formatting)
+    f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_sharding, op6_secret_scans, op7_chat_formatting)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
