@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, quality, secrets, sharding
+from . import chat, fingerprints, packing, quality, secrets, sharding, tokenfiles
 from .common import read_table
 from .sql import ORACLES
 
@@ -39,8 +39,23 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.parse_chats(chat.render_chats(messages)))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_table(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_sharding, op6_secret_scans, op7_chat_formatting)
+    f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_sharding, op5_packing, op6_secret_scans, op7_chat_formatting, op8_token_files)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
