@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, packing, quality, secrets, sharding, tokenfiles
+from . import chat, fingerprints, packing, quality, secrets, sharding, tokenfiles, warc
 from .common import read_table
 from .sql import ORACLES
 
@@ -15,6 +15,10 @@ from .sql import ORACLES
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_sharding, op5_packing, op6_secret_scans, op7_chat_formatting, op8_token_files)
+    f.__name__: f for f in (op1_warc, op2_fingerprints, op3_quality_rules, op4_sharding, op5_packing, op6_secret_scans, op7_chat_formatting, op8_token_files)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
