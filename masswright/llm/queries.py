@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, packing, quality, secrets, sharding, tokenfiles, warc
+from . import bpe, chat, fingerprints, jaccard, packing, quality, secrets, sharding, tokenfiles, warc
 from .common import read_table
 from .sql import ORACLES
 
@@ -58,8 +58,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_table(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_fingerprints, op3_quality_rules, op4_sharding, op5_packing, op6_secret_scans, op7_chat_formatting, op8_token_files)
+    f.__name__: f for f in (op1_warc, op2_fingerprints, op3_quality_rules, op4_sharding, op5_packing, op6_secret_scans, op7_chat_formatting, op8_token_files, op9_jaccard_join, op10_bpe)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
