@@ -202,3 +202,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kinds = {"doc_id": "long", "n_assign": "long", "n_access": "long", "n_hex": "long"}
     return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(scan, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with every secret in text replaced by a mark, all columns and rows kept; null texts stay null."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            column = batch.column(at)
+            maybe = pc.match_substring_regex(pc.fill_null(column, ""), MAYBE).to_pylist()
+            texts = [redact(t, base_spans(t) + confirmed_spans(t)) if look else t for t, look in zip(column.to_pylist(), maybe, strict=True)]
+            yield batch.set_column(at, "text", pa.array(texts, pa.string()))
+
+    return docs.mapInArrow(clean, docs.schema)
