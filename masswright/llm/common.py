@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
-DEFAULT_SHARED = "/tmp/checkpoints/masswright"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    This cuts lineage: a lost executor costs no recomputation of what came before, and
-    values that depend on the physical layout (partition ids) are fixed once written.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from masswright.session import shared_path, stage_table
 
+__all__ = ["bucket_bits", "read_table", "shared_path", "stage_table", "text_or_empty"]
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
