@@ -186,15 +186,20 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["blob"])
 
         for batch in batches:
-            for part in slices(batch, SHARD_IDS):
+            for part in slices(batch):
                 ids, n = encoder.encode_texts(pc.fill_null(part.column(1), ""))
                 ends = np.cumsum(n)
                 ids = np.insert(ids, ends, end_id).astype(np.uint32)
-                held.append((part.column(0).to_pylist(), n + 1, ids))
-                count += len(ids)
-                if count >= SHARD_IDS:
-                    yield blob()
-                    count = 0
+                n, names = n + 1, part.column(0).to_pylist()
+                shard = (count + np.cumsum(n)) // SHARD_IDS
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(n)]
+                stops = np.concatenate([[0], np.cumsum(n)])
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a and held:
+                        yield blob()
+                        count = 0
+                    held.append((names[a:b], n[a:b], ids[stops[a] : stops[b]]))
+                    count += int(stops[b] - stops[a])
         if held:
             yield blob()
 

@@ -8,12 +8,14 @@ are given to the tokenizers library, and ids are gathered back with NumPy.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
 #: Words a worker remembers; beyond that it forgets all and starts again (memory bound only).
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 700_000
 
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _LATIN_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)\Z")
 _workers: dict[str, WordEncoder] = {}
 
@@ -42,51 +44,68 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.is_last = np.array([t.endswith("</w>") for t in tokens])
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.ends = [0]
+        self.known: dict[str, int] = {"": 0}  # a word's slot: its ids are ids[ends[slot]:ends[slot + 1]]
+        self.ids, self.ends = array("I"), array("q", [0, 0])
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        slot = len(self.ends) - 1
+        self.known.update(zip(words, range(slot, slot + len(words)), strict=True))
+        self.ends.frombytes((len(self.ids) + np.cumsum(sizes)).astype("q").tobytes())
+        self.ids.frombytes(ids.astype("I").tobytes())
+
+    def _encode_forms(self, forms: list[str]) -> None:
+        """Runs of Latin letters are one token run each, with a mark on its last token, so many share a call."""
+        letters = [x for x in forms if _LATIN.fullmatch(x)]
+        single = [x for x in forms if not _LATIN.fullmatch(x)]
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for group, one in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(one.ids)
+            last = np.flatnonzero(self.is_last[ids])
+            if len(last) == len(group):
+                self._add(group, ids, np.diff(last, prepend=-1))
+            else:  # lower case of some letters has a mark of its own
+                single += group
+        for i in range(0, len(single), 50_000):
+            part = [x.ids for x in self.tokenizer.encode_batch_fast(single[i : i + 50_000], add_special_tokens=False)]
+            self._add(single[i : i + 50_000], np.array([i for x in part for i in x], np.uint32), np.array([len(x) for x in part], np.int64))
 
-    def _plain(self, word: str) -> tuple[str, str]:
-        """The word in the form it is remembered by, and split-off punctuation.
+    def _learn(self, words: list[str]) -> None:
+        """Words not known yet.
 
-        Case: the vocabulary lowers all text, which for ASCII words may come first.
-        Punctuation after Latin letters is a token run of its own.
+        Case and punctuation are taken off first, so that fewer forms are encoded: the
+        vocabulary lowers all text, which for ASCII words may come first, and punctuation
+        after Latin letters is a token run of its own.
         """
-        if word.isascii():
-            word = word.lower()
-        m = _LATIN_TAIL.match(word)
-        return (m[1], m[2]) if m else (word, "")
-
-    def _learn(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        parts, at = [self.ids], self.ends[-1]
-        for word, one in zip(words, encoded, strict=True):
-            ids = one.ids
-            parts.append(np.array(ids, np.uint32))
-            at += len(ids)
-            self.known[word] = len(self.ends) - 1
-            self.ends.append(at)
-        self.ids = np.concatenate(parts)
+        known, heads, tails = self.known, [], []
+        for word in words:
+            plain = word.lower() if word.isascii() else word
+            m = None if plain[-1].isalnum() else _LATIN_TAIL.match(plain)
+            heads.append(m[1] if m else plain)
+            tails.append(m[2] if m else "")
+        self._encode_forms([x for x in dict.fromkeys([*heads, *tails]) if x not in known])
+        rest = [k for k, word in enumerate(words) if word not in known]
+        slots = np.array([known[x] for k in rest for x in (heads[k], tails[k])], np.int64)
+        ends = np.array(self.ends)
+        starts, sizes = ends[slots], ends[slots + 1] - ends[slots]
+        self._add([words[k] for k in rest], np.array(self.ids, np.uint32)[ragged(starts, sizes)], sizes.reshape(-1, 2).sum(axis=1))
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and the number of ids of each."""
-        pairs = [self._plain(w) for w in words]
+        """Ids of all (distinct) words one after the other, and the number of ids of each."""
         if len(self.known) > MEMORY_WORDS:
             self.forget()
         known = self.known
-        new = list(dict.fromkeys(x for pair in pairs for x in pair if x and x not in known))
-        for i in range(0, len(new), 50_000):
-            self._learn(new[i : i + 50_000])
+        new = [w for w in words if w not in known]
+        if new:
+            self._learn(new)
+        slots = np.array([known[w] for w in words], np.int64)
         ends = np.array(self.ends)
-        empty = len(ends) - 1  # a slot without ids
-        ends = np.append(ends, ends[-1])
-        slots = np.array([known[x] if x else empty for pair in pairs for x in pair], np.int64)
         starts, sizes = ends[slots], ends[slots + 1] - ends[slots]
-        ids = self.ids[ragged(starts, sizes)]
-        return ids, sizes.reshape(-1, 2).sum(axis=1)
+        return np.array(self.ids, np.uint32)[ragged(starts, sizes)], sizes
 
     def encode_texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (an Arrow string array without nulls), and the number of ids of each."""
