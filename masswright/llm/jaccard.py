@@ -304,6 +304,22 @@ def near_links(texts: DataFrame, docs: DataFrame, n: int, threshold: Fraction, t
     return blocks.repartition(*where).sortWithinPartitions(*where).mapInArrow(work, "a long, b long, links long")
 
 
+def text_classes(docs: DataFrame, n: int, threshold: Fraction, tolerance: float) -> DataFrame:
+    """Every distinct text's class: key, class_id, n_links, n_copies and whether its smallest id and key stand for the class."""
+    signed = signatures(docs, n)
+    grouped = signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("signature").alias("signature"))
+    texts = stage_table(grouped.withColumn("node", F.monotonically_increasing_id()), "texts")
+    reports = stage_table(near_links(texts, docs, n, threshold, tolerance), "links")
+    links = reports.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
+    labels = connected_components(reports.where("b is not null"))
+    known = texts.select("node", "key", "id", "n_copies").join(labels, "node", "left").join(links, "node", "left")
+    known = known.select("key", "id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Null ids come last, so that a class is named by a real id if it has one.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    classes = known.groupBy("root").agg(first)
+    return known.join(classes, "root").select("key", F.col("first.id").alias("class_id"), "n_links", "n_copies", (F.col("first.key") == F.col("key")).alias("stands"))
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), tolerance: float = 1e-6) -> DataFrame:
     """Near-duplicate classes of all rows of ``docs`` (doc_id, text).
 
@@ -319,21 +335,18 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4,
     are rows of their own (a null class_id means that all ids of the class are null).  An
     empty table gives an empty result; other columns are ignored.
     """
-    signed = signatures(docs, n)
-    grouped = signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("signature").alias("signature"))
-    texts = stage_table(grouped.withColumn("node", F.monotonically_increasing_id()), "texts")
-    reports = stage_table(near_links(texts, docs, n, threshold, tolerance), "links")
-    links = reports.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    labels = connected_components(reports.where("b is not null"))
-    known = texts.select("node", "key", "id", "n_copies").join(labels, "node", "left").join(links, "node", "left")
-    known = known.select("key", "id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = known.groupBy("root").agg(F.min("id").alias("class_id"))
-    known = known.join(classes, "root").select("key", "class_id", "n_links", "n_copies")
+    known = text_classes(docs, n, threshold, tolerance).drop("stands")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
     return rows.join(known, "key").select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def keep_one_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: one row with the class's smallest id."""
-    first = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+def keep_one_each(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), tolerance: float = 1e-6) -> DataFrame:
+    """One row of ``docs`` for each class of jaccard_join, whole and with all its columns.
+
+    It is the row with the smallest doc_id (ties: the smallest text hash; null ids come
+    last).  Of rows equal in id and text any one stays.
+    """
+    known = text_classes(docs, n, threshold, tolerance).where("stands").select("key", "class_id")
+    rows = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    stands = rows.join(known, (rows["key"] == known["key"]) & rows["id"].eqNullSafe(known["class_id"]), "left_semi")
+    return stands.dropDuplicates(["key"]).select("row.*")

@@ -30,6 +30,8 @@ from .tokens import ragged, slices, word_encoder
 MAGIC = b"RPTOK1\0\0"
 #: Ids per shard (a longer document is a shard of its own).
 SHARD_IDS = 2_000_000
+#: Shards per file, so that a file's size is bounded however much a range of ids holds.
+SHARDS_PER_FILE = 4
 ROUNDS = 8
 DENSE = 1024
 PAIRS_PER_ROUND = 512
@@ -163,8 +165,8 @@ class Blob:
 def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 2) -> str:
     """Tokenize every whole text of ``docs`` (doc_id, text) and write blobs in ascending doc_id order.
 
-    Files are range-partitioned by doc_id; a file is a run of blobs, each followed by a
-    line feed.  Null texts count as empty (the end id alone); null ids come first; rows
+    Rows are range-partitioned by doc_id; a range is written as files of SHARDS_PER_FILE
+    blobs, each followed by a line feed.  Null texts count as empty (the end id alone); null ids come first; rows
     with equal ids are ordered by text hash.  Returns the path.
     """
     ship_package(docs.sparkSession)
@@ -205,7 +207,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(encode, "blob binary").select(F.col("blob").cast("string").alias("value")).write.text(path)
+    ordered.mapInArrow(encode, "blob binary").select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", SHARDS_PER_FILE).text(path)
     return path
 
 
@@ -250,14 +252,15 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` as token files and read them back (see the two functions above).
 
     A document's start is its blob's start plus its place inside; blobs are ordered by
-    file number (files are numbered by range of doc_id) and then by place in the file.
+    file number (files are numbered by range of doc_id, then within the range) and then
+    by place in the file.
     """
     spark = docs.sparkSession
     rows = stage_table(read_token_files(spark, write_token_files(docs, vocabulary, end_id=end_id)), "token-rows")
     blobs = rows.groupBy("file", "blob").agg(F.sum("n_tokens").alias("n"))
     inside = Window.partitionBy("file").orderBy("blob").rowsBetween(Window.unboundedPreceding, -1)
-    files = blobs.groupBy("file").agg(F.sum("n").alias("n")).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = blobs.groupBy("file").agg(F.sum("n").alias("n")).select("file", "n", *[F.regexp_extract("file", pattern, 1).cast("long").alias(c) for c, pattern in (("part", r"part-(\d+)-"), ("chunk", r"-c(\d+)\.[^/]*$"))])
+    before = Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
     blobs = blobs.withColumn("blob_start", F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("n").join(files, "file")
     return rows.join(blobs, ["file", "blob"]).select("doc_id", (F.col("file_start") + F.col("blob_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
