@@ -33,7 +33,7 @@ def r(sql: str) -> str:
 
 LINE = "SELECT CAST(l_suppkey AS BIGINT) AS batch_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber, l_extendedprice, l_partkey) AS dirac_id, l_quantity / 50.0::DOUBLE AS x, CAST({mass} AS DOUBLE) AS mass FROM lineitem"
 POINTS = "SELECT row_number() OVER () AS rid, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS point_id, l_quantity / 50.0::DOUBLE AS px, l_discount * 10.0::DOUBLE AS py FROM lineitem"
-SITES = "SELECT CAST(p_partkey AS BIGINT) AS site_id, p_size / 50.0::DOUBLE AS sx, (p_retailprice - 900.0::DOUBLE) / 100.0::DOUBLE AS sy, 0.01::DOUBLE * (p_partkey % 3) AS w FROM part WHERE p_partkey < 40"
+SITES = "SELECT CAST(p_size AS BIGINT) AS site_id, p_size / 50.0::DOUBLE AS sx, CAST(sum(CAST(round(p_retailprice * 10) AS BIGINT)) % 1000 AS BIGINT) / 1000.0::DOUBLE AS sy, 0.01::DOUBLE * (p_size % 3) AS w FROM part GROUP BY p_size"
 ASSIGNED = f"""points AS ({POINTS}), sites AS ({SITES}),
 best AS (SELECT point_id, px, py, site_id, cost FROM (
   SELECT p.*, s.site_id, (px - sx) * (px - sx) + (py - sy) * (py - sy) - w AS cost,
@@ -294,13 +294,18 @@ def power_dual(spark, sf_dir):
     return power.dual_value(assigned(spark, sf_dir), part_sites(spark, sf_dir), F.lit(1.0)).select(rounded("dual").alias("dual"))
 
 
-@query(f"""WITH e AS (SELECT CAST(vec_id AS BIGINT) AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), c AS (
-SELECT a.v AS point_id, b.v AS site_id, list_sum(list_transform(range(1, 65), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) AS cost FROM e a, e b WHERE b.v < 16)
+@query(f"""WITH e AS (SELECT CAST(vec_id AS BIGINT) AS v, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+m AS (SELECT label, i, avg(x[i]) AS m FROM e, range(1, 65) t(i) GROUP BY ALL), s AS (SELECT label, list(m ORDER BY i) AS x FROM m GROUP BY label),
+c AS (SELECT e.v AS point_id, s.label AS site_id, list_sum(list_transform(range(1, 65), lambda i: (e.x[i] - s.x[i]) * (e.x[i] - s.x[i]))) AS cost FROM e, s)
 SELECT point_id, site_id, {r('cost')} AS cost FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY cost, site_id) AS k FROM c) WHERE k = 1""")
 def power_assign_64d(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("batch_id"), F.col("vec_id").cast("long").alias("point_id"), F.transform("embedding", lambda x: x.cast("double")).alias("pos"))
-    sites = e.where("point_id < 16").select("batch_id", F.col("point_id").alias("site_id"), "pos", F.lit(0.0).alias("weight"))
-    return power.assign(e, sites, ["point_id"]).select("point_id", "site_id", rounded("cost").alias("cost"))
+    """All embeddings assigned to the centroids of the labels."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("point_id"), F.col("label").cast("long").alias("site_id"), F.transform("embedding", lambda x: x.cast("double")).alias("pos"))
+    means = rows.select("site_id", F.posexplode("pos").alias("i", "x")).groupBy("site_id", "i").agg(F.avg("x").alias("m"))
+    centres = means.groupBy("site_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("pos"))
+    zero = F.lit(0).cast("long").alias("batch_id")
+    sites = centres.select(zero, "site_id", "pos", F.lit(0.0).alias("weight"))
+    return power.assign(rows.select(zero, "point_id", "pos"), sites, ["point_id"]).select("point_id", "site_id", rounded("cost").alias("cost"))
 
 
 @query(f"""WITH s AS ({SITES}) SELECT a.site_id AS site0, b.site_id AS site1, {r('b.sx - a.sx')} AS nx, {r('b.sy - a.sy')} AS ny,
@@ -498,7 +503,7 @@ def newton_matrix(spark, sf_dir):
 
 @query(None)
 def newton_plan(spark, sf_dir):
-    sites = part_sites(spark, sf_dir).where("site_id < 20")
+    sites = part_sites(spark, sf_dir)
     ids = [x["site_id"] for x in sites.select("site_id").collect()]
     plan = solver.newton(sites, dict.fromkeys(ids, 1.0), unit_grid(spark), [[0.0, 1.0]] * 2, tol=1e-6)
     return plan.rows.select("site_id", rounded("weight").alias("weight"), rounded("mass").alias("mass"))
@@ -506,6 +511,6 @@ def newton_plan(spark, sf_dir):
 
 @query(None)
 def lloyd_points(spark, sf_dir):
-    sites = part_sites(spark, sf_dir).where("site_id < 10").withColumn("weight", F.lit(0.0))
+    sites = part_sites(spark, sf_dir).withColumn("weight", F.lit(0.0))
     rows = solver.lloyd_discrete(line_points(spark, sf_dir), sites, 2, 3)
     return rows.select("site_id", rounded(F.get("pos", F.lit(0))).alias("x"), rounded(F.get("pos", F.lit(1))).alias("y"))

@@ -22,8 +22,9 @@ def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites (size / 50, (price - 900) / 100) of the first parts, weights 0, 0.01, 0.02."""
-    return table(spark, sf_dir, "part").where("p_partkey < 40").selectExpr("0L batch_id", "cast(p_partkey as bigint) site_id", "array(p_size / 50.0D, (p_retailprice - 900.0D) / 100.0D) pos", "0.01D * (p_partkey % 3) weight")
+    """Sites of the whole part table, one per size: (size / 50, last three digits of the size's total price), weights 0, 0.01, 0.02."""
+    rows = table(spark, sf_dir, "part").groupBy("p_size").agg(F.sum(F.round(F.col("p_retailprice") * 10).cast("long")).alias("total"))
+    return rows.selectExpr("0L batch_id", "cast(p_size as bigint) site_id", "array(p_size / 50.0D, total % 1000 / 1000.0D) pos", "0.01D * (p_size % 3) weight")
 
 
 def event_values(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
