@@ -7,7 +7,9 @@ bisector has cut it.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -31,10 +33,17 @@ def assign(points: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
     place = F.floor((F.row_number().over(Window.partitionBy("batch_id").orderBy("site_id")) - 1) / SITES_PER_BLOCK)
     rows = sites.select("batch_id", place.alias("block"), F.struct(F.col("site_id"), F.transform("pos", lambda x: x.cast("double")).alias("pos"), F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight")).alias("site"))
     blocks = rows.groupBy("batch_id", "block").agg(F.collect_list("site").alias("sites"))
-    many = sites.groupBy("batch_id").count().where(F.col("count") > SITES_PER_BLOCK).limit(1).count() > 0
+    most, dim = sites.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("pos")).alias("dim")).agg(F.max("n"), F.max("dim")).first()
+    many = (most or 0) > SITES_PER_BLOCK
+
+    def square(s: Column) -> Column:
+        if not 1 <= (dim or 0) <= 3:
+            return arrays.norm2(arrays.subtract(F.col("pos"), s["pos"]))
+        gaps = [F.get("pos", F.lit(d)) - F.get(s["pos"], F.lit(d)) for d in range(dim)]
+        return reduce(add, [g * g for g in gaps])
 
     def cost(s: Column) -> Column:
-        return F.struct((arrays.norm2(arrays.subtract(F.col("pos"), s["pos"])) - s["weight"]).alias("cost"), s["site_id"].alias("site_id"))
+        return F.struct((square(s) - s["weight"]).alias("cost"), s["site_id"].alias("site_id"))
 
     found = points.join(blocks, "batch_id").withColumn("best", F.array_min(F.transform("sites", cost))).drop("sites", "block")
     if many:
