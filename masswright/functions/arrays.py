@@ -55,7 +55,8 @@ def norm(a: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    return scale(a, 1 / norm(a))
+    length = norm(a)
+    return F.transform(a, lambda x: x / length)
 
 
 def floors(a: Column) -> Column:

@@ -242,8 +242,9 @@ def cdf(pieces: DataFrame) -> DataFrame:
     mass = (F.col("y0") + F.col("y1")) / 2 * (F.col("x1") - F.col("x0"))
     whole = Window.partitionBy("batch_id")
     upto = whole.orderBy("x0", "piece").rowsBetween(Window.unboundedPreceding, 0)
-    rows = pieces.withColumn("piece_mass", mass)
-    rows = rows.withColumn("z", checked_total(F.sum("piece_mass").over(whole), "density")).where("piece_mass > 0")
+    rows = pieces.withColumn("piece_mass", mass).withColumn("z", F.sum("piece_mass").over(whole))
+    # One predicate: a separate filter on piece_mass would run first and leave nothing to check in an empty density.
+    rows = rows.where(F.when(checked_total(F.col("z"), "density") > 0, F.col("piece_mass") > 0))
     rows = rows.withColumn("c1", F.sum("piece_mass").over(upto) / F.col("z"))
     rows = rows.withColumn("c0", F.coalesce(F.lag("c1").over(whole.orderBy("x0", "piece")), F.lit(0.0)))
     last = F.lead("c1").over(whole.orderBy("x0", "piece")).isNull()
