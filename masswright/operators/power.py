@@ -175,6 +175,13 @@ def cells(sites: DataFrame, lo: list[float], hi: list[float], max_rounds: int =
     raise RuntimeError("cells are not secure after the last round")
 
 
+def boundary_distances(assigned: DataFrame, diagram: DataFrame) -> DataFrame:
+    """Adds to points (batch_id, site_id, pos) the distance to the boundary of their cell; outside it is negative."""
+    cuts = diagram.select("batch_id", "site_id", "cut_normals", "cut_offsets")
+    gaps = F.zip_with("cut_normals", "cut_offsets", lambda n, o: (o - arrays.dot(n, F.col("pos"))) / arrays.norm(n))
+    return assigned.join(cuts, ["batch_id", "site_id"]).withColumn("distance", F.array_min(gaps)).drop("cut_normals", "cut_offsets")
+
+
 def _axis(points: Column, d: int) -> Column:
     return F.transform(points, lambda v: F.get(v, F.lit(d)))
 

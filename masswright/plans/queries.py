@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from masswright.functions import arrays
 from masswright.operators import measures, ot1d, power, solver
+from masswright.session import shared_path
+from masswright.sources import vtk
 
 from .tables import event_values, line_diracs, line_points, part_sites, rounded, table
 
@@ -479,8 +481,32 @@ def unit_grid(spark):
     return measures.polynomial_grid(spark, [[[1.0]]])
 
 
+def small_weight_sites(spark, sf_dir):
+    return part_sites(spark, sf_dir).withColumn("weight", F.col("weight") * 0.1)
+
+
 def diagram(spark, sf_dir):
-    return power.cells(part_sites(spark, sf_dir).withColumn("weight", F.col("weight") * 0.1), [0.0, 0.0], [1.0, 1.0])
+    return power.cells(small_weight_sites(spark, sf_dir), [0.0, 0.0], [1.0, 1.0])
+
+
+@query(f"""WITH points AS ({POINTS}), s AS (SELECT site_id, sx, sy, w * 0.1 AS w FROM ({SITES})),
+best AS (SELECT * FROM (SELECT p.*, site_id, sx, sy, w, row_number() OVER (PARTITION BY rid ORDER BY (px - sx) ** 2 + (py - sy) ** 2 - w, site_id) AS k FROM points p, s) WHERE k = 1),
+gaps AS (SELECT rid, min(((o.sx - b.sx) * (b.sx - px) + (o.sy - b.sy) * (b.sy - py) + ((o.sx - b.sx) ** 2 + (o.sy - b.sy) ** 2 + b.w - o.w) / 2) / sqrt((o.sx - b.sx) ** 2 + (o.sy - b.sy) ** 2)) AS gap
+  FROM best b, s o WHERE o.site_id <> b.site_id GROUP BY rid)
+SELECT point_id, {r('least(gap, px, 1 - px, py, 1 - py)')} AS distance FROM best JOIN gaps USING (rid)""")
+def boundary_distances(spark, sf_dir):
+    found = power.assign(line_points(spark, sf_dir), small_weight_sites(spark, sf_dir), ["point_id"])
+    return power.boundary_distances(found, diagram(spark, sf_dir)).select("point_id", rounded("distance").alias("distance"))
+
+
+@query(None)
+def vtk_faces(spark, sf_dir):
+    """The diagram's polygons, written as VTK files and read back."""
+    path = shared_path(spark, "vtk")
+    vtk.write_vtk(vtk.cell_faces(diagram(spark, sf_dir), 2), path)
+    rows = vtk.read_vtk(spark, path)
+    corner = [F.transform("points", lambda p, d=d: F.round(F.get(p, F.lit(d)), 6)) for d in range(2)]
+    return rows.select("site_id", F.size("points").alias("n_points"), F.array_min(corner[0]).alias("x_min"), F.array_max(corner[0]).alias("x_max"), F.array_min(corner[1]).alias("y_min"), F.array_max(corner[1]).alias("y_max"))
 
 
 @query(None)
