@@ -176,10 +176,16 @@ def cells(sites: DataFrame, lo: list[float], hi: list[float], max_rounds: int =
 
 
 def boundary_distances(assigned: DataFrame, diagram: DataFrame) -> DataFrame:
-    """Adds to points (batch_id, site_id, pos) the distance to the boundary of their cell; outside it is negative."""
-    cuts = diagram.select("batch_id", "site_id", "cut_normals", "cut_offsets")
-    gaps = F.zip_with("cut_normals", "cut_offsets", lambda n, o: (o - arrays.dot(n, F.col("pos"))) / arrays.norm(n))
-    return assigned.join(cuts, ["batch_id", "site_id"]).withColumn("distance", F.array_min(gaps)).drop("cut_normals", "cut_offsets")
+    """Adds to points (batch_id, site_id, pos) the distance to the boundary of their cell.
+
+    It is negative outside the cell, and null where the diagram lacks the cell.  The join
+    is outer since an inner one checks site_id for null first, which runs the assignment twice.
+    """
+    # Unit normals are made once a cell, not once a point.
+    unit = F.zip_with("cut_normals", "cut_offsets", lambda n, o: F.struct(arrays.normalized(n).alias("normal"), (o / arrays.norm(n)).alias("offset")))
+    cuts = diagram.select("batch_id", "site_id", unit.alias("cuts"))
+    gaps = F.transform("cuts", lambda c: c["offset"] - arrays.dot(c["normal"], F.col("pos")))
+    return assigned.join(cuts, ["batch_id", "site_id"], "left").withColumn("distance", F.array_min(gaps)).drop("cuts")
 
 
 def _axis(points: Column, d: int) -> Column:
