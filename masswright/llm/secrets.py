@@ -3,7 +3,8 @@
 Plain patterns find candidates; what the method adds is confirmed by structure before it
 is reported: base64 and hex runs are decoded and parsed as DER key encodings with nested
 lengths, OpenSSH private keys as length-prefixed fields, signed tokens by the JSON in
-their headers, and decoded text is scanned again for the plain patterns.
+their headers, and decoded text is scanned again for the plain patterns (but for bare hex)
+and for further encodings.
 """
 
 from __future__ import annotations
@@ -29,12 +30,19 @@ BASE = (
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "wrapped")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}(?![0-9A-Fa-f])")
+#: Armoured keys up to the next five dashes, header lines included.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
+PEM_LINE_END = re.compile(r"(?:\\r)?\\n|\\r")
+PEM_CIPHER = re.compile(r"Proc-Type:\s*4\s*,\s*ENCRYPTED\b.*?DEK-Info:\s*([A-Za-z0-9-]+)\s*,\s*((?:[0-9A-Fa-f]{16}){1,2})(?![0-9A-Fa-f])", re.S)
+
+#: The shortest base match, token=abcdef, has 12 characters: 16 in base64, 24 in hex.
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run may also be an encoding in one alphabet with a neighbour that only the other alphabet has.
+ONE_ALPHABET = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{24,}")
 
 #: A text matching none of these holds no candidate of any kind.
-MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|eyJ[A-Za-z0-9_-]|-----BEGIN |[A-Za-z0-9+/_-]{40}|[0-9A-Fa-f]{48}"
+MAYBE = r"(?i:password|passwd|secret|token|api_?key)|eyJ[A-Za-z0-9_-]|-----BEGIN |[A-Za-z0-9+/_-]{16}"
 
 
 def decode_base64(run: str) -> bytes | None:
@@ -129,6 +137,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, m.start(), m.end()) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
 
 
+def is_pem_key(body: str) -> bool:
+    """Whether the text between the marks of an armoured key is one: a key in base64, or a ciphertext under the headers that name its cipher."""
+    lines = PEM_LINE_END.sub("\n", body).splitlines()
+    start = max((i + 1 for i, x in enumerate(lines) if ":" in x), default=0)
+    data = decode_base64("".join("".join(lines[start:]).split()))
+    if not data:
+        return False
+    if is_private_key(data) or is_openssh_key(data):
+        return True
+    cipher = PEM_CIPHER.search("\n".join(lines[:start]))
+    return bool(cipher) and len(data) >= 16 and ("CBC" not in cipher[1].upper() or len(data) % (len(cipher[2]) // 2) == 0)
+
+
+def decoded_kind(data: bytes | None) -> str | None:
+    """der for a key, wrapped for bytes that hold a secret as text, encoded again or not, else None."""
+    if data is None:
+        return None
+    if is_private_key(data) or is_openssh_key(data):
+        return "der"
+    text = data.decode("latin-1")  # all patterns are ASCII
+    return "wrapped" if any(k != "hex" for k, _, _ in base_spans(text)) or confirmed_spans(text) else None
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure shows a secret."""
     found = []
@@ -136,24 +167,19 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         if is_signed_token(m[1], m[2]):
             found.append(("token", m.start(), m.end()))
     for m in PEM.finditer(text):
-        data = decode_base64("".join(m[2].split()))
-        if data is not None and (is_private_key(data) or is_openssh_key(data)):
+        if is_pem_key(m[2]):
             found.append(("pem", m.start(), m.end()))
     for m in BASE64_RUN.finditer(text):
-        data = decode_base64(m[0])
-        if data is None:
+        if kind := decoded_kind(decode_base64(m[0])):
+            found.append((kind, m.start(), m.end()))
             continue
-        if is_private_key(data) or is_openssh_key(data):
-            found.append(("der", m.start(), m.end()))
-        elif data.isascii() and any(k != "hex" for k, _, _ in base_spans(data.decode("ascii"))):
-            found.append(("wrapped", m.start(), m.end()))
+        parts = {x.span() for alphabet in ONE_ALPHABET for x in alphabet.finditer(text, m.start(), m.end())}
+        for start, end in sorted(parts - {m.span()}):
+            if kind := decoded_kind(decode_base64(text[start:end])):
+                found.append((kind, start, end))
     for m in HEX_RUN.finditer(text):
-        if len(m[0]) % 2 == 0:
-            data = bytes.fromhex(m[0])
-            if is_private_key(data) or is_openssh_key(data):
-                found.append(("der", m.start(), m.end()))
-            elif data.isascii() and any(k != "hex" for k, _, _ in base_spans(data.decode("ascii"))):
-                found.append(("wrapped", m.start(), m.end()))
+        if len(m[0]) % 2 == 0 and (kind := decoded_kind(bytes.fromhex(m[0]))):
+            found.append((kind, m.start(), m.end()))
     return found
 
 
