@@ -2,7 +2,7 @@
 
 A text is the multiset of its paragraphs, which are cut at sentence ends too.  Each
 paragraph is hashed to a wide vector of small signed numbers, and the fingerprint is the
-sum of these vectors modulo 2**16 in every lane.  Order does not matter, a paragraph is
+sum of these vectors modulo 2**40 in every lane.  Order does not matter, a paragraph is
 inserted by adding and deleted by subtracting its vector, and since lanes have mean zero
 the cosine of two fingerprints estimates how much of the multisets is shared.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 LANES = 64
-MODULUS_BITS = 16
+#: A text of at most 2**31 bytes has at most 2**30 paragraphs, so its lanes stay below 2**37 in size and never wrap.
+MODULUS_BITS = 40
 PARAGRAPH_END = r"\n|(?<=[.!?])\x20"
 _MASK = (1 << MODULUS_BITS) - 1
 
@@ -56,9 +57,9 @@ def likeness(a: Column, b: Column) -> Column:
         return F.when(x > _MASK // 2, x - (_MASK + 1)).otherwise(x)
 
     def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: signed(p) * signed(q)), F.lit(0).cast("long"), lambda s, v: s + v)
+        return F.aggregate(F.zip_with(x, y, lambda p, q: signed(p).cast("double") * signed(q)), F.lit(0.0), lambda s, v: s + v)
 
-    norms = F.sqrt(dot(a, a).cast("double")) * F.sqrt(dot(b, b).cast("double"))
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(a == b, 1.0).when(norms == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
