@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage_table
+
 SPACE = r"[\x20\x09-\x0D]"
 N_BINS = 10_000
 
@@ -62,21 +64,21 @@ def add_base_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def sample_trusted(labels: DataFrame, max_trusted: int) -> DataFrame:
-    """Ids of trusted documents, max_trusted at most: those first by hash of the id."""
-    ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all trusted documents, each once."""
+    return labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
 
 
 def fit_log_ratios(docs: DataFrame, trusted: DataFrame, n_bins: int = N_BINS, smoothing: float = 1.0) -> np.ndarray:
-    """log(p_trusted / p_corpus) of every bin; the corpus is all of ``docs``, duplicates included.
+    """log(p_trusted / p_corpus) of every bin; the corpus is all of ``docs`` (doc_id, text), duplicates included.
 
-    ``docs`` has word_hashes and doc_id; ``trusted`` is a bounded table of ids.  Only the
+    ``trusted`` has unique ids; Spark broadcasts them only if they are few.  Only the
     n_bins counts reach the driver.
     """
-    marked = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    marked = docs.join(trusted.withColumn("trusted", F.lit(1)).hint("shuffle_hash"), "doc_id", "left")
     counts = (
-        marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(ngram_bins(n_bins)).alias("bin"))
+        word_columns(marked)
+        .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(ngram_bins(n_bins)).alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("corpus"), F.sum("trusted").alias("trusted"))
         .collect()
@@ -88,6 +90,31 @@ def fit_log_ratios(docs: DataFrame, trusted: DataFrame, n_bins: int = N_BINS, sm
     return np.log(target / target.sum()) - np.log(corpus / corpus.sum())
 
 
+def exact_percentile(scores: DataFrame, p: float) -> float | None:
+    """The interpolated percentile of the column score, nulls left out; None without any.
+
+    Approximate percentiles bracket the place; only the distinct scores between them reach
+    the driver, and the bracket is widened until it holds the place.
+    """
+    scores = scores.where("score is not null")
+    width = 2e-4
+    while True:
+        ends = [F.percentile_approx("score", F.lit(q), F.lit(10_000)) for q in (max(0.0, p - width), min(1.0, p + width))]
+        n, low, high = scores.agg(F.count("score"), *ends).first()
+        if not n:
+            return None
+        below = scores.where(F.col("score") < low).count()
+        inside = scores.where(F.col("score").between(low, high)).groupBy("score").count().collect()
+        inside.sort(key=lambda r: r["score"])
+        at = p * (n - 1)
+        places = int(at), min(int(at) + 1, n - 1)
+        upto = below + np.cumsum([r["count"] for r in inside])
+        if below <= places[0] and places[1] < upto[-1]:
+            least, most = (inside[int(np.searchsorted(upto, k, side="right"))]["score"] for k in places)
+            return least + (most - least) * (at - places[0])
+        width *= 4
+
+
 def add_score(docs: DataFrame, log_ratios: np.ndarray) -> DataFrame:
     """Adds score: the mean log ratio of the document's n-grams, null if it has none."""
     table = F.lit(log_ratios)
@@ -99,7 +126,6 @@ def judge_quality(
     docs: DataFrame,
     labels: DataFrame,
     n_bins: int = N_BINS,
-    max_trusted: int = 50_000,
     percentile: float = 0.005,
     slack: float = 0.05,
     keep: tuple[str, ...] = (),
@@ -109,21 +135,21 @@ def judge_quality(
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, score, kept, and the columns named in ``keep``.  kept is false if the base
     rules fail, else whether score >= threshold; the threshold is ``percentile`` of the
-    scores of at most ``max_trusted`` trusted documents that pass the base rules, less
-    ``slack``.  Corpus counts cover all documents.
+    scores of all trusted documents that pass the base rules, less ``slack``.  Corpus
+    counts cover all documents, target counts all trusted ones.  Scores are written before
+    the threshold is taken, so each text is scored once.
 
     Null and empty texts have no words and fail the base rules.  Rows are judged on their
     own, so equal texts get equal verdicts and repeated or null ids pass through.  Without
     trusted documents every row that passes the base rules is kept.  Other columns of
     ``docs`` are ignored unless kept.
     """
-    rows = word_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c) for c in keep if c not in ("doc_id", "text")]))
-    trusted = sample_trusted(labels, max_trusted)
-    ratios = fit_log_ratios(rows.select("doc_id", "word_hashes"), trusted, n_bins)
-    known = add_score(add_base_columns(rows.select("doc_id", "text", "words", "word_hashes").join(F.broadcast(trusted), "doc_id", "left_semi")), ratios)
-    least = known.agg(F.percentile(F.when(~F.col("base_failed"), F.col("score")), F.lit(percentile))).first()[0]
-    judged = add_score(add_base_columns(rows), ratios)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c) for c in keep if c not in ("doc_id", "text")])
+    trusted = trusted_ids(labels)
+    ratios = fit_log_ratios(rows.select("doc_id", "text"), trusted, n_bins)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", *[c for c in keep if c != "doc_id"]]
+    judged = stage_table(add_score(add_base_columns(word_columns(rows)), ratios).select(*columns), "quality-scores")
+    known = judged.where(~F.col("base_failed")).select("doc_id", "score").join(trusted, "doc_id", "left_semi")
+    least = exact_percentile(stage_table(known.select("score"), "quality-trusted"), percentile)
     verdict = ~F.col("base_failed") & (F.lit(True) if least is None else F.col("score") >= F.lit(least - slack))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", *[c for c in keep if c != "doc_id"]]
-    # The generator keeps a filter on the verdict from being pushed into, and so repeating, the work above.
-    return judged.withColumn("kept", F.coalesce(verdict, F.lit(False))).select(F.inline(F.array(F.struct(*columns))))
+    return judged.withColumn("kept", F.coalesce(verdict, F.lit(False))).select(*columns[:8], "kept", *columns[8:])

@@ -200,6 +200,19 @@ def test_quality_without_labels_or_rows(spark, docs):
     assert quality.judge_quality(docs.limit(0), labels).count() == 0
 
 
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    docs = labels.select("doc_id", F.concat(F.lit("w"), F.col("doc_id") % 97, F.lit(" x"), F.col("doc_id") % 89).alias("text"))
+    judged = quality.judge_quality(docs, labels, n_bins=500)
+    # With all documents trusted both multinomials are equal; without some of them they are not.
+    assert judged.count() == 60_000 and judged.where("score is null or abs(score) > 1e-12").count() == 0
+    scores = labels.select((F.xxhash64("doc_id") % 20_000 / 7.0).alias("score")).unionByName(spark.createDataFrame([(None,)], "score double"))
+    values = [r["score"] for r in scores.collect() if r["score"] is not None]
+    for p in (0.0, 0.005, 0.5, 1.0):
+        assert quality.exact_percentile(scores, p) == pytest.approx(np.percentile(values, 100 * p), abs=1e-9)
+    assert quality.exact_percentile(scores.limit(0), 0.005) is None
+
+
 # 4. Sharding
 
 
