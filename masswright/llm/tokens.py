@@ -12,11 +12,14 @@ from array import array
 
 import numpy as np
 
-#: Words a worker remembers; beyond that it forgets all and starts again (memory bound only).
-MEMORY_WORDS = 700_000
-
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_LATIN_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)\Z")
+#: Words, and characters of words, that a worker remembers; beyond either it keeps the words at hand and forgets the rest (memory bound only).
+MEMORY_WORDS = 400_000
+MEMORY_CHARS = 8_000_000
+
+#: Letters after which punctuation may be taken off.  U+0130 is left out: its lower case ends in a combining dot, which splits with the punctuation.
+_LETTERS = r"A-Za-zÀ-ÖØ-öø-\u012F\u0131-ɏ"
+_LATIN = re.compile(rf"[{_LETTERS}]+")
+_LATIN_TAIL = re.compile(rf"([{_LETTERS}]+)([.,;:!?]+)\Z")
 _workers: dict[str, WordEncoder] = {}
 
 
@@ -50,11 +53,12 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}  # a word's slot: its ids are ids[ends[slot]:ends[slot + 1]]
-        self.ids, self.ends = array("I"), array("q", [0, 0])
+        self.ids, self.ends, self.chars = array("I"), array("q", [0, 0]), 0
 
     def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         slot = len(self.ends) - 1
         self.known.update(zip(words, range(slot, slot + len(words)), strict=True))
+        self.chars += sum(map(len, words))
         self.ends.frombytes((len(self.ids) + np.cumsum(sizes)).astype("q").tobytes())
         self.ids.frombytes(ids.astype("I").tobytes())
 
@@ -89,23 +93,31 @@ class WordEncoder:
             tails.append(m[2] if m else "")
         self._encode_forms([x for x in dict.fromkeys([*heads, *tails]) if x not in known])
         rest = [k for k, word in enumerate(words) if word not in known]
-        slots = np.array([known[x] for k in rest for x in (heads[k], tails[k])], np.int64)
-        ends = np.array(self.ends)
+        ids, sizes = self._ids_of([x for k in rest for x in (heads[k], tails[k])])
+        self._add([words[k] for k in rest], ids, sizes.reshape(-1, 2).sum(axis=1))
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words one after the other, and the number of ids of each."""
+        known = self.known
+        slots = np.array([known[w] for w in words], np.int64)
+        ends = np.frombuffer(self.ends, np.int64)
         starts, sizes = ends[slots], ends[slots + 1] - ends[slots]
-        self._add([words[k] for k in rest], np.array(self.ids, np.uint32)[ragged(starts, sizes)], sizes.reshape(-1, 2).sum(axis=1))
+        return np.frombuffer(self.ids, np.uint32)[ragged(starts, sizes)] if len(self.ids) else np.zeros(0, np.uint32), sizes
+
+    def _keep_only(self, words: list[str]) -> None:
+        kept = [w for w in words if w and w in self.known]
+        ids, sizes = self._ids_of(kept)
+        self.forget()
+        self._add(kept, ids, sizes)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all (distinct) words one after the other, and the number of ids of each."""
-        if len(self.known) > MEMORY_WORDS:
-            self.forget()
-        known = self.known
-        new = [w for w in words if w not in known]
+        if len(self.known) > MEMORY_WORDS or self.chars > MEMORY_CHARS:
+            self._keep_only(words)
+        new = [w for w in words if w not in self.known]
         if new:
             self._learn(new)
-        slots = np.array([known[w] for w in words], np.int64)
-        ends = np.array(self.ends)
-        starts, sizes = ends[slots], ends[slots + 1] - ends[slots]
-        return np.array(self.ids, np.uint32)[ragged(starts, sizes)], sizes
+        return self._ids_of(words)
 
     def encode_texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (an Arrow string array without nulls), and the number of ids of each."""
