@@ -2,11 +2,15 @@
 
 A configuration is a multiset of lengths that fits a sequence.  The program covers every
 length's count with as few configurations as possible.  It is solved by multiplicative
-weights: lengths still short of cover weigh more, and a knapsack dynamic program prices
-the best configuration under these weights, again and again.  The fractional solution is
-rounded up within what is left of each length, fullest configurations first, and what
-remains is packed best fit.  All of this sees the histogram alone (at most ``capacity``
-numbers); pieces meet their places by their rank within their length, in Spark.
+weights: a length's price grows exponentially with the cover that it lags behind, a
+knapsack dynamic program finds the best configuration under the prices, and every round
+takes configurations within a tolerance of the best.  The dynamic program also gives a
+lower bound (prices over the best price are feasible for the dual program), and the loop
+stops when the fractional solution is within a stated gap of it.  The solution is rounded
+within what is left of each length, configurations of few pieces first; the program is
+solved again for what remains, and the last few pieces are packed best fit.  All of this sees the
+histogram alone (at most ``capacity`` numbers); pieces meet their places by their rank
+within their length, in Spark.
 """
 
 from __future__ import annotations
@@ -23,121 +27,163 @@ from masswright.session import ship_package
 from .common import bucket_bits, stage_table
 from .tokens import slices, word_encoder
 
-#: Configurations priced by the multiplicative-weights loop.
-ITERATIONS = 400
-#: A length's weight falls by this power of e as its cover goes from none to whole.
-ETA = 0.03
-#: Starting weights are length * (1 + CONVEX * length / capacity): near the program's dual
-#: prices, which are about proportional to length, with long pieces placed first.
-CONVEX = 0.5
+#: The gap to the lower bound at which the program counts as solved.  A hard histogram that
+#: takes more than GAP_ROUNDS rounds may have a gap as many times wider as it takes more rounds.
+GAP, GAP_ROUNDS = 0.005, 16
+#: A price grows by this power of e for every round that a length's cover lags behind.
+ETA = 0.02
+#: Configurations are taken if their price is at most this share below the best.
+DELTA = 0.004
 
+#: Indices of lengths, how often each occurs, and the number of sequences of this kind.
+Pattern = tuple[np.ndarray, np.ndarray, int]
 
-def price_configuration(lengths: np.ndarray, values: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length occurs in the most valuable configuration (unbounded knapsack, then cut to the counts)."""
+
+def price_capacities(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """The largest value of a multiset of pieces that fits, for every capacity up to ``capacity`` (unbounded knapsack)."""
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
         k = upto[c]
-        best[c] = best[c - 1]
-        if k:
-            gain = best[c - lengths[:k]] + values[:k]
-            j = int(gain.argmax())
-            if gain[j] > best[c]:
-                best[c], pick[c] = gain[j], j
-    used = np.zeros(len(lengths), np.int64)
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            used[pick[c]] += 1
-            c -= lengths[pick[c]]
-    return np.minimum(used, counts)
-
-
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, iterations: int = ITERATIONS, eta: float = ETA) -> tuple[np.ndarray, np.ndarray]:
-    """Configurations (rows) and their fractional numbers, near the program's optimum."""
-    step = max(1.0, float((lengths * counts).sum()) / capacity) / iterations
-    cover = np.zeros(len(lengths))
-    rows: dict[bytes, list] = {}
-    for _ in range(iterations):
-        weights = lengths * (1 + CONVEX * lengths / capacity) * np.exp(-eta * np.minimum(cover, 1000.0))
-        used = price_configuration(lengths, weights, counts, capacity)
-        cover += step * used / counts
-        rows.setdefault(used.tobytes(), [used, 0.0])[1] += step
-        if cover.min() >= 1:
-            break
-    return np.array([r[0] for r in rows.values()]), np.array([r[1] for r in rows.values()])
+        best[c] = max(best[c - 1], (best[c - lengths[:k]] + values[:k]).max()) if k else best[c - 1]
+    return best
+
 
+def take_configurations(lengths: np.ndarray, values: np.ndarray, best: np.ndarray, wanted: np.ndarray) -> list[tuple[tuple[int, ...], float]]:
+    """Configurations priced within DELTA of the best that cover ``wanted``, and their numbers.
 
-def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    The longest wanted length comes first; from there on the table of best prices tells
+    which lengths still lead to a configuration within the tolerance, and of these the
+    longest wanted one is taken.  Each configuration is taken until one of its wanted
+    lengths is covered.  Lengths with no such configuration stay wanting.
+    """
+    capacity = len(best) - 1
+    top, wanted, taken = best[capacity], wanted.copy(), []
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+    for k in range(len(lengths) - 1, -1, -1):
+        slack = DELTA * top - (top - values[k] - best[capacity - lengths[k]])
+        while wanted[k] > 0 and slack >= 0:
+            used, room, budget = [k], capacity - int(lengths[k]), slack
+            while (n := upto[room]) and (best[room] > budget or (wanted[:n] > 0).any()):
+                loss = best[room] - best[room - lengths[:n]] - values[:n]
+                fit = np.flatnonzero((loss <= budget) & (wanted[:n] > 0))
+                if not len(fit) and best[room] <= budget:
+                    break
+                j = int(fit[-1]) if len(fit) else int(loss.argmin())
+                budget -= max(0.0, loss[j])
+                room -= int(lengths[j])
+                used.append(j)
+            kinds, times = np.unique(used, return_counts=True)
+            short = wanted[kinds] > 0
+            number = float((wanted[kinds][short] / times[short]).min())
+            left = wanted[kinds] - number * times
+            wanted[kinds] = np.where(left > 1e-9 * number, left, np.minimum(left, 0.0))
+            taken.append((tuple(used), number))
+    return taken
+
+
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[dict[tuple[int, ...], float], float, float]:
+    """Configurations and their fractional numbers, which cover all counts; their total; a lower bound of any cover.
+
+    The solution is the mean of the rounds since the last power of two, so that it forgets
+    the first prices.
+    """
+    behind, low, rounds = np.zeros(len(lengths)), 0.0, 0
+    while True:
+        if rounds & (rounds - 1) == 0:
+            cover, mean, since = np.zeros(len(lengths)), {}, rounds
+        rounds += 1
+        values = lengths * np.exp(ETA * behind)
+        best = price_capacities(lengths, values, capacity)
+        low = max(low, float(counts @ values) / best[capacity])
+        behind += 1
+        got = np.zeros(len(lengths))
+        for used, number in take_configurations(lengths, values, best, counts * np.minimum(behind, 2.0)):
+            mean[used] = mean.get(used, 0.0) + number
+            np.add.at(got, list(used), number)
+        behind -= got / counts
+        cover += got
+        least = float((cover / counts).min())
+        if least > 0 and sum(mean.values()) / least <= (1 + gap * max(1.0, rounds / GAP_ROUNDS)) * low:
+            return {k: x / least for k, x in mean.items()}, sum(mean.values()) / least, low
+
+
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[Pattern]:
     """Pack what is left: the longest first, then again the longest that fits, as often as counts allow."""
     left, patterns = left.copy(), []
     while left.any():
-        room, used = capacity, np.zeros(len(lengths), np.int64)
+        room, used, times = capacity, [], []
         k = int(np.flatnonzero(left)[-1])
         while k >= 0:
-            n = min(int(left[k] - used[k]), int(room // lengths[k]))
-            used[k] += n
+            n = min(int(left[k]), int(room // lengths[k]))
+            used.append(k)
+            times.append(n)
             room -= n * int(lengths[k])
             fits = np.flatnonzero((left[:k] > 0) & (lengths[:k] <= room))
             k = int(fits[-1]) if len(fits) else -1
-        some = used > 0
-        times = int((left[some] // used[some]).min())
-        left -= times * used
-        patterns.append((used, times))
+        kinds, each = np.array(used[::-1]), np.array(times[::-1])
+        number = int((left[kinds] // each).min())
+        left[kinds] -= number * each
+        patterns.append((kinds, each, number))
     return patterns
 
 
-def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int, iterations: int = ITERATIONS) -> list[tuple[np.ndarray, int]]:
-    """Integer patterns (uses of each length, number of sequences) that cover the counts exactly.
+def round_configurations(lengths: np.ndarray, counts: np.ndarray, solution: dict[tuple[int, ...], float]) -> tuple[list[Pattern], np.ndarray]:
+    """Whole numbers of configurations within the counts, those of few (long) pieces first, and what they leave of each length."""
+    left, patterns = counts.copy(), []
+    full = {used: int(lengths[list(used)].sum()) for used in solution}
+    for used in sorted(solution, key=lambda u: (len(u), -full[u], u)):
+        kinds, each = np.unique(used, return_counts=True)
+        number = min(int(np.ceil(solution[used])), int((left[kinds] // each).min()))
+        if number:
+            left[kinds] -= number * each
+            patterns.append((kinds, each, number))
+    return patterns, left
+
 
-    ``lengths`` ascend and lie in 1..capacity.  Of a few scales of the fractional solution
-    the one with the fewest sequences is taken.
+def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[Pattern], dict[str, float]]:
+    """Patterns that cover the counts exactly, and a report.
+
+    ``lengths`` ascend and lie in 1..capacity.  What rounding leaves is solved again, with
+    a gap as much wider as there are fewer pieces, until most of it can't be rounded.  The
+    report has the first program's value and lower bound, and the numbers of pieces placed
+    by rounding and by best fit.
     """
-    whole = lengths == capacity
-    done = [(whole.astype(np.int64), int(counts[whole].sum()))] if whole.any() else []
-    part = np.flatnonzero(~whole)
-    if not len(part):
-        return done
-    configurations, numbers = solve_configurations(lengths[part], counts[part], capacity, iterations)
-    order = np.argsort(-(configurations @ lengths[part]), kind="stable")
-    best: list | None = None
-    for scale in (1.0, 0.9, 0.75, 0.5):
-        left, patterns = counts[part].copy(), []
-        for k in order:
-            used = configurations[k]
-            some = used > 0
-            times = min(int(np.ceil(scale * numbers[k])), int((left[some] // used[some]).min())) if some.any() else 0
-            if times:
-                left -= times * used
-                patterns.append((used, times))
-        patterns += best_fit(lengths[part], left, capacity)
-        if best is None or sum(t for _, t in patterns) < sum(t for _, t in best):
-            best = patterns
-    for used, times in best:
-        full = np.zeros(len(lengths), np.int64)
-        full[part] = used
-        done.append((full, times))
-    return done
-
-
-def placement_table(lengths: np.ndarray, patterns: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
+    left, patterns, report = counts.copy(), [], {"value": 0.0, "bound": 0.0, "rounded": 0, "completed": 0}
+    while True:
+        some = np.flatnonzero(left)
+        if not len(some):
+            break
+        solution, value, bound = solve_configurations(lengths[some], left[some], capacity, gap * int(counts.sum()) / int(left.sum()))
+        if not patterns:
+            report |= {"value": value, "bound": bound}
+        made, rest = round_configurations(lengths[some], left[some], solution)
+        patterns += [(some[kinds], each, number) for kinds, each, number in made]
+        placed = int(left[some].sum() - rest.sum())
+        report["rounded"] += placed
+        left[some] = rest
+        if placed < rest.sum():
+            report["completed"] = int(rest.sum())
+            patterns += [(some[kinds], each, number) for kinds, each, number in best_fit(lengths[some], rest, capacity)]
+            break
+    return patterns, report
+
+
+def placement_table(lengths: np.ndarray, patterns: list[Pattern]) -> dict[str, np.ndarray]:
     """Which ranks of each length go where: rows sorted by length and first rank."""
     taken, rows, sequence = np.zeros(len(lengths), np.int64), [], 0
-    for used, times in patterns:
+    for kinds, each, times in patterns:
         offset = 0
-        for k in np.flatnonzero(used):
-            rows.append((lengths[k], taken[k], sequence, used[k], offset))
-            taken[k] += times * used[k]
-            offset += used[k] * lengths[k]
+        for k, n in zip(kinds.tolist(), each.tolist(), strict=True):
+            rows.append((lengths[k], taken[k], sequence, n, offset))
+            taken[k] += times * n
+            offset += n * int(lengths[k])
         sequence += times
     table = np.array(sorted(rows), np.int64).reshape(-1, 5)
     return dict(zip(("length", "first", "sequence", "each", "offset"), table.T, strict=True))
 
 
-def place_pieces(pieces: DataFrame, capacity: int, keys: list[str], rows_per_bucket: int = 5_000, iterations: int = ITERATIONS) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int, keys: list[str], rows_per_bucket: int = 5_000, gap: float = GAP) -> DataFrame:
     """Adds sequence_id and offset to ``pieces``, which has a length in 1..capacity and is cheap to read again.
 
     ``keys`` order the pieces of equal length; pieces equal in all keys are interchangeable.
@@ -146,7 +192,7 @@ def place_pieces(pieces: DataFrame, capacity: int, keys: list[str], rows_per_buc
     ship_package(spark)
     histogram = sorted((r["length"], r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
     lengths, counts = np.array([x for x, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
-    table = placement_table(lengths, plan_packing(lengths, counts, capacity, iterations) if histogram else [])
+    table = placement_table(lengths, plan_packing(lengths, counts, capacity, gap)[0])
 
     spread = 1 << bucket_bits(int(counts.max()) if histogram else 0, rows_per_bucket)
     rows = pieces.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(spread)))
@@ -203,7 +249,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, iterations: int = ITERATIONS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, gap: float = GAP) -> DataFrame:
     """Pack all rows of ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     A document is its ids and the end id; only longer ones are cut.  Returns one row per
@@ -213,4 +259,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     are ignored.
     """
     pieces = stage_table(token_pieces(docs, vocabulary, capacity, end_id, with_ids), "pieces")
-    return place_pieces(pieces, capacity, ["doc_id", "piece", "ids_crc32"], iterations=iterations)
+    return place_pieces(pieces, capacity, ["doc_id", "piece", "ids_crc32"], gap=gap)
