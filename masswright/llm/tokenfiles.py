@@ -2,21 +2,25 @@
 
 Documents are dealt to ranges of ids, tokenized in id order and gathered into shards of a
 bounded number of ids.  Each shard repeatedly replaces its frequent id pairs by
-nonterminals; a round takes many pairs at once, whose left and right sides never mix, so
-that replacements cannot overlap.  No pair spans two documents.  A shard's blob holds its
-documents' places, the rules with their expansion lengths, and the symbols, so a single
-document, or any stretch of it, is decoded without the rest.
-
-Blob layout (little-endian): magic ``RPTOK1\\0\\0``; int64 blob bytes, n_docs, n_rules,
-n_symbols, base (first nonterminal), symbol bytes (2 or 4); doc_id int64[n_docs]; null
-flags uint8[n_docs]; symbol_start int64[n_docs + 1]; n_tokens int64[n_docs]; rules
-uint32[n_rules][2]; expansion lengths int64[n_rules]; symbols uint16 or uint32[n_symbols].
+nonterminals until no pair within a document occurs LEAST times.  A round counts the pairs
+of all places that may still hold a frequent one and replaces many pairs at once; where two
+of them overlap, the more frequent one wins.  No pair spans two documents.  A shard's blob
+holds its documents' places, the rules with their expansion lengths, and the symbols, so a
+single document, or any stretch of it, is decoded from the rules that it reaches.
+
+Blob layout (little-endian): magic ``RPTOK2\0\0``; int64 blob bytes, n_docs, n_rounds,
+n_rules, n_symbols, base (first nonterminal), symbol bits (16 or more); doc_id int64[n_docs];
+null flags uint8[n_docs]; symbol_start int64[n_docs + 1]; n_tokens int64[n_docs]; rules made
+up to the end of each round int64[n_rounds]; expansion lengths uint32[n_rules]; the rules'
+left symbols, their right symbols, and the symbols, each as uint16 low halves and then one
+plane of packed bits for every further bit.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -27,114 +31,181 @@ from masswright.session import ship_package
 from .common import shared_path, stage_table
 from .tokens import ragged, slices, word_encoder
 
-MAGIC = b"RPTOK1\0\0"
+MAGIC = b"RPTOK2\0\0"
 #: Ids per shard (a longer document is a shard of its own).
 SHARD_IDS = 2_000_000
 #: Shards per file, so that a file's size is bounded however much a range of ids holds.
 SHARDS_PER_FILE = 4
-ROUNDS = 8
-DENSE = 1024
-PAIRS_PER_ROUND = 512
-
-
-def _choose_pairs(counts: np.ndarray, least: int, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent pairs whose left and right symbols are disjoint sets, most frequent first."""
-    flat = np.flatnonzero(counts >= least)
-    flat = flat[np.argsort(-counts[flat], kind="stable")][: 4 * PAIRS_PER_ROUND]
-    side: dict[int, int] = {}
-    lefts, rights = [], []
-    for a, b in zip((flat // DENSE).tolist(), (flat % DENSE).tolist(), strict=True):
-        if len(lefts) >= room:
-            break
-        if a != b and side.get(a, 0) == 0 and side.get(b, 1) == 1:
-            side[a], side[b] = 0, 1
-            lefts.append(a)
-            rights.append(b)
-    return np.array(lefts, np.int64), np.array(rights, np.int64)
-
-
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, most_rules: int = 16_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: The least number of occurrences of a pair that is replaced.  A rule takes two symbols of some
+#: 2 bytes each and a length of 4, and an occurrence saves one symbol, so below four a rule gains nothing.
+LEAST = 4
+
+
+def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places whose code occurs at least ``least`` times, their group numbers, and the groups' codes, ascending."""
+    bits = max(1, int(len(codes) - 1).bit_length())
+    if int(codes.max()).bit_length() + bits < 64:  # one sort of code and place is faster than argsort
+        codes <<= bits
+        codes |= np.arange(len(codes))
+        codes.sort()
+        order, ordered = (codes & ((1 << bits) - 1)).astype(np.int32), codes >> bits
+    else:
+        order = np.argsort(codes, kind="stable")
+        ordered = codes[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    sizes = np.diff(starts, append=len(ordered))
+    often = sizes >= least
+    group = np.full(len(order), -1, np.int32)
+    group[order[np.repeat(often, sizes)]] = np.repeat(np.arange(np.count_nonzero(often), dtype=np.int32), sizes[often])
+    places = np.flatnonzero(group >= 0)
+    return places, group[places], ordered[starts[often]]
+
+
+def _peaks(rank: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Which places rank before both neighbours; ``joined`` says that a place overlaps the one before."""
+    good = np.ones(len(rank), bool)
+    worse = rank[1:] < rank[:-1]
+    good[:-1] &= ~(joined[1:] & worse)
+    good[1:] &= ~joined[1:] | worse
+    return good
+
+
+def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Compress ids; ``last`` marks each document's last id.
 
-    Returns the symbols, the marks of the symbols that end a document, and the rules.  A
-    round counts pairs among the DENSE most frequent symbols.  A pair is no more frequent
-    than its rarer symbol, so with at least the next symbol's count required, none that
-    is frequent enough is missed.
+    Returns the symbols, the marks of the symbols that end a document, the rules, and the
+    number of rules after each round.  Places are linked, so that a round costs as much as
+    the places it looks at: those whose pair was frequent in the round before, and those
+    beside a replacement.  All occurrences of a pair that may be frequent are among them,
+    since an old pair's number only falls.  A run of one id is paired from its left end.
     """
-    symbols, rules = ids.astype(np.int64), []
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    n = len(ids)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    symbols = ids.astype(np.int64)
+    after, before = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
+    after[last] = -1
+    before[1:][last[:-1]] = -1
+    alive, wanted = np.ones(n, bool), np.zeros(n, bool)
+    at = np.flatnonzero(after >= 0).astype(kind)
+    rules, rounds, made = [np.zeros((0, 2), np.int64)], [], 0
+    while len(at):
+        shift = 20 if base + made < 1 << 20 else 32
+        places, group, codes = _frequent(symbols[at] << shift | symbols[after[at]], least)
+        if not len(codes):
             break
-        frequency = np.bincount(symbols, minlength=base + len(rules))
-        top = np.argsort(-frequency, kind="stable")[: DENSE + 1]
-        least = max(16, len(symbols) // 20_000, int(frequency[top[DENSE]]) + 1 if len(top) > DENSE else 0)
-        top = top[:DENSE]
-        place = np.full(len(frequency), -1, np.int32)
-        place[top] = np.arange(len(top))
-        dense = place[symbols]
-        code = dense[:-1] * DENSE + dense[1:]
-        code[(dense[:-1] < 0) | (dense[1:] < 0) | last[:-1]] = -1
-        counts = np.bincount(code[code >= 0], minlength=DENSE * DENSE)
-        left, right = _choose_pairs(counts, least, min(PAIRS_PER_ROUND, most_rules - len(rules)))
-        if not len(left):
+        at = at[places]
+        joined = np.concatenate([[False], after[at[:-1]] == at[1:]])
+        # In a run of one id every second pair counts, from the left.
+        odd = np.zeros(len(at), bool)
+        twins = (codes >> shift) == (codes & ((1 << shift) - 1))
+        if twins.any():
+            same = joined & twins[group] & np.concatenate([[False], group[1:] == group[:-1]])
+            place = np.arange(len(at), dtype=kind)
+            odd = ((place - np.maximum.accumulate(np.where(same, 0, place))) & 1).astype(bool)
+        counts = np.bincount(group[~odd], minlength=len(codes))
+        ranks = np.empty(len(codes), np.int32)
+        ranks[np.argsort(-counts, kind="stable")] = np.arange(len(codes))
+        ranks[counts < least] = len(codes)
+        rank = ranks[group]
+        rank[odd] = len(codes)
+        # A pair is taken if it wins often enough where pairs overlap; the most frequent one always does.
+        wins = np.bincount(group[_peaks(rank, joined) & (rank < len(codes))], minlength=len(codes)) >= least
+        if not wins.any():
             break
-        made = np.full(DENSE * DENSE + 1, -1, np.int64)  # the last entry stands for code -1
-        made[left * DENSE + right] = base + len(rules) + np.arange(len(left))
-        rules += zip(top[left].tolist(), top[right].tolist(), strict=True)
-        new = made[code]
-        at = np.flatnonzero(new >= 0)
-        symbols[at] = new[at]
-        last = last.copy()
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-    return symbols, last, np.array(rules, np.int64).reshape(-1, 2)
-
-
-def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    lengths = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[k] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
-    return lengths
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a run of symbols: every rule's expansion is laid out once, then gathered."""
-    table = [np.zeros(0, np.int64)] * len(rules)
-    for k, (a, b) in enumerate(rules.tolist()):
-        table[k] = np.concatenate([table[x - base] if x >= base else np.array([x]) for x in (a, b)])
-    flat = np.concatenate([np.arange(base), *table])
-    starts = np.concatenate([np.arange(base), base + np.cumsum(lengths) - lengths])
+        # The pairs taken are replaced wherever none of them that ranks before overlaps.
+        some, chosen = np.flatnonzero(wins[group] & ~odd), np.zeros(len(at), bool)
+        while len(some):
+            touch = np.concatenate([[False], (np.diff(some) == 1) & joined[some[1:]]])
+            good = _peaks(rank[some], touch)
+            chosen[some[good]] = True
+            hit = good.copy()
+            hit[1:] |= good[:-1] & touch[1:]
+            hit[:-1] |= good[1:] & touch[1:]
+            some = some[~hit]
+        code = codes[wins]
+        rules.append(np.stack([code >> shift, code & ((1 << shift) - 1)], axis=1))
+        a = at[chosen]
+        b = after[a]
+        c = after[b]
+        symbols[a] = (base + made - 1 + np.cumsum(wins))[group[chosen]]
+        made += len(code)
+        rounds.append(made)
+        alive[b] = False
+        after[a] = c
+        inner = c >= 0
+        before[c[inner]] = a[inner]
+        p = before[a]
+        wanted[at] = True
+        wanted[p[p >= 0]] = True
+        wanted[b] = False
+        at = np.flatnonzero(wanted).astype(kind)
+        wanted[at] = False
+        at = at[after[at] >= 0]
+    return symbols[alive], after[alive] < 0, np.concatenate(rules), np.array(rounds, np.int64)
+
+
+def rule_lengths(rules: np.ndarray, rounds: np.ndarray, base: int) -> np.ndarray:
+    """Ids in every rule's expansion; a round's rules hold symbols of earlier rounds only."""
+    lengths = np.ones(base + len(rules), np.int64)
+    for a, b in pairwise([0, *rounds.tolist()]):
+        lengths[base + a : base + b] = lengths[rules[a:b]].sum(axis=1)
+    return lengths[base:]
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """Ids of a run of symbols: nonterminals give way to their pairs until none is left."""
+    while (deep := symbols >= base).any():
+        out = np.repeat(symbols, 1 + deep)
+        at = np.flatnonzero(deep) + np.arange(np.count_nonzero(deep))
+        pairs = rules[symbols[deep] - base]
+        out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
+        symbols = out
+    return symbols
+
+
+def expansions(rules: np.ndarray, rounds: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All expansions one after the other, and the start and length of each symbol's, ids included."""
     sizes = np.concatenate([np.ones(base, np.int64), lengths])
-    return flat[ragged(starts[symbols], sizes[symbols])]
+    starts = np.cumsum(sizes) - sizes
+    flat = np.empty(int(sizes.sum()), np.uint32)
+    flat[:base] = np.arange(base)
+    for a, b in pairwise([0, *rounds.tolist()]):
+        parts = rules[a:b].ravel()
+        begin = int(starts[base + a])
+        made = flat[ragged(starts[parts], sizes[parts])]
+        flat[begin : begin + len(made)] = made
+    return flat, starts, sizes
 
 
 def pack_blob(doc_ids: list, n_tokens: np.ndarray, ids: np.ndarray, base: int) -> bytes:
     last = np.zeros(len(ids), bool)
     last[np.cumsum(n_tokens)[n_tokens > 0] - 1] = True
-    symbols, ends, rules = repair(ids, last, base)
+    symbols, ends, rules, rounds = repair(ids, last, base)
     starts = np.zeros(len(n_tokens) + 1, np.int64)
     starts[1:][n_tokens > 0] = np.flatnonzero(ends) + 1
     starts = np.maximum.accumulate(starts)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
+    bits = max(16, (base + len(rules)).bit_length())
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     body = b"".join(
-        x.tobytes()
-        for x in (np.array([d or 0 for d in doc_ids], "<i8"), nulls, starts.astype("<i8"), n_tokens.astype("<i8"), rules.astype("<u4"), expansion_lengths(rules, base).astype("<i8"), symbols.astype("<u2" if width == 2 else "<u4"))
+        [x.tobytes() for x in (np.array([d or 0 for d in doc_ids], "<i8"), nulls, starts.astype("<i8"), n_tokens.astype("<i8"), rounds.astype("<i8"), rule_lengths(rules, rounds, base).astype("<u4"))]
+        + [to_planes(x, bits) for x in (rules[:, 0], rules[:, 1], symbols)]
     )
-    head = np.array([len(MAGIC) + 48 + len(body), len(doc_ids), len(rules), len(symbols), base, width], "<i8")
+    head = np.array([len(MAGIC) + 56 + len(body), len(doc_ids), len(rounds), len(rules), len(symbols), base, bits], "<i8")
     return MAGIC + head.tobytes() + body
 
 
+def to_planes(values: np.ndarray, bits: int) -> bytes:
+    return b"".join([values.astype("<u2").tobytes(), *[np.packbits(values >> b & 1).tobytes() for b in range(16, bits)]])
+
+
 class Blob:
     """A shard read from bytes at an offset."""
 
     def __init__(self, data: bytes, at: int = 0):
         if data[at : at + len(MAGIC)] != MAGIC:
             raise ValueError("not a token blob")
-        self.size, n, r, s, self.base, width = np.frombuffer(data, "<i8", 6, at + len(MAGIC)).tolist()
-        at += len(MAGIC) + 48
+        self.size, n, levels, r, s, self.base, bits = np.frombuffer(data, "<i8", 7, at + len(MAGIC)).tolist()
+        at += len(MAGIC) + 56
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -145,21 +216,32 @@ class Blob:
         ids, nulls = take("<i8", n), take("u1", n)
         self.doc_ids = [None if z else d for d, z in zip(ids.tolist(), nulls.tolist(), strict=True)]
         self.starts, self.n_tokens = take("<i8", n + 1), take("<i8", n)
-        self.rules, self.lengths = take("<u4", 2 * r).reshape(-1, 2).astype(np.int64), take("<i8", r)
-        self.symbols = take("<u2" if width == 2 else "<u4", s).astype(np.int64)
+        self.rounds, self.lengths = take("<i8", levels), take("<u4", r)
+
+        def planes(count: int) -> np.ndarray:
+            out = take("<u2", count).astype(np.uint32)
+            for b in range(16, bits):
+                out |= np.unpackbits(take("u1", -(-count // 8)), count=count).astype(np.uint32) << b
+            return out
+
+        self.rules = np.stack([planes(r), planes(r)], axis=1)
+        self.symbols = planes(s)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.lengths, self.base)
+        flat, starts, sizes = expansions(self.rules, self.rounds, self.lengths, self.base)
+        return flat[ragged(starts[self.symbols], sizes[self.symbols])]
 
     def doc(self, k: int, begin: int = 0, end: int | None = None) -> np.ndarray:
-        """Ids begin to end of the k-th document, decoding only the symbols that cover them."""
-        symbols = self.symbols[self.starts[k] : self.starts[k + 1]]
-        sizes = np.where(symbols >= self.base, self.lengths[np.maximum(symbols - self.base, 0)] if len(self.lengths) else 1, 1)
+        """Ids begin to end of the k-th document, decoding only the symbols that cover them and the rules these reach."""
+        symbols = self.symbols[self.starts[k] : self.starts[k + 1]].astype(np.int64)
+        sizes = np.ones(len(symbols), np.int64)
+        deep = symbols >= self.base
+        sizes[deep] = self.lengths[symbols[deep] - self.base]
         ends = np.cumsum(sizes)
         end = int(self.n_tokens[k]) if end is None else min(end, int(self.n_tokens[k]))
         a, b = np.searchsorted(ends, begin, "right"), np.searchsorted(ends, end, "left") + 1
         first = int(ends[a - 1]) if a else 0
-        return expand(symbols[a:b], self.rules, self.lengths, self.base)[begin - first : max(begin, end) - first]
+        return expand(symbols[a:b], self.rules, self.base)[begin - first : max(begin, end) - first]
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 2) -> str:
