@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from masswright.llm import bpe, chat, fingerprints, jaccard, packing, quality, secrets, sharding, tokenfiles, warc
+from masswright.llm import bpe, chat, fingerprints, jaccard, packing, quality, secrets, sharding, tokenfiles, tokens, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -245,7 +245,7 @@ def crc(ids):
 
 
 def test_packing_is_whole_and_tight(spark, rows, docs):
-    got = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=256, with_ids=True, iterations=60).collect()
+    got = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=256, with_ids=True).collect()
     want = []
     for r, ids in zip(rows, word_ids([r[1] for r in rows], 0), strict=True):
         want += [(r[0], k // 256, k, len(ids[k : k + 256]), crc(ids[k : k + 256])) for k in range(0, len(ids), 256)]
@@ -271,14 +271,84 @@ def test_packing_is_whole_and_tight(spark, rows, docs):
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def sequences(plan, lengths, counts, capacity):
+    """The plan's number of sequences; it must cover the counts exactly."""
+    total = np.zeros(len(lengths), np.int64)
+    for kinds, each, number in plan:
+        assert number > 0 and (each > 0).all() and each @ lengths[kinds] <= capacity
+        total[kinds] += number * each
+    assert (total == counts).all()
+    return sum(number for _, _, number in plan)
+
+
 def test_plans_cover_the_counts():
     rng = np.random.default_rng(1)
     for _ in range(20):
         lengths = np.unique(rng.integers(1, 65, 12))
         counts = rng.integers(1, 200, len(lengths))
-        plan = packing.plan_packing(lengths, counts, 64, iterations=40)
-        assert (sum(t * u for u, t in plan) == counts).all() and all(u @ lengths <= 64 for u, _ in plan)
-        assert sum(t for _, t in plan) <= 1.1 * (lengths @ counts) / 64 + 12 + sum(counts[lengths > 32])
+        plan, report = packing.plan_packing(lengths, counts, 64)
+        n = sequences(plan, lengths, counts, 64)
+        assert report["bound"] <= n + 1e-6 and n <= 1.06 * report["bound"] + len(lengths)
+        assert report["rounded"] + report["completed"] == counts.sum()
+    assert packing.plan_packing(np.array([], np.int64), np.array([], np.int64), 64)[0] == []
+    assert sequences(packing.plan_packing(np.array([64]), np.array([7]), 64)[0], np.array([64]), np.array([7]), 64) == 7
+
+
+def test_the_program_beats_best_fit_where_lengths_must_be_matched():
+    lengths, counts = np.array([23, 26, 27, 51]), np.array([1200, 600, 600, 600])
+    assert sum(n for _, _, n in packing.best_fit(lengths, counts, 100)) == 1100
+    plan, report = packing.plan_packing(lengths, counts, 100)
+    assert sequences(plan, lengths, counts, 100) <= 904 and report["completed"] == 0
+    solution, value, bound = packing.solve_configurations(lengths, counts, 100)
+    cover = np.zeros(4)
+    for used, number in solution.items():
+        np.add.at(cover, list(used), number)
+    assert (cover >= counts * (1 - 1e-9)).all() and bound <= 900 + 1e-9 and value <= bound * (1 + packing.GAP)
+    rng = np.random.default_rng(5)
+    for _ in range(4):
+        lengths = np.unique(np.concatenate([rng.integers(45, 56, 8), rng.integers(30, 37, 8), rng.integers(22, 28, 8)]))
+        counts = rng.integers(1, 300, len(lengths))
+        n = sequences(packing.plan_packing(lengths, counts, 100)[0], lengths, counts, 100)
+        assert n < sum(n for _, _, n in packing.best_fit(lengths, counts, 100))
+
+
+def test_the_program_handles_a_wide_histogram():
+    rng = np.random.default_rng(7)
+    lengths = np.unique(np.minimum(2048, np.exp(rng.normal(6, 1.1, 4000)).astype(int) + 2))
+    counts = rng.integers(1, 60, len(lengths))
+    plan, report = packing.plan_packing(lengths, counts, 2048)
+    assert sequences(plan, lengths, counts, 2048) <= report["bound"] * 1.01 + 2
+    assert report["rounded"] > 9 * report["completed"] and report["value"] <= report["bound"] * (1 + packing.GAP)
+
+
+def test_word_ids_over_the_whole_letter_class():
+    import pyarrow as pa
+
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]]
+    rng = random.Random(3)
+    bag = letters + list(".,;:!?") * 40 + list("\u0301\u0307\u0345's-19\u00df")
+    words = [x + end for x in letters for end in (".", "?", ",!")] + ["".join(rng.choice(bag) for _ in range(rng.randint(1, 6))) for _ in range(30_000)]
+    encoded = encoder.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    for _ in range(2):  # the second time from memory
+        ids, sizes = encoder.encode_texts(pa.array(words))
+        assert sizes.tolist() == [len(e.ids) for e in encoded] and ids.tolist() == [i for e in encoded for i in e.ids]
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(tokens, "MEMORY_WORDS", 50)
+    rng = random.Random(4)
+    for _ in range(10):
+        texts = [" ".join(f"{rng.choice(WORDS)}{rng.randint(0, 99)}." for _ in range(20)) for _ in range(5)]
+        ids, sizes = encoder.encode_texts(pa.array(texts))
+        assert ids.tolist() == [i for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids]
+        assert len(encoder.known) < 600
+    huge = ["ab" * 5_000, "x " * 20_000 + "y", ""]
+    ids, sizes = encoder.encode_texts(pa.array(huge))
+    assert sizes.tolist() == [len(e.ids) for e in encoder.tokenizer.encode_batch_fast(huge, add_special_tokens=False)]
 
 
 # 6. Secrets
@@ -396,6 +466,51 @@ def test_blobs_decode_any_stretch():
             assert (blob.doc(k, a, b) == run[a:b]).all(), (k, a, b)
 
 
+def test_grammars_leave_no_frequent_pair():
+    rng = np.random.default_rng(9)
+    base = 600
+    for n, kinds in ((3000, 5), (20_000, 40), (20_000, 500), (5, 2), (1, 1), (0, 1)):
+        ids = np.minimum(rng.integers(0, kinds, n), rng.integers(0, kinds, n))
+        if n > 5000:
+            ids[1000:4000] = np.resize(ids[:37], 3000)
+            ids[4000:4500] = 3
+        last = rng.random(n) < 0.01
+        last[n - 1 :] = True
+        symbols, ends, rules, rounds = tokenfiles.repair(ids, last, base)
+        assert (tokenfiles.expand(symbols, rules, base) == ids).all() and ends.sum() == last.sum()
+        assert (np.flatnonzero(last) + 1 == np.cumsum([len(tokenfiles.expand(symbols[k : k + 1], rules, base)) for k in range(len(symbols))])[ends]).all()
+        lengths = tokenfiles.rule_lengths(rules, rounds, base)
+        assert lengths.tolist() == [len(tokenfiles.expand(np.array([base + k]), rules, base)) for k in range(len(rules))]
+        counts, k = {}, 0
+        pairs = [(a, b) for a, b, end in zip(symbols[:-1].tolist(), symbols[1:].tolist(), ends[:-1].tolist(), strict=True) if not end] if n else []
+        for (a, b), before in zip(pairs, [None, *pairs], strict=False):
+            k = k + 1 if (a, b) == before and a == b else 0
+            counts[a, b] = counts.get((a, b), 0) + (k % 2 == 0)
+        assert max(counts.values(), default=0) < tokenfiles.LEAST, (n, kinds)
+
+
+def test_runs_shrink_to_the_logarithm_and_documents_read_their_own_rules():
+    last = np.zeros(100_000, bool)
+    last[-1] = True
+    symbols, _, rules, _ = tokenfiles.repair(np.full(100_000, 7), last, 10)
+    assert len(symbols) <= 16 and len(rules) <= 17
+    a, b = np.resize(np.arange(10), 500), np.resize(np.arange(20, 33), 500)
+    data = tokenfiles.pack_blob([1, 2], np.array([500, 500]), np.concatenate([a, b]), 50)
+    blob = tokenfiles.Blob(data)
+    reached, todo = set(), [int(x) for x in blob.symbols[: blob.starts[1]]]
+    while todo:
+        x = todo.pop()
+        if x >= 50 and x not in reached:
+            reached.add(x)
+            todo += blob.rules[x - 50].tolist()
+    other = [k for k in range(len(blob.rules)) if k + 50 not in reached]
+    assert other
+    blob.rules[other] = 2**31
+    assert (blob.doc(0) == a).all()
+    with pytest.raises(IndexError):
+        blob.doc(1)
+
+
 # 9. Jaccard join
 
 
