@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from masswright.functions import arrays, polytopes
+from masswright.functions import cells as cells_of
 from masswright.session import ship_package, stage_table
 
+#: So many sites at most are written into assign's expression as constants.
+SITES_AS_CONSTANTS = 64
 #: Sites held in one array by assign; more sites make more arrays.
 SITES_PER_BLOCK = 1024
 SITES_PER_TILE = 64
@@ -26,10 +29,15 @@ SITES_PER_TILE = 64
 def assign(points: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
     """Adds site_id and cost of the best site to ``points`` (keys, batch_id, pos); ties go to the smaller id.
 
-    Sites are gathered in blocks of bounded size, each point is held against the blocks of
-    its batch in a row function, and the best block is kept; with one block a batch (the
-    usual case) nothing of the points is shuffled when Spark broadcasts the blocks.
+    A few sites of few dimensions become constants of one generated expression.  More are
+    gathered in blocks of bounded size, each point is held against the blocks of its batch
+    in a row function, and the best block is kept; with one block a batch nothing of the
+    points is shuffled when Spark broadcasts the blocks.  Points of a batch without sites
+    are left out.
     """
+    few = sites.select("batch_id", "site_id", "pos", "weight").limit(SITES_AS_CONSTANTS + 1).collect()
+    if 0 < len(few) <= SITES_AS_CONSTANTS and all(s["batch_id"] is not None and len(s["pos"]) <= 3 for s in few):
+        return _assign_constants(points, few)
     place = F.floor((F.row_number().over(Window.partitionBy("batch_id").orderBy("site_id")) - 1) / SITES_PER_BLOCK)
     rows = sites.select("batch_id", place.alias("block"), F.struct(F.col("site_id"), F.transform("pos", lambda x: x.cast("double")).alias("pos"), F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight")).alias("site"))
     blocks = rows.groupBy("batch_id", "block").agg(F.collect_list("site").alias("sites"))
@@ -52,6 +60,38 @@ def assign(points: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*points.columns, F.col("best.site_id").alias("site_id"), F.col("best.cost").alias("cost"))
 
 
+def _assign_constants(points: DataFrame, sites: list) -> DataFrame:
+    best, batches = None, sorted({s["batch_id"] for s in sites})
+    for batch in batches:
+        costs = []
+        for s in sites:
+            if s["batch_id"] == batch:
+                gaps = [F.get("pos", F.lit(d)) - F.lit(float(x)) for d, x in enumerate(s["pos"])]
+                cost = reduce(add, [g * g for g in gaps]) - F.lit(float(s["weight"] or 0.0))
+                costs.append(F.struct(cost.alias("cost"), F.lit(s["site_id"]).cast("long").alias("site_id")))
+        least = F.least(*costs) if len(costs) > 1 else costs[0]
+        here = F.col("batch_id") == F.lit(batch)
+        best = F.when(here, least) if best is None else best.when(here, least)
+    found = points.where(F.col("batch_id").isin(batches)).withColumn("best", best)
+    return found.select(*points.columns, F.col("best.site_id").alias("site_id"), F.col("best.cost").alias("cost"))
+
+
+def axis_histogram(points: DataFrame, axis: int, bins: int = 256) -> DataFrame:
+    """Counts of equal bins between an axis' extremes, and the running count from which a node's median bin is read."""
+    x = F.get("pos", F.lit(axis))
+    ends = points.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    place = F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    rows = points.join(F.broadcast(ends)).select(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0)))).cast("long").alias("bin"))
+    counts = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("below", F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def bounding_box(points: DataFrame, dim: int) -> DataFrame:
+    """One row: n, and arrays lo and hi."""
+    axes = [F.get("pos", F.lit(d)) for d in range(dim)]
+    return points.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(a) for a in axes]).alias("lo"), F.array(*[F.max(a) for a in axes]).alias("hi"))
+
+
 def assigned_sums(assigned: DataFrame, sites: DataFrame, dim: int, mass: str | None = None) -> DataFrame:
     """Per site: mass, barycenter, second moment about the site; empty cells have mass 0 and no barycenter."""
     m = F.col(mass).cast("double") if mass else F.lit(1.0)
@@ -188,10 +228,6 @@ def boundary_distances(assigned: DataFrame, diagram: DataFrame) -> DataFrame:
     return assigned.join(cuts, ["batch_id", "site_id"], "left").withColumn("distance", F.array_min(gaps)).drop("cuts")
 
 
-def _axis(points: Column, d: int) -> Column:
-    return F.transform(points, lambda v: F.get(v, F.lit(d)))
-
-
 def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]], order: int) -> DataFrame:
     """Integrals of a polynomial grid over cells: one row per site and one per facet with a neighbour.
 
@@ -206,7 +242,7 @@ def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]]
     rows = diagram.where(F.size("vertices") > dim).withColumn("all_idx", F.array(F.array().cast("array<int>")))
     for d, axis in enumerate(knots):
         inner = F.array(*[F.lit(float(x)) for x in axis[1:-1]]).cast("array<double>")
-        rows = rows.withColumn("low", F.array_min(_axis(at, d))).withColumn("high", F.array_max(_axis(at, d)))
+        rows = rows.withColumn("low", F.array_min(cells_of.axis_values(at, d))).withColumn("high", F.array_max(cells_of.axis_values(at, d)))
         a, b = F.size(F.filter(inner, lambda k: k <= F.col("low"))), F.size(F.filter(inner, lambda k: k < F.col("high")))
         rows = rows.withColumn("span", F.sequence(F.least(a, b), F.greatest(a, b))).withColumn("all_idx", F.flatten(F.transform("all_idx", lambda e: F.transform("span", lambda i: F.concat(e, F.array(i)))))).drop("span", "low", "high")
     joined = rows.withColumn("idx", F.explode("all_idx")).drop("all_idx", "vertices").join(grid.select("batch_id", "idx", "lo", "hi", "coeffs"), ["batch_id", "idx"])
@@ -271,16 +307,19 @@ def sum_triplets(terms: DataFrame) -> DataFrame:
 def spatial_tree(points: DataFrame, dim: int, leaf: int = 30, max_depth: int = 30) -> tuple[DataFrame, DataFrame]:
     """A binary tree by approximate medians of the longest axis: (points with node, nodes).
 
-    One grouped aggregation and one join a level; nodes with at most ``leaf`` points, or
-    whose points are all on one side, stay leaves.  Nodes are (node, n, lo, hi, axis, split).
+    One grouped aggregation and one join a level; where the median is the largest value,
+    the middle of the extent splits.  Nodes with at most ``leaf`` points, of one place or at
+    the last level stay leaves.  Nodes are (node, n, lo, hi, axis, split).
     """
     axes = [F.get("pos", F.lit(d)) for d in range(dim)]
     rows, nodes = points.withColumn("node", F.lit(1).cast("long")), None
-    for _depth in range(max_depth):
+    for depth in range(max_depth + 1):
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(a) for a in axes]).alias("lo"), F.array(*[F.max(a) for a in axes]).alias("hi"), F.array(*[F.percentile_approx(a, 0.5, 10_000) for a in axes]).alias("mid"))
         extent = arrays.subtract(F.col("hi"), F.col("lo"))
-        stats = stats.withColumn("axis", arrays.arg_max(extent)).withColumn("split", F.get("mid", F.col("axis")))
-        stats = stage_table(stats.withColumn("split", F.when((F.col("n") > leaf) & (F.col("split") < F.get("hi", F.col("axis"))), F.col("split"))).drop("mid"), "tree-level")
+        stats = stats.withColumn("axis", arrays.arg_max(extent))
+        low, high, mid = (F.get(c, F.col("axis")) for c in ("lo", "hi", "mid"))
+        split = F.when((F.col("n") > leaf) & (low < high) & F.lit(depth < max_depth), F.when(mid < high, mid).otherwise((low + high) / 2))
+        stats = stage_table(stats.withColumn("split", split).drop("mid"), "tree-level")
         nodes = stats if nodes is None else nodes.unionByName(stats.join(nodes.select("node"), "node", "left_anti"))
         if stats.where("split is not null").isEmpty():
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from masswright.functions import arrays
+from masswright.functions import arrays, cells
 from masswright.operators import measures, ot1d, power, solver
 from masswright.session import shared_path
 from masswright.sources import vtk
@@ -255,9 +255,9 @@ def spline_c1_coeffs(spark, sf_dir):
     return measures.spline_c1(line_knots(spark, sf_dir)).select("batch_id", "piece", *[rounded(F.get(c, F.lit(k))).alias(f"c{k}") for k in range(4)])
 
 
-@query("SELECT i, (i / 7.0::DOUBLE) * 3 + 2 AS x FROM range(8) t(i)")
+@query(f"SELECT i, {r('(i / 7.0::DOUBLE) * 3 + 2')} AS x FROM range(8) t(i)")
 def linspace(spark, sf_dir):
-    return measures.linspace(spark, 2.0, 5.0, 8).select("i", (F.col("i") / 7.0 * 3 + 2).alias("x"))
+    return measures.linspace(spark, 2.0, 5.0, 8).select("i", rounded("x").alias("x"))
 
 
 # Discrete power diagrams.
@@ -323,18 +323,13 @@ def bisector_planes(spark, sf_dir):
 @query(f"""WITH p AS ({POINTS}), h AS (SELECT greatest(0, least(255, floor((px - lo) / (hi - lo) * 256))) AS bin, count(*) AS n FROM p, (SELECT min(px) AS lo, max(px) AS hi FROM p) GROUP BY ALL)
 SELECT CAST(bin AS BIGINT) AS bin, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS below FROM h""")
 def bsp_histogram_split(spark, sf_dir):
-    """The 256-bin histogram of an axis and its running count, from which a node's median bin is read."""
-    points = line_points(spark, sf_dir).select(F.get("pos", F.lit(0)).alias("x"))
-    box = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    bins = points.join(F.broadcast(box)).select(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 256))).cast("long").alias("bin"))
-    counts = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("below", F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    return power.axis_histogram(line_points(spark, sf_dir), 0)
 
 
 @query(f"WITH s AS ({SITES}) SELECT count(*) AS n, min(sx) AS x0, min(sy) AS y0, max(sx) AS x1, max(sy) AS y1 FROM s")
 def bsp_bbox(spark, sf_dir):
-    x, y = F.get("pos", F.lit(0)), F.get("pos", F.lit(1))
-    return part_sites(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
+    box = power.bounding_box(part_sites(spark, sf_dir), 2)
+    return box.select("n", *[F.get(c, F.lit(d)).alias(n) for c, d, n in (("lo", 0, "x0"), ("lo", 1, "y0"), ("hi", 0, "x1"), ("hi", 1, "y1"))])
 
 
 @query(None)
@@ -367,40 +362,35 @@ def boxes(spark, sf_dir):
 
 @query(f"SELECT cell_id, v AS corner, {r('sx * (v & 1)')} AS x, {r('sy * (v >> 1)')} AS y FROM ({_BOXES}), range(4) t(v)")
 def cell_box_vertices(spark, sf_dir):
-    corner = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("corner")
-    rows = boxes(spark, sf_dir).select("*", corner)
-    return rows.select("cell_id", "corner", rounded(F.col("sx") * F.col("corner").bitwiseAND(F.lit(1))).alias("x"), rounded(F.col("sy") * F.shiftright("corner", 1)).alias("y"))
+    rows = boxes(spark, sf_dir).select("cell_id", F.posexplode(cells.box_corners([F.col("sx"), F.col("sy")])).alias("corner", "p"))
+    return rows.select("cell_id", F.col("corner").cast("long").alias("corner"), rounded(F.get("p", F.lit(0))).alias("x"), rounded(F.get("p", F.lit(1))).alias("y"))
 
 
 @query(f"SELECT cell_id, {r('sx * sy')} AS measure, {r('sx / 2')} AS cx, {r('sy / 2')} AS cy FROM ({_BOXES})")
 def cell_measure_box(spark, sf_dir):
-    zero = F.lit(0.0)
-    xs, ys = F.array(zero, "sx", "sx", zero), F.array(zero, zero, "sy", "sy")
-    rows = boxes(spark, sf_dir).select("cell_id", xs.alias("xs"), ys.alias("ys"))
-    return rows.select("cell_id", rounded(arrays.shoelace(F.col("xs"), F.col("ys"))).alias("measure"), rounded(arrays.total(F.col("xs")) / 4).alias("cx"), rounded(arrays.total(F.col("ys")) / 4).alias("cy"))
+    corners = cells.box_corners([F.col("sx"), F.col("sy")])
+    rows = boxes(spark, sf_dir).select("cell_id", F.array(*[F.get(corners, F.lit(k)) for k in (0, 1, 3, 2)]).alias("p"))
+    xs, ys = cells.axis_values(F.col("p"), 0), cells.axis_values(F.col("p"), 1)
+    return rows.select("cell_id", rounded(arrays.shoelace(xs, ys)).alias("measure"), rounded(arrays.total(xs) / 4).alias("cx"), rounded(arrays.total(ys) / 4).alias("cy"))
 
 
 def box_planes(spark, sf_dir):
-    plane = lambda nx, ny, off: F.struct(F.array(F.lit(nx), F.lit(ny)).alias("normal"), (F.col(off) if isinstance(off, str) else F.lit(off)).alias("offset"))
-    cuts = F.array(plane(-1.0, 0.0, 0.0), plane(1.0, 0.0, "sx"), plane(0.0, -1.0, 0.0), plane(0.0, 1.0, "sy"))
-    return boxes(spark, sf_dir).select("cell_id", cuts.alias("cuts"))
+    return boxes(spark, sf_dir).select("cell_id", cells.box_cuts([F.col("sx"), F.col("sy")]).alias("cuts"))
 
 
 @query(f"SELECT cell_id, i, (0.0 <= sx) AND (i / 10.0::DOUBLE <= sx) AND (0.5 <= sy) AS inside FROM ({_BOXES}), range(11) t(i)")
 def cell_contains(spark, sf_dir):
     rows = box_planes(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"))).alias("i"))
-    p = F.array(F.col("i") / 10.0, F.lit(0.5))
-    rows = rows.withColumn("p", p)
-    return rows.select("cell_id", "i", F.forall("cuts", lambda c: arrays.dot(c["normal"], F.col("p")) <= c["offset"]).alias("inside"))
+    rows = rows.withColumn("p", F.array(F.col("i") / 10.0, F.lit(0.5)))
+    return rows.select("cell_id", "i", cells.contains(F.col("cuts"), F.col("p")).alias("inside"))
 
 
 @query(f"SELECT cell_id, CAST((0.3 > 0) AS INTEGER) * CASE WHEN sx * 1.0 + 0 - 0.3 > 0 THEN 2 ELSE 0 END AS n_outside, {r('sx - 0.3')} AS farthest FROM ({_BOXES})")
 def cell_scalar_products(spark, sf_dir):
     """Signed distances of a box's corners to the plane x = 0.3: how many lie outside, and the largest."""
-    zero = F.lit(0.0)
-    corners = F.array(F.array(zero, zero), F.array(F.col("sx"), zero), F.array(F.col("sx"), F.col("sy")), F.array(zero, F.col("sy")))
-    sps = boxes(spark, sf_dir).select("cell_id", F.transform(corners, lambda v: arrays.dot(v, F.array(F.lit(1.0), zero)) - 0.3).alias("sps"))
-    return sps.select("cell_id", F.size(F.filter("sps", lambda s: s > 0)).alias("n_outside"), rounded(F.array_max("sps")).alias("farthest"))
+    corners = cells.box_corners([F.col("sx"), F.col("sy")])
+    gaps = boxes(spark, sf_dir).select("cell_id", cells.plane_gaps(corners, F.array(F.lit(1.0), F.lit(0.0)), F.lit(0.3)).alias("gaps"))
+    return gaps.select("cell_id", F.size(F.filter("gaps", lambda s: s > 0)).alias("n_outside"), rounded(F.array_max("gaps")).alias("farthest"))
 
 
 _POLY = "SELECT CAST(p_partkey AS BIGINT) AS cell_id, v, (1 + (p_partkey % 7) / 10.0::DOUBLE) * cos(2 * pi() * v / (3 + p_partkey % 4)) AS x, (1 + p_size / 50.0::DOUBLE) * sin(2 * pi() * v / (3 + p_partkey % 4)) AS y, 3 + p_partkey % 4 AS n FROM part, range(6) t(v) WHERE v < 3 + p_partkey % 4"
@@ -423,28 +413,20 @@ def polygon_shoelace(spark, sf_dir):
 
 @query(f"""WITH p AS ({_POLY}) SELECT a.cell_id, a.v, {r('(b.y - c.y) / 2')} AS dx, {r('(c.x - b.x) / 2')} AS dy FROM p a JOIN p b ON a.cell_id = b.cell_id AND b.v = (a.v + 1) % a.n JOIN p c ON a.cell_id = c.cell_id AND c.v = (a.v + a.n - 1) % a.n""")
 def polygon_shoelace_grad(spark, sf_dir):
-    at = lambda c, i: F.get(c, F.pmod(i, F.col("n")))
-    rows = polygons(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("v"))
-    dx = (at("ys", F.col("v") + 1) - at("ys", F.col("v") - 1)) / 2
-    dy = (at("xs", F.col("v") - 1) - at("xs", F.col("v") + 1)) / 2
-    return rows.select("cell_id", F.col("v").cast("long").alias("v"), rounded(dx).alias("dx"), rounded(dy).alias("dy"))
+    rows = polygons(spark, sf_dir).select("cell_id", F.posexplode(cells.shoelace_gradient(F.col("xs"), F.col("ys"))).alias("v", "g"))
+    return rows.select("cell_id", F.col("v").cast("long").alias("v"), rounded("g.dx").alias("dx"), rounded("g.dy").alias("dy"))
 
 
 @query(f"""WITH p AS ({_POLY}) SELECT a.cell_id, b.v AS k, {r('abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2')} AS area FROM p a JOIN p b ON a.cell_id = b.cell_id AND a.v = 0 AND b.v > 0 JOIN p c ON c.cell_id = a.cell_id AND c.v = b.v + 1""")
 def fan_simplices(spark, sf_dir):
-    rows = polygons(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(1), F.col("n") - 2)).alias("k"))
-    x, y = (lambda i: F.get("xs", i) - F.get("xs", F.lit(0))), (lambda i: F.get("ys", i) - F.get("ys", F.lit(0)))
-    k = F.col("k")
-    area = F.abs(arrays.determinant([[x(k), y(k)], [x(k + 1), y(k + 1)]])) / 2
-    return rows.select("cell_id", k.cast("long").alias("k"), rounded(area).alias("area"))
+    rows = polygons(spark, sf_dir).select("cell_id", F.posexplode(cells.fan_areas(F.col("xs"), F.col("ys"))).alias("k", "area"))
+    return rows.select("cell_id", (F.col("k") + 1).cast("long").alias("k"), rounded("area").alias("area"))
 
 
 @query(f"""WITH p AS ({_POLY}) SELECT a.cell_id, a.v AS k, {r('sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)')} AS length FROM p a JOIN p b ON a.cell_id = b.cell_id AND b.v = (a.v + 1) % a.n""")
 def cell_facets(spark, sf_dir):
-    rows = polygons(spark, sf_dir).select("*", F.posexplode("xs").alias("k", "x"))
-    dx = F.get("xs", F.pmod(F.col("k") + 1, F.col("n"))) - F.col("x")
-    dy = F.get("ys", F.pmod(F.col("k") + 1, F.col("n"))) - F.get("ys", F.col("k"))
-    return rows.select("cell_id", F.col("k").cast("long").alias("k"), rounded(F.sqrt(dx * dx + dy * dy)).alias("length"))
+    rows = polygons(spark, sf_dir).select("cell_id", F.posexplode(cells.polygon_facets(F.col("xs"), F.col("ys"))).alias("k", "length"))
+    return rows.select("cell_id", F.col("k").cast("long").alias("k"), rounded("length").alias("length"))
 
 
 @query(f"SELECT cell_id, {r('sx * sy * 2 - 0.25')} AS det, {r('(2 - 0.5 * sy) / (sx * sy * 2 - 0.25)')} AS x FROM (SELECT cell_id, sx + 1 AS sx, sy FROM ({_BOXES}))")
@@ -458,7 +440,7 @@ def matrix_solve_2d(spark, sf_dir):
 @query("SELECT k AS id, k // 6 AS i, (k // 2) % 3 AS j, k % 2 AS l FROM range(12) t(k)")
 def cartesian_index(spark, sf_dir):
     """Row-major multi-index of a 2 x 3 x 2 product."""
-    return spark.range(12).select("id", F.expr("id div 6").alias("i"), F.expr("(id div 2) % 3").alias("j"), (F.col("id") % 2).alias("l"))
+    return spark.range(12).select("id", *[c.alias(n) for c, n in zip(cells.multi_index(F.col("id"), [2, 3, 2]), "ijl", strict=True)])
 
 
 @query("""WITH n AS (SELECT l_suppkey AS b, l_returnflag AS f, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL) SELECT CAST(b AS BIGINT) AS batch_id, count(DISTINCT n) = 1 AS consistent, min(n) AS least, max(n) AS most FROM n GROUP BY b""")
@@ -474,7 +456,21 @@ def periodic_replication(spark, sf_dir):
     return rows.select("site_id", F.col("image").cast("long").alias("image"), rounded(F.get("pos", F.lit(0))).alias("x"), rounded(F.get("pos", F.lit(1))).alias("y"))
 
 
-# Cells of continuous diagrams: invariants are tested, SQL cannot clip.
+# Cells of continuous diagrams.  The SQL meets every two cuts of a cell and keeps the points that no cut has outside.
+
+DIAGRAM = f"""s AS MATERIALIZED (SELECT site_id, sx, sy, w * 0.1 AS w FROM ({SITES})),
+cuts AS MATERIALIZED (SELECT a.site_id, b.site_id AS cut, b.sx - a.sx AS nx, b.sy - a.sy AS ny, a.sx * (b.sx - a.sx) + a.sy * (b.sy - a.sy) + ((b.sx - a.sx) ** 2 + (b.sy - a.sy) ** 2 + a.w - b.w) / 2 AS o FROM s a JOIN s b ON a.site_id <> b.site_id
+  UNION ALL SELECT site_id, v.* FROM s, (VALUES (-1, -1.0, 0.0, 0.0), (-2, 1.0, 0.0, 1.0), (-3, 0.0, -1.0, 0.0), (-4, 0.0, 1.0, 1.0)) v),
+met AS (SELECT site_id, a.cut AS cut0, b.cut AS cut1, (a.o * b.ny - b.o * a.ny) / (a.nx * b.ny - a.ny * b.nx) AS x, (a.nx * b.o - b.nx * a.o) / (a.nx * b.ny - a.ny * b.nx) AS y
+  FROM cuts a JOIN cuts b USING (site_id) WHERE a.cut < b.cut AND abs(a.nx * b.ny - a.ny * b.nx) > 1e-12),
+verts AS MATERIALIZED (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.site_id = m.site_id AND c.nx * m.x + c.ny * m.y > c.o + 1e-9)),
+ends AS (SELECT site_id, cut0 AS cut, x, y FROM verts UNION ALL SELECT site_id, cut1, x, y FROM verts),
+facets AS MATERIALIZED (SELECT site_id, cut, x0, y0, x1, y1, sx, sy, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS facet, (o - nx * sx - ny * sy) / sqrt(nx * nx + ny * ny) AS gap
+  FROM (SELECT site_id, cut, min([x, y])[1] AS x0, min([x, y])[2] AS y0, max([x, y])[1] AS x1, max([x, y])[2] AS y1 FROM ends GROUP BY ALL) JOIN cuts USING (site_id, cut) JOIN s USING (site_id)),
+parts AS (SELECT site_id, cut, facet, facet * gap / 2 AS area, ((sx + x0 + x1) ** 2 + (sy + y0 + y1) ** 2 + sx * sx + sy * sy + x0 * x0 + y0 * y0 + x1 * x1 + y1 * y1) / 12 AS spread FROM facets),
+integrals AS (SELECT site_id, NULL::BIGINT AS neighbor, sum(area) AS mass, sum(area * spread) AS second, 0.0::DOUBLE AS facet FROM parts GROUP BY site_id
+  UNION ALL SELECT site_id, cut, 0.0, 0.0, facet FROM parts WHERE cut >= 0),
+terms AS (SELECT i.site_id AS row, neighbor AS col, -facet / (2 * sqrt((a.sx - b.sx) ** 2 + (a.sy - b.sy) ** 2)) AS val FROM integrals i JOIN s a ON a.site_id = i.site_id JOIN s b ON b.site_id = neighbor)"""
 
 
 def unit_grid(spark):
@@ -489,53 +485,59 @@ def diagram(spark, sf_dir):
     return power.cells(small_weight_sites(spark, sf_dir), [0.0, 0.0], [1.0, 1.0])
 
 
-@query(f"""WITH points AS ({POINTS}), s AS (SELECT site_id, sx, sy, w * 0.1 AS w FROM ({SITES})),
-best AS (SELECT * FROM (SELECT p.*, site_id, sx, sy, w, row_number() OVER (PARTITION BY rid ORDER BY (px - sx) ** 2 + (py - sy) ** 2 - w, site_id) AS k FROM points p, s) WHERE k = 1),
-gaps AS (SELECT rid, min(((o.sx - b.sx) * (b.sx - px) + (o.sy - b.sy) * (b.sy - py) + ((o.sx - b.sx) ** 2 + (o.sy - b.sy) ** 2 + b.w - o.w) / 2) / sqrt((o.sx - b.sx) ** 2 + (o.sy - b.sy) ** 2)) AS gap
-  FROM best b, s o WHERE o.site_id <> b.site_id GROUP BY rid)
-SELECT point_id, {r('least(gap, px, 1 - px, py, 1 - py)')} AS distance FROM best JOIN gaps USING (rid)""")
+@query(f"""WITH points AS MATERIALIZED ({POINTS}), {DIAGRAM}, places AS MATERIALIZED (SELECT DISTINCT px, py FROM points),
+best AS (SELECT px, py, arg_min(site_id, [(px - sx) ** 2 + (py - sy) ** 2 - w, site_id]) AS site_id FROM places, s GROUP BY ALL),
+gaps AS (SELECT px, py, min((o - nx * px - ny * py) / sqrt(nx * nx + ny * ny)) AS gap FROM best JOIN cuts USING (site_id) GROUP BY ALL)
+SELECT point_id, {r('gap')} AS distance FROM points JOIN gaps USING (px, py)""")
 def boundary_distances(spark, sf_dir):
     found = power.assign(line_points(spark, sf_dir), small_weight_sites(spark, sf_dir), ["point_id"])
     return power.boundary_distances(found, diagram(spark, sf_dir)).select("point_id", rounded("distance").alias("distance"))
 
 
-@query(None)
+@query(f"WITH {DIAGRAM} SELECT site_id, CAST(count(*) AS INTEGER) AS n_points, {r('min(x)')} AS x_min, {r('max(x)')} AS x_max, {r('min(y)')} AS y_min, {r('max(y)')} AS y_max FROM verts GROUP BY site_id")
 def vtk_faces(spark, sf_dir):
     """The diagram's polygons, written as VTK files and read back."""
     path = shared_path(spark, "vtk")
     vtk.write_vtk(vtk.cell_faces(diagram(spark, sf_dir), 2), path)
     rows = vtk.read_vtk(spark, path)
-    corner = [F.transform("points", lambda p, d=d: F.round(F.get(p, F.lit(d)), 6)) for d in range(2)]
-    return rows.select("site_id", F.size("points").alias("n_points"), F.array_min(corner[0]).alias("x_min"), F.array_max(corner[0]).alias("x_max"), F.array_min(corner[1]).alias("y_min"), F.array_max(corner[1]).alias("y_max"))
+    x, y = cells.axis_values(F.col("points"), 0), cells.axis_values(F.col("points"), 1)
+    ends = [rounded(f(c)).alias(f"{n}_{e}") for c, n in ((x, "x"), (y, "y")) for f, e in ((F.array_min, "min"), (F.array_max, "max"))]
+    return rows.select("site_id", F.size("points").alias("n_points"), *ends)
 
 
-@query(None)
+@query(f"""WITH {DIAGRAM}, n AS (SELECT site_id, count(*) AS n FROM verts GROUP BY ALL), k AS (SELECT site_id, count(DISTINCT cut) AS k FROM ends GROUP BY ALL)
+SELECT site_id, TRUE AS is_closed, CAST(coalesce(n, 0) AS INTEGER) AS n_vertices, CAST(coalesce(k, 0) AS INTEGER) AS n_cuts FROM s LEFT JOIN n USING (site_id) LEFT JOIN k USING (site_id)""")
 def cell_clip(spark, sf_dir):
     rows = diagram(spark, sf_dir)
     return rows.select("site_id", "is_closed", F.size("vertices").alias("n_vertices"), F.size("cut_ids").alias("n_cuts"))
 
 
-@query(None)
+@query(f"WITH {DIAGRAM} SELECT site_id, neighbor, {r('mass')} AS mass, {r('second')} AS second, {r('facet')} AS facet FROM integrals")
 def cell_integrals(spark, sf_dir):
     sums = power.cell_integrals(diagram(spark, sf_dir), unit_grid(spark), [[0.0, 1.0]] * 2, 0)
     return sums.select("site_id", "neighbor", rounded("mass").alias("mass"), rounded("second").alias("second"), rounded("facet").alias("facet"))
 
 
-@query(None)
+@query(f"WITH {DIAGRAM}, e AS (SELECT row, col, val FROM terms UNION ALL SELECT row, row, -val FROM terms) SELECT row, col, {r('sum(val)')} AS val FROM e GROUP BY row, col")
 def newton_matrix(spark, sf_dir):
     sums = power.cell_integrals(diagram(spark, sf_dir), unit_grid(spark), [[0.0, 1.0]] * 2, 0)
     return power.matrix_terms(sums, part_sites(spark, sf_dir)).select("row", "col", rounded("val").alias("val"))
 
 
-@query(None)
+@query(f"WITH s AS ({SITES}) SELECT site_id, {r('1.0 / count(*) OVER ()')} AS mass FROM s")
 def newton_plan(spark, sf_dir):
+    """Masses of the cells under the weights found: all sites get the same."""
     sites = part_sites(spark, sf_dir)
     ids = [x["site_id"] for x in sites.select("site_id").collect()]
     plan = solver.newton(sites, dict.fromkeys(ids, 1.0), unit_grid(spark), [[0.0, 1.0]] * 2, tol=1e-6)
-    return plan.rows.select("site_id", rounded("weight").alias("weight"), rounded("mass").alias("mass"))
+    return plan.rows.select("site_id", rounded("mass").alias("mass"))
 
 
-@query(None)
+_LLOYD = "a{k} AS (SELECT px, py, n, arg_min(site_id, [(px - sx) ** 2 + (py - sy) ** 2, site_id]) AS site_id FROM places, s{i} GROUP BY ALL), s{k} AS MATERIALIZED (SELECT s{i}.site_id, coalesce(sum(n * px) / sum(n), any_value(sx)) AS sx, coalesce(sum(n * py) / sum(n), any_value(sy)) AS sy FROM s{i} LEFT JOIN a{k} USING (site_id) GROUP BY ALL)"
+
+
+@query(f"""WITH places AS MATERIALIZED (SELECT px, py, count(*) AS n FROM ({POINTS}) GROUP BY ALL), s0 AS MATERIALIZED (SELECT site_id, sx, sy FROM ({SITES})), {", ".join(_LLOYD.format(i=k - 1, k=k) for k in (1, 2, 3))}
+SELECT site_id, {r('sx')} AS x, {r('sy')} AS y FROM s3""")
 def lloyd_points(spark, sf_dir):
     sites = part_sites(spark, sf_dir).withColumn("weight", F.lit(0.0))
     rows = solver.lloyd_discrete(line_points(spark, sf_dir), sites, 2, 3)
