@@ -16,8 +16,10 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,14 @@ def arc_record(version: int, url: str, ip: str, date: str, mime: str, content: b
     return " ".join([url, ip, date, mime, *more, str(len(content))]).encode() + b"\n" + content + b"\n"
 
 
+def _decoded(line: bytes) -> str:
+    """Header lines are UTF-8, or Latin-1 in archives that never encoded their URLs."""
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict, bytes]]:
     """(header fields, content) of every record; a version block sets the version of what follows."""
     at, version = 0, 1
@@ -64,7 +74,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         end = data.find(b"\n", at)
         if end < 0:
             raise ValueError(f"ARC header without an end at byte {at}")
-        line = data[at:end].decode("utf-8").rstrip("\r")
+        line = _decoded(data[at:end]).rstrip("\r")
         described = line.startswith("filedesc://")
         if described:
             version = int(data[end + 1 : end + 2])
@@ -128,22 +138,22 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         yield head, data[begin:at]
 
 
-def _runs(records: Iterator[bytes], first: bytes) -> Iterator:
-    """Rows of consecutive records, each begun anew by ``first``."""
+def _runs(records: Iterator[bytes], first: Callable[[int], bytes]) -> Iterator:
+    """Rows of consecutive records; ``first`` gives the beginning of the k-th."""
     import pyarrow as pa
 
     held: list[bytes] = []
-    size = 0
+    size, number = 0, 0
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([first + b"".join(held)], pa.binary())], names=["run"])
+        return pa.RecordBatch.from_arrays([pa.array([first(number) + b"".join(held)], pa.binary())], names=["run"])
 
     for record in records:
         held.append(record)
         size += len(record)
         if size >= RUN_BYTES:
             yield row()
-            held, size = [], 0
+            held, size, number = [], 0, number + 1
     if held:
         yield row()
 
@@ -153,7 +163,21 @@ def _write(runs: DataFrame, path: str) -> None:
 
 
 def _inflated(content: bytes) -> bytes:
-    return zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else content
+    """A file's bytes; a compressed one may have one gzip member or, as archives usually do, one a record."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts, at = [], 0
+    while content[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            chunk = content[at : at + (1 << 16)]
+            if not chunk:
+                raise ValueError("a gzip member is cut short")
+            parts.append(member.decompress(chunk))
+            at += len(chunk) - len(member.unused_data)
+    if content[at:].strip(b"\0"):
+        raise ValueError("bytes after the last gzip member")
+    return b"".join(parts)
 
 
 def write_arc(pages: DataFrame, version: int, path: str, date: str = "20240101000000") -> None:
@@ -178,7 +202,7 @@ def write_arc(pages: DataFrame, version: int, path: str, date: str = "2024010100
                     offset += len(record)
                     yield record
 
-        return _runs(records(), arc_version_block(version, name, date))
+        return _runs(records(), lambda _: arc_version_block(version, name, date))
 
     _write(pages.selectExpr("cast(page_id as bigint) page_id", "url", "html").mapInArrow(encode, "run binary"), path)
 
@@ -232,12 +256,13 @@ def convert_arc(spark: SparkSession, arc_paths: list[str], path: str | None = No
     rows = read_arc(spark, arc_paths).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     rows = rows.join(groups, ["payload_digest", "salt"], "left")
     revisit = (F.length("payload") >= least_revisit_bytes) & (F.col("first.page_id") < F.col("page_id"))
-    rows = rows.select("page_id", "url", "ip", "date", "http_head", F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"), "payload_digest", *[F.when(revisit, F.col(f"first.{c}")).alias(f"first_{c}") for c in ("page_id", "url", "date")])
+    rows = rows.select("page_id", "url", "ip", "date", "http_head", F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"), "payload_digest", *[F.when(revisit, F.col(f"first.{c}")).alias(f"first_{c}") for c in ("page_id", "url", "date")], "mime")
+    made = datetime.now(UTC).strftime("%Y%m%d%H%M%S")
 
     def encode(batches: Iterator) -> Iterator:
         def records() -> Iterator[bytes]:
             for batch in batches:
-                for page, url, ip, date, http, payload, digest, first, first_url, first_date in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                for page, url, ip, date, http, payload, digest, first, first_url, first_date, mime in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                     kind = "revisit" if first is not None else warc_type(url, http)
                     block = http + (payload or b"")
                     yield warc_record(
@@ -254,12 +279,17 @@ def convert_arc(spark: SparkSession, arc_paths: list[str], path: str | None = No
                             "WARC-Refers-To-Target-URI": first_url,
                             "WARC-Refers-To-Date": warc_date(first_date) if first_date else None,
                             "X-Refers-To-Page-Id": first,
-                            "Content-Type": "application/http; msgtype=response" if http else "text/html",
+                            "Content-Type": "application/http; msgtype=response" if http else mime,
                         },
                         block,
                     )
 
-        info = warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("warcinfo", "", "", None), "WARC-Date": warc_date("2024"), "Content-Type": "application/warc-fields"}, b"software: masswright\r\nformat: WARC File Format 1.1\r\n")
+        part = TaskContext.get().partitionId()
+
+        def info(run: int) -> bytes:
+            head = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(f"{path}#{part}", made, "warcinfo", run), "WARC-Date": warc_date(made), "Content-Type": "application/warc-fields"}
+            return warc_record(head, b"software: masswright\r\nformat: WARC File Format 1.1\r\n")
+
         return _runs(records(), info)
 
     _write(rows.mapInArrow(encode, "run binary"), path)
