@@ -23,17 +23,19 @@ _MASK = (1 << MODULUS_BITS) - 1
 
 def fingerprint_lanes(text: Column) -> Column:
     """The fingerprint of a text as an array of LANES numbers below 2**MODULUS_BITS."""
-    hashes = F.transform(F.filter(F.split(text, PARAGRAPH_END), lambda p: p != ""), lambda p: F.xxhash64(p))
+    paragraphs = F.filter(F.split(text, PARAGRAPH_END), lambda p: p != "")
+    # Two independent hashes of every paragraph, each for half of the lanes: texts collide only if both do.
+    hashes = [F.transform(paragraphs, lambda p: F.xxhash64(p)), F.transform(paragraphs, lambda p: F.xxhash64(F.lit(1), p))]
 
     def lanes(bound: Column) -> Column:
         def lane(j: Column) -> Column:
             total = F.aggregate(bound, F.lit(0).cast("long"), lambda s, h: s + F.xxhash64(h, j).bitwiseAND(F.lit(127)) * 2 - 127)
             return total.bitwiseAND(F.lit(_MASK))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane)
+        return F.transform(F.sequence(F.lit(0), F.lit(LANES // 2 - 1)), lane)
 
     # The outer transform binds the hashes to a variable, so that they are computed once and not for every lane.
-    return F.get(F.transform(F.array(hashes), lanes), F.lit(0))
+    return F.flatten(F.transform(F.array(*hashes), lanes))
 
 
 def add_lanes(a: Column, b: Column) -> Column:
