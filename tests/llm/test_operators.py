@@ -89,6 +89,26 @@ def test_small_payloads_stay_responses(spark):
     assert bag(warc.archive_pages(df, 3).select("page_id", "record_type")) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
 
 
+def test_archives_with_a_member_a_record_are_converted_whole(spark, tmp_path):
+    import gzip
+
+    records = [warc.arc_version_block(1, "n", "20010203040506")]
+    for k, (url, kind, body) in enumerate([("http://a/", "text/html", b"HTTP/1.0 200 OK\r\nX-Page-Id: 1\r\n\r\nhi"), ("dns:a", "text/dns", b"1.2.3.4"), ("http://caf\u00e9/", "text/html", b"HTTP/1.0 200 OK\r\n\r\n" + b"x" * 200_000)]):
+        record = warc.arc_record(1, url, "1.2.3.4", "20010203040506", kind, body, "n", k)
+        records.append(record.replace("caf\u00e9".encode(), "caf\u00e9".encode("latin-1")))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc.gz").write_bytes(b"".join(gzip.compress(x) for x in records))
+    assert [r.url for r in warc.read_arc(spark, [str(tmp_path / "in")]).collect()] == ["http://a/", "dns:a", "http://caf\u00e9/"]
+    path = warc.convert_arc(spark, [str(tmp_path / "in")], str(tmp_path / "out"))
+    assert sorted((r.url, r.payload_bytes) for r in warc.read_warc(spark, path).collect()) == [("dns:a", 7), ("http://a/", 2), ("http://caf\u00e9/", 200_000)]
+    heads = [h for c in spark.read.format("binaryFile").load(path).collect() for h, _ in warc.parse_warc(warc._inflated(c.content))]
+    assert {h["content-type"] for h in heads if h.get("warc-target-uri") == "dns:a"} == {"text/dns"}
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids))
+    with pytest.raises(ValueError, match="cut short"):
+        warc._inflated(gzip.compress(b"abc" * 99)[:-12])
+
+
 def test_arc_versions_are_parsed():
     for version in (1, 2):
         data = warc.arc_version_block(version, "n", "20010203040506") + warc.arc_record(version, "http://x/", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhi\n\nthere", "n", 9)
@@ -143,6 +163,38 @@ def test_likeness_of_lines_repeated_thousands_of_times(spark):
     assert got[2]["near_next"] > 0.999 and got[4]["near_next"] > 0.6
 
 
+def test_fingerprints_equal_brute_force(spark):
+    def paragraphs(text):
+        return [p for p in re.split(r"\n|(?<=[.!?]) ", text) if p]
+
+    def vector(text):
+        lanes = []
+        for first in (b"", xxhash.xxh64(b"\1\0\0\0", seed=42).intdigest()):
+            hashes = [xxhash.xxh64(p.encode(), seed=42 if first == b"" else first).intdigest() for p in paragraphs(text)]
+            for j in range(fingerprints.LANES // 2):
+                lanes.append(sum((xxhash.xxh64(j.to_bytes(4, "little"), seed=xxhash.xxh64(h.to_bytes(8, "little"), seed=42).intdigest()).intdigest() & 127) * 2 - 127 for h in hashes))
+        return np.array(lanes, float)
+
+    def cosine(a, b, same):
+        norm = np.linalg.norm(a) * np.linalg.norm(b)
+        return 1.0 if same else max(0.0, min(1.0, float(a @ b) / norm)) if norm else 0.0
+
+    rng = random.Random(11)
+    texts = {7: "One. Two! Three?\nfour\n\nfive", 5: None, 3: "x", -4: "\n".join(["line"] * 3000 + ["last"]), 2: " ".join(prose(rng, 5) + "." for _ in range(30)), None: "null id. here"}
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.createDataFrame([*texts.items(), (3, "x")], "doc_id long, text string")).dropDuplicates(["doc_id"]).collect()}
+    order = [7, 5, 3, 2, -4, None]
+    for doc, after in zip(order, [*order[1:], order[0]], strict=True):
+        text, ahead = texts[doc] or "", texts[after] or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + ahead[:cut]
+        a, b, c = vector(text), vector(edited), vector(ahead)
+        assert got[doc].n_chars == len(text) and got[doc].edited_sha256 == sha(edited)
+        assert got[doc].fingerprint == "".join(f"{int(x) % (1 << 40):010x}" for x in a)
+        assert got[doc].edited_fingerprint == "".join(f"{int(x) % (1 << 40):010x}" for x in b)
+        assert got[doc].near_edited == pytest.approx(cosine(a, b, (a == b).all()))
+        assert got[doc].near_next == pytest.approx(cosine(a, c, (a == c).all()))
+
+
 # 3. Quality rules
 
 
