@@ -30,6 +30,8 @@ STEP = 20
 SPACE = r"[\x20\x09-\x0D]"
 #: Texts of one chunk of a bucket; a block holds two chunks at most.
 CHUNK = 256
+#: Edges of one task of a contraction round, where the shuffle has more partitions than they need.
+EDGES_A_TASK = 5_000
 _LOWEST = -(1 << 63)
 
 
@@ -175,19 +177,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     In each round every node moves to the one of its closed neighbourhood that a new
     random order puts first, and edges are rewritten; the expected number of nodes falls by
-    a constant factor, whatever the shape.  Every round is written to the shared folder.
+    a constant factor, whatever the shape.  Every round is written to the shared folder, by
+    as many tasks as its edges need: most rounds have few edges left.
     """
     moves, current = [], stage_table(edges.select("a", "b").where("a != b").distinct(), "edges")
-    while not current.isEmpty():
+    while n := current.count():
+        tasks = -(-n // EDGES_A_TASK)
         order = lambda c, r=len(moves): F.xxhash64(c, F.lit(r))
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("o"), F.col("b").alias("to"))).alias("best"))
         to = F.when(F.col("best.o") < order(F.col("a")), F.col("best.to")).otherwise(F.col("a"))
-        move = stage_table(best.select(F.col("a").alias("node"), to.alias("to")), "moves")
+        move = stage_table(best.select(F.col("a").alias("node"), to.alias("to")).coalesce(tasks), "moves")
         moves.append(move)
         step = current.join(move.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(move.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
         ends = step.where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        current = stage_table(ends.distinct(), "edges")
+        current = stage_table(ends.distinct().coalesce(tasks), "edges")
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     labels = moves[0].select("node", F.col("to").alias("root"))
