@@ -1,11 +1,12 @@
-"""Entry points for one-dimensional plans between any two measures."""
+"""Entry points for plans: one-dimensional ones between any two measures, and semi-discrete ones in more dimensions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from masswright.operators import ot1d
+from masswright.functions import arrays
+from masswright.operators import measures, ot1d, solver
 
 
 def is_discrete(measure: DataFrame) -> bool:
@@ -52,3 +53,21 @@ def distance(f: DataFrame, g: DataFrame) -> float:
 
 def barycenters(f: DataFrame, g: DataFrame) -> DataFrame:
     return ot_plan(f, g).select("batch_id", "dirac_id", "barycenter")
+
+
+def semi_discrete_plan(sites: DataFrame, grid: DataFrame, knots: list[list[float]], order: int = 0, tol: float = 1e-6) -> tuple[DataFrame, float]:
+    """Plan between one batch of sites (site_id, pos, mass) and a grid density of any dimension; both are normalised to mass 1.
+
+    Returns one row per site (site_id, pos, weight, mass, barycenter, second_moment of its
+    cell about the site, offset) and the squared distance.  The Brenier
+    potential at x is the largest x . pos - offset, and its gradient there is that site's
+    pos.  Masses must be positive and site ids unique; the solver keeps one number per
+    site on the driver.
+    """
+    masses = {r["site_id"]: r["mass"] for r in sites.select("site_id", "mass").collect()}
+    plan = solver.newton(sites, masses, measures.normalize_grid(grid, order, len(knots)), knots, order, tol)
+    pos, b = F.col("pos"), F.col("barycenter")
+    square = arrays.dot(pos, pos)
+    rows = sites.select("site_id", "pos").join(plan.rows.drop("batch_id"), "site_id")
+    moment = F.col("second") + F.col("mass") * (square - 2 * arrays.dot(pos, b))
+    return rows.select("site_id", "pos", "weight", "mass", "barycenter", moment.alias("second_moment"), ((square - F.col("weight")) / 2).alias("offset")), plan.distance

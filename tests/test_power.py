@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from masswright.functions import polytopes
 from masswright.functions.jets import DensePolynomial, Jet, bisect_largest_inside, conjugate_gradient, minimize_lbfgs, minimize_sgd
 from masswright.operators import measures, power, solver
+from masswright.plans import ot_plan
 
 
 def sites(spark, pos, weights=None):
@@ -85,6 +86,18 @@ def test_newton_gives_every_site_its_mass_and_gradients_fit_differences(spark):
         solver.newton(sites(spark, pos), {**want, 0: 0.0}, grid, knots)
 
 
+def test_plan_of_two_sites_in_closed_form(spark):
+    """Masses 3 and 1 on a density of mass 2: the cells of the unit square meet at x = 3/4."""
+    two = spark.createDataFrame([(0, [0.25, 0.5], 3.0), (1, [0.75, 0.5], 1.0)], "site_id long, pos array<double>, mass double")
+    rows, distance = ot_plan.semi_discrete_plan(two, measures.polynomial_grid(spark, [[[2.0]]]), [[0.0, 1.0]] * 2, tol=1e-9)
+    a, b = rows.orderBy("site_id").collect()
+    assert [a.mass, b.mass] == pytest.approx([0.75, 0.25])
+    assert a.barycenter == pytest.approx([0.375, 0.5]) and b.barycenter == pytest.approx([0.875, 0.5])
+    moments = [(0.5**3 + 0.25**3) / 3 + 0.75 / 12, 0.25**3 / 3 + 0.25 / 12]
+    assert [a.second_moment, b.second_moment] == pytest.approx(moments) and distance == pytest.approx(sum(moments))
+    assert b.offset - a.offset == pytest.approx(0.75 * 0.5)
+
+
 def test_quantisation_never_gets_worse(spark):
     pos = np.random.default_rng(6).random((4, 2)) * 0.3
     moved, seen = solver.lloyd(sites(spark, pos), dict.fromkeys(range(4), 1.0), measures.polynomial_grid(spark, [[[1.0]]]), [[0.0, 1.0]] * 2, 4)
