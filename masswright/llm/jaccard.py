@@ -30,7 +30,7 @@ STEP = 20
 SPACE = r"[\x20\x09-\x0D]"
 #: Texts of one chunk of a bucket; a block holds two chunks at most.
 CHUNK = 256
-#: Edges of one task of a contraction round, where the shuffle has more partitions than they need.
+#: Edges of one task of a contraction round, where the shuffle has more partitions than they need; so few are left to one task.
 EDGES_A_TASK = 5_000
 _LOWEST = -(1 << 63)
 
@@ -155,7 +155,8 @@ def block_links(bucket: int, side: np.ndarray, signatures: np.ndarray, buckets:
     return a[good], b[good]
 
 
-def spanning_forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+def spanning_forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges of a spanning forest of n nodes, and every node's root."""
     root, edges = list(range(n)), []
 
     def find(x: int) -> int:
@@ -169,7 +170,18 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int
         if p != q:
             root[q] = p
             edges.append((x, y))
-    return edges
+    return edges, [find(x) for x in range(n)]
+
+
+def root_nodes(batches: Iterator) -> Iterator:
+    """(node, to) of all nodes of the edges (a, b) of one task: its component's root."""
+    import pyarrow as pa
+
+    ends = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches if batch.num_rows]
+    if ends:
+        nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[spanning_forest(a, b, len(nodes))[1]])], names=["node", "to"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -178,11 +190,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     In each round every node moves to the one of its closed neighbourhood that a new
     random order puts first, and edges are rewritten; the expected number of nodes falls by
     a constant factor, whatever the shape.  Every round is written to the shared folder, by
-    as many tasks as its edges need: most rounds have few edges left.
+    as many tasks as its edges need.  The last EDGES_A_TASK edges, which are one task's work
+    in any case, are joined up in one go.
     """
+    ship_package(edges.sparkSession)
     moves, current = [], stage_table(edges.select("a", "b").where("a != b").distinct(), "edges")
-    while n := current.count():
-        tasks = -(-n // EDGES_A_TASK)
+    while (n := current.count()) > EDGES_A_TASK:
+        tasks = -(-n // max(1, EDGES_A_TASK))
         order = lambda c, r=len(moves): F.xxhash64(c, F.lit(r))
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("o"), F.col("b").alias("to"))).alias("best"))
@@ -192,8 +206,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = current.join(move.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(move.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
         ends = step.where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         current = stage_table(ends.distinct().coalesce(tasks), "edges")
-    if not moves:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    if n or not moves:
+        moves.append(stage_table(current.coalesce(1).mapInArrow(root_nodes, "node long, to long"), "moves"))
     labels = moves[0].select("node", F.col("to").alias("root"))
     for move in moves[1:]:
         step = move.select(F.col("node").alias("root"), F.col("to").alias("next"))
@@ -281,7 +295,7 @@ def near_links(texts: DataFrame, docs: DataFrame, n: int, threshold: Fraction, t
         if len(a):
             degree = np.bincount(np.concatenate([a, b]), minlength=len(nodes))
             some = np.flatnonzero(degree)
-            edges = np.array(spanning_forest(a, b, len(nodes)))
+            edges = np.array(spanning_forest(a, b, len(nodes))[0])
             left = np.concatenate([nodes[some], nodes[edges[:, 0]]])
             right = pa.array(np.concatenate([nodes[some], nodes[edges[:, 1]]]), mask=np.arange(len(left)) < len(some))
             yield pa.RecordBatch.from_arrays([pa.array(left), right, pa.array(np.concatenate([degree[some], np.zeros(len(edges), np.int64)]))], names=["a", "b", "links"])

@@ -616,7 +616,10 @@ def test_rows_of_one_id_and_two_texts_both_stay(spark):
     assert jaccard.keep_one_each(df).count() == 4
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("edges_a_task", [5_000, 20, 0])
+def test_components_of_long_chains(spark, monkeypatch, edges_a_task):
+    """All edges in one task, rounds with the last edges in one task, and rounds to the end."""
+    monkeypatch.setattr(jaccard, "EDGES_A_TASK", edges_a_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1000), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in jaccard.connected_components(edges).collect()}
     assert len({found[i] for i in range(301)}) == 1 and len({found[i] for i in (1000, 1001, 1002)}) == 1 and found[0] != found[1000]
