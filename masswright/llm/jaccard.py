@@ -32,6 +32,8 @@ SPACE = r"[\x20\x09-\x0D]"
 CHUNK = 256
 #: Edges of one task of a contraction round, where the shuffle has more partitions than they need; so few are left to one task.
 EDGES_A_TASK = 5_000
+#: Rows of one task that writes signatures, buckets or classes, where the shuffle has more partitions than they need.
+ROWS_A_TASK = 2_000
 _LOWEST = -(1 << 63)
 
 
@@ -64,8 +66,11 @@ def minhash(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     mask = rng.integers(1 << 62, size=HASHES, dtype=np.int64).astype(np.uint64)
     out = np.empty((len(counts), HASHES), np.uint32)
     starts = np.cumsum(counts) - counts
+    mixed = np.empty_like(shingles)
     for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat(((shingles ^ mask[k]) * odd[k]) >> np.uint64(32), starts)
+        np.bitwise_xor(shingles, mask[k], out=mixed)
+        np.multiply(mixed, odd[k], out=mixed)
+        out[:, k] = np.minimum.reduceat(mixed, starts) >> np.uint64(32)
     return out
 
 
@@ -173,6 +178,11 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[tuple[in
     return edges, [find(x) for x in range(n)]
 
 
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, in no more tasks than they need."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def root_nodes(batches: Iterator) -> Iterator:
     """(node, to) of all nodes of the edges (a, b) of one task: its component's root."""
     import pyarrow as pa
@@ -194,7 +204,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     in any case, are joined up in one go.
     """
     ship_package(edges.sparkSession)
-    moves, current = [], stage_table(edges.select("a", "b").where("a != b").distinct(), "edges")
+    moves, current = [], stage_table(in_tasks(edges.select("a", "b").where("a != b").distinct(), edges.count()), "edges")
     while (n := current.count()) > EDGES_A_TASK:
         tasks = -(-n // max(1, EDGES_A_TASK))
         order = lambda c, r=len(moves): F.xxhash64(c, F.lit(r))
@@ -255,11 +265,12 @@ def near_links(texts: DataFrame, docs: DataFrame, n: int, threshold: Fraction, t
     # Buckets with the same members hold the same pairs; one of them is kept.
     kept = full.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = banded.join(kept, "bucket")
-    active = stage_table(members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("buckets")), "bucket-members")
+    active = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("buckets"))
+    active = stage_table(in_tasks(active, texts.count()), "bucket-members")
 
     chosen = texts.join(active, "node").select("node", F.coalesce("id", F.lit(_LOWEST)).alias("id"), "key", "signature", "buckets")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    payload = rows.join(chosen, ["id", "key"]).dropDuplicates(["node"])
+    payload = rows.dropDuplicates(["id", "key"]).join(chosen, ["id", "key"])
     chunks = F.ceil(F.col("one.n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
     blocks = (
@@ -326,7 +337,7 @@ def text_classes(docs: DataFrame, n: int, threshold: Fraction, tolerance: float)
     """Every distinct text's class: key, class_id, n_links, n_copies and whether its smallest id and key stand for the class."""
     signed = signatures(docs, n)
     grouped = signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("signature").alias("signature"))
-    texts = stage_table(grouped.withColumn("node", F.monotonically_increasing_id()), "texts")
+    texts = stage_table(in_tasks(grouped, docs.count()).withColumn("node", F.monotonically_increasing_id()), "texts")
     reports = stage_table(near_links(texts, docs, n, threshold, tolerance), "links")
     links = reports.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     labels = connected_components(reports.where("b is not null"))
