@@ -43,5 +43,63 @@ docs AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST((position * 16) // n AS INTEGER) AS shard,
        CAST(position - (((position * 16) // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM placed
+""",
+    "op12_filter_audit": r"""
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE b.f <> a.f AND c.f NOT IN (a.f, b.f) AND d.f NOT IN (a.f, b.f, c.f) AND e.f NOT IN (a.f, b.f, c.f, d.f)
+), steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, substr(filter_order, CAST(s AS INTEGER), 1) AS f, substr(filter_order, 1, CAST(s AS INTEGER) - 1) AS earlier FROM orders, range(1, 6) r(s)),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM docs LEFT JOIN known USING (doc_id)
+), masks AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM failing GROUP BY part, fails),
+counted AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN NOT contains(fails, f) AND translate(fails, earlier, '') = fails THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN contains(fails, f) AND translate(fails, earlier, '') = fails THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN contains(fails, f) AND translate(fails, earlier, '') <> fails THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN contains(fails, f) AND translate(fails, earlier, '') = fails THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN contains(fails, f) AND translate(fails, earlier, '') = fails THEN bad ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+""",
+    "op13_mixing": r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents
+), keyed AS (
+  SELECT *, CAST('0x' || substr(md5('mixture-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest), 1, 15) AS BIGINT) AS key FROM docs
+), queues AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM keyed
+), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM totals),
+filled AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / (sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM weighed
+), levels AS (SELECT level FROM filled WHERE cap > weight * level ORDER BY cap / weight, rank LIMIT 1),
+targets AS (
+  SELECT source, source_size, rank, CASE WHEN cap <= weight * f.level THEN cap::DOUBLE ELSE weight * (SELECT level FROM levels) END AS target FROM filled f
+), placed AS (
+  SELECT q.doc_id, q.size, q.key, q.digest, q.upto, t.source_size, t.rank, t.target, row_number() OVER () AS row FROM queues q JOIN targets t ON q.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, turn * source_size + upto AS stop FROM placed, range(3) r(turn) WHERE size > 0
+), served AS (
+  SELECT *, sum(size) OVER (ORDER BY stop / target, rank, stop ROWS UNBOUNDED PRECEDING) AS served FROM copies
+), spent AS (
+  SELECT row, CAST(sum(greatest(0, least(size, (SELECT sum(size) FROM docs) - served + size))) AS BIGINT) AS taken FROM served GROUP BY row
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN spent USING (row)
 """,
 }
