@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, filteraudit, fingerprints, jaccard, mixing, packing, quality, secrets, sharding, tokenfiles, warc
+from . import bpe, chat, filteraudit, fingerprints, jaccard, mixing, packing, phrases, quality, secrets, sharding, tokenfiles, warc
 from .common import read_table
 from .sql import ORACLES
 
@@ -66,6 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), digests=True)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -75,7 +79,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_fingerprints, op3_quality_rules, op4_sharding, op5_packing, op6_secret_scans, op7_chat_formatting, op8_token_files, op9_jaccard_join, op10_bpe, op12_filter_audit, op13_mixing)
+    f.__name__: f for f in (op1_warc, op2_fingerprints, op3_quality_rules, op4_sharding, op5_packing, op6_secret_scans, op7_chat_formatting, op8_token_files, op9_jaccard_join, op10_bpe, op11_phrases, op12_filter_audit, op13_mixing)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
