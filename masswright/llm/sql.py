@@ -106,23 +106,23 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM place
 WITH pieces AS (
   SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS words
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
-), grams AS (
-  SELECT lang, k, words[i : i + k - 1] AS gram FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, range(1, 4) r(k))
-), counted AS (SELECT lang, k, gram, count(*) AS a FROM grams GROUP BY lang, k, gram),
-totals AS (SELECT lang, sum(a) AS n FROM counted WHERE k = 1 GROUP BY lang),
-candidates AS (SELECT * FROM counted WHERE k > 1 AND a >= 10),
+), spots AS (SELECT piece, lang, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM pieces),
+grams AS (SELECT lang, w1, lead(w1) OVER (PARTITION BY piece ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY piece ORDER BY i) AS w3 FROM spots),
+one AS (SELECT lang, w1, count(*) AS a FROM grams GROUP BY lang, w1),
+two AS (SELECT lang, w1, w2, count(*) AS a FROM grams WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*) AS a FROM grams WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(a) AS n FROM one GROUP BY lang),
 cuts AS (
-  SELECT c.lang, c.gram, c.a, cut, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
-  JOIN counted x ON x.lang = c.lang AND x.gram = c.gram[1 : cut] JOIN counted y ON y.lang = c.lang AND y.gram = c.gram[cut + 1 :]
-), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
-longer AS (
-  SELECT lang, gram, max(a) AS a FROM (SELECT lang, gram[1:2] AS gram, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, gram[2:3], a FROM candidates WHERE k = 3) GROUP BY lang, gram
-), ranked AS (
-  SELECT s.lang, array_to_string(s.gram, ' ') AS phrase, s.a, s.l, s.r, s.score, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, array_to_string(s.gram, ' ')) AS rank
-  FROM lowest s LEFT JOIN longer o ON o.lang = s.lang AND o.gram = s.gram
-  WHERE o.a IS NULL OR 100 * o.a < 50 * s.a
-)
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, 1 AS cut, t.a, x.a AS l, y.a AS r FROM two t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one y ON y.lang = t.lang AND y.w1 = t.w2
+  WHERE NOT EXISTS (SELECT 1 FROM three o WHERE o.lang = t.lang AND o.w1 = t.w1 AND o.w2 = t.w2 AND 100 * o.a >= 50 * t.a)
+    AND NOT EXISTS (SELECT 1 FROM three o WHERE o.lang = t.lang AND o.w2 = t.w1 AND o.w3 = t.w2 AND 100 * o.a >= 50 * t.a)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.a, x.a, y.a FROM three t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.a, x.a, y.a FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.w1 = t.w3
+), scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
