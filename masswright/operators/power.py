@@ -7,11 +7,13 @@ bisector has cut it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
-from operator import add
 
 import numpy as np
+import pandas as pd
+import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,61 +21,124 @@ from masswright.functions import arrays, polytopes
 from masswright.functions import cells as cells_of
 from masswright.session import ship_package, stage_table
 
-#: So many sites at most are written into assign's expression as constants.
-SITES_AS_CONSTANTS = 64
-#: Sites held in one array by assign; more sites make more arrays.
-SITES_PER_BLOCK = 1024
+from . import regions
+
+#: So many sites at most travel with every task of assign.
+SITES_IN_TASK = 1024
+#: Points of a region that meet in one task of assign.
+POINTS_PER_TASK = 100_000
+#: Distances held at a time.
+DISTANCES = 2_000_000
 SITES_PER_TILE = 64
 
 
-def assign(points: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds site_id and cost of the best site to ``points`` (keys, batch_id, pos); ties go to the smaller id.
+def _best_sites(pos: np.ndarray, site_pos: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index and cost of the best site of every position; the first of equal ones."""
+    best, least = np.zeros(len(pos), np.int64), np.zeros(len(pos))
+    step = max(1, DISTANCES // max(1, len(weights)))
+    for a in range(0, len(pos), step):
+        x = pos[a : a + step]
+        cost = np.zeros((len(x), len(weights)))
+        for d in range(pos.shape[1]):
+            gap = x[:, d, None] - site_pos[:, d]
+            cost += gap * gap
+        cost -= weights
+        at = np.argmin(cost, axis=1)
+        best[a : a + step], least[a : a + step] = at, cost[np.arange(len(x)), at]
+    return best, least
+
+
+def _with_site(columns: list, names: list[str], ids: np.ndarray, costs: np.ndarray):
+    import pyarrow as pa
+
+    lost = np.isnan(costs)  # a position that is null, or not of the sites' dimension
+    return pa.RecordBatch.from_arrays([*columns, pa.array(ids, mask=lost), pa.array(costs, mask=lost)], names=[*names, "site_id", "cost"])
+
+
+def assign(points: DataFrame, sites: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Adds site_id and cost of the best site to ``points`` (batch_id, pos, any others); ties go to the smaller id.
 
-    A few sites of few dimensions become constants of one generated expression.  More are
-    gathered in blocks of bounded size, each point is held against the blocks of its batch
-    in a row function, and the best block is kept; with one block a batch nothing of the
-    points is shuffled when Spark broadcasts the blocks.  Points of a batch without sites
-    are left out.
+    Every row has its result, rows with equal ids or values too.  Up to SITES_IN_TASK
+    sites travel with the tasks, and nothing is shuffled.  More sites are put in the leaves
+    of a bounded tree: points go by leaf to tasks of at most POINTS_PER_TASK, which get
+    the sites of the leaves that may hold a best site of the region's points
+    (regions.near_leaves); a point meets these instead of all sites.
+
+    Points of a batch without sites are left out; a null position, or one of another
+    dimension, gets a null site.  Null weights are 0; sites without batch or position are
+    left out.  ``keys`` is not needed any more.
     """
-    few = sites.select("batch_id", "site_id", "pos", "weight").limit(SITES_AS_CONSTANTS + 1).collect()
-    if 0 < len(few) <= SITES_AS_CONSTANTS and all(s["batch_id"] is not None and len(s["pos"]) <= 3 for s in few):
-        return _assign_constants(points, few)
-    place = F.floor((F.row_number().over(Window.partitionBy("batch_id").orderBy("site_id")) - 1) / SITES_PER_BLOCK)
-    rows = sites.select("batch_id", place.alias("block"), F.struct(F.col("site_id"), F.transform("pos", lambda x: x.cast("double")).alias("pos"), F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight")).alias("site"))
-    blocks = rows.groupBy("batch_id", "block").agg(F.collect_list("site").alias("sites"))
-    most, dim = sites.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("pos")).alias("dim")).agg(F.max("n"), F.max("dim")).first()
-    many = (most or 0) > SITES_PER_BLOCK
-
-    def square(s: Column) -> Column:
-        if not 1 <= (dim or 0) <= 3:
-            return arrays.norm2(arrays.subtract(F.col("pos"), s["pos"]))
-        gaps = [F.get("pos", F.lit(d)) - F.get(s["pos"], F.lit(d)) for d in range(dim)]
-        return reduce(add, [g * g for g in gaps])
-
-    def cost(s: Column) -> Column:
-        return F.struct((square(s) - s["weight"]).alias("cost"), s["site_id"].alias("site_id"))
-
-    found = points.join(blocks, "batch_id").withColumn("best", F.array_min(F.transform("sites", cost))).drop("sites", "block")
-    if many:
-        rest = [c for c in points.columns if c not in ("batch_id", *keys)]
-        found = found.groupBy("batch_id", *keys).agg(F.min("best").alias("best"), *[F.first(c).alias(c) for c in rest])
-    return found.select(*points.columns, F.col("best.site_id").alias("site_id"), F.col("best.cost").alias("cost"))
-
-
-def _assign_constants(points: DataFrame, sites: list) -> DataFrame:
-    best, batches = None, sorted({s["batch_id"] for s in sites})
-    for batch in batches:
-        costs = []
-        for s in sites:
-            if s["batch_id"] == batch:
-                gaps = [F.get("pos", F.lit(d)) - F.lit(float(x)) for d, x in enumerate(s["pos"])]
-                cost = reduce(add, [g * g for g in gaps]) - F.lit(float(s["weight"] or 0.0))
-                costs.append(F.struct(cost.alias("cost"), F.lit(s["site_id"]).cast("long").alias("site_id")))
-        least = F.least(*costs) if len(costs) > 1 else costs[0]
-        here = F.col("batch_id") == F.lit(batch)
-        best = F.when(here, least) if best is None else best.when(here, least)
-    found = points.where(F.col("batch_id").isin(batches)).withColumn("best", best)
-    return found.select(*points.columns, F.col("best.site_id").alias("site_id"), F.col("best.cost").alias("cost"))
+    ship_package(points.sparkSession)
+    sites = regions.plain_sites(sites)
+    out = T.StructType([*points.schema.fields, T.StructField("site_id", T.LongType()), T.StructField("cost", T.DoubleType())])
+    few = sites.limit(SITES_IN_TASK + 1).collect()
+    if len(few) <= SITES_IN_TASK:
+        return points.mapInArrow(_assign_here(few, points.columns), out)
+    tree = regions.build_tree(sites)
+    if tree is None:
+        # More batches than leaves: each batch is a region.
+        here, near = points.where("batch_id is not null").withColumn("_leaf", F.col("batch_id").cast("long")), sites.withColumn("_leaf", F.col("batch_id"))
+    else:
+        here = stage_table(regions.add_leaf(points, tree), "points-by-leaf")
+        located, bounds = regions.stage_leaves(sites, tree)
+        axes = [F.get("pos", F.lit(d)).cast("double") for d in range(tree.dim)]
+        real = reduce(lambda a, b: a & b, [a.isNotNull() & ~F.isnan(a) for a in axes])
+        boxes = here.groupBy("_leaf").agg(F.array(*[F.min(F.when(real, a)) for a in axes]).alias("lo"), F.array(*[F.max(F.when(real, a)) for a in axes]).alias("hi")).collect()
+        # A region of undefined positions alone has any box.
+        leaf = np.array([r["_leaf"] for r in boxes], np.int64)
+        lo, hi = (np.nan_to_num(np.array([r[c] for r in boxes], float).reshape(len(leaf), tree.dim)) for c in ("lo", "hi"))
+        region, found = regions.near_leaves(bounds, leaf, lo, hi)
+        pairs = points.sparkSession.createDataFrame(pd.DataFrame({"_region": leaf[region], "_leaf": found}), "_region long, _leaf long")
+        near = located.join(pairs, "_leaf").drop("_leaf").withColumnRenamed("_region", "_leaf")
+    shares = stage_table(here.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / POINTS_PER_TASK).alias("_shares")), "point-shares")
+    here = here.join(shares, "_leaf").withColumn("_share", F.pmod(F.monotonically_increasing_id(), "_shares")).drop("_shares")
+    near = near.join(shares, "_leaf").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_shares").withColumnsRenamed({"_leaf": "_to", "_share": "_part"})
+    names = points.columns
+
+    def work(points, near):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        order = near.sort_by("site_id")
+        dim = pc.max(pc.list_value_length(order.column("pos"))).as_py() or 0
+        best, cost = np.zeros(points.num_rows, np.int64), np.full(points.num_rows, np.nan)
+        ids = order.column("site_id").to_numpy()
+        if len(ids) and points.num_rows:
+            best, cost = _best_sites(regions.positions(points.column("pos"), dim), regions.positions(order.column("pos"), dim), order.column("weight").to_numpy())
+            best = ids[best]
+        columns = [points.column(c).combine_chunks() for c in names]
+        table = pa.Table.from_batches([_with_site(columns, names, best, cost)])
+        return table if len(ids) else table.slice(0, 0)
+
+    return here.groupBy("_leaf", "_share").cogroup(near.groupBy("_to", "_part")).applyInArrow(work, out)
+
+
+def _assign_here(sites: list, names: list[str]):
+    """A task's function for a few sites of any batches."""
+    batches = {}
+    for s in sorted(sites, key=lambda s: (s["batch_id"], s["site_id"])):
+        batches.setdefault(s["batch_id"], []).append(s)
+    known = {b: (np.array([s["site_id"] for s in rows]), np.array([s["pos"] for s in rows], float), np.array([s["weight"] for s in rows])) for b, rows in batches.items()}
+
+    def work(tables: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, pos_at = names.index("batch_id"), names.index("pos")
+        for table in tables:
+            ids = table.column(at)
+            batch = ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            kept, best, cost = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64), np.full(len(batch), np.nan)
+            for b in np.unique(batch).tolist():
+                if b not in known:
+                    continue
+                rows = (batch == b) & ids.is_valid().to_numpy(zero_copy_only=False)
+                site_ids, pos, weights = known[b]
+                own = table.column(pos_at).filter(pa.array(rows))
+                k, cost[rows] = _best_sites(regions.positions(own, pos.shape[1]), pos, weights)
+                best[rows], kept[rows] = site_ids[k], True
+            yield _with_site(table.columns, names, best, cost).filter(pa.array(kept))
+
+    return work
 
 
 def axis_histogram(points: DataFrame, axis: int, bins: int = 256) -> DataFrame:

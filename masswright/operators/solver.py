@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from masswright.functions import arrays
 from masswright.functions.jets import conjugate_gradient
+from masswright.session import stage_table
 
 from . import power
 
@@ -131,6 +132,5 @@ def lloyd_discrete(points: DataFrame, sites: DataFrame, dim: int, steps: int) ->
         sums = power.assigned_sums(power.assign(points, sites, ["point_id"]), sites, dim)
         moved = sites.join(sums, ["batch_id", "site_id"])
         pos = F.array(*[F.coalesce(f"barycenter_{d}", F.get("pos", F.lit(d))) for d in range(dim)])
-        rows = moved.select("batch_id", "site_id", pos.alias("pos"), "weight").collect()
-        sites = sites.sparkSession.createDataFrame(rows, "batch_id long, site_id long, pos array<double>, weight double")
+        sites = stage_table(moved.select("batch_id", "site_id", pos.alias("pos"), "weight"), "lloyd-sites")
     return sites

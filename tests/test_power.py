@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from masswright.functions import polytopes
 from masswright.functions.jets import DensePolynomial, Jet, bisect_largest_inside, conjugate_gradient, minimize_lbfgs, minimize_sgd
-from masswright.operators import measures, power, solver
+from masswright.operators import measures, power, regions, solver
 from masswright.plans import ot_plan
 
 
@@ -52,17 +52,71 @@ def test_cells_of_many_tiles_equal_brute_force(spark, kind):
         assert got.get(k, 0.0) == pytest.approx(brute_cell(pos, weights, k), abs=1e-9), k
 
 
-def test_points_go_to_the_same_site_by_constants_blocks_and_brute_force(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    pos, weights, points = rng.random((40, 2)), rng.random(40) * 0.01, rng.random((300, 2))
+def best(points, pos, weights, ids):
     cost = ((points[:, None] - pos) ** 2).sum(axis=2) - weights
-    df = spark.createDataFrame([(0, i, p.tolist()) for i, p in enumerate(points)] + [(5, 999, [0.0, 0.0])], "batch_id long, point_id long, pos array<double>")
-    for constants, block in ((64, 1024), (0, 1024), (0, 16)):
-        monkeypatch.setattr(power, "SITES_AS_CONSTANTS", constants)
-        monkeypatch.setattr(power, "SITES_PER_BLOCK", block)
-        got = {r.point_id: (r.site_id, r.cost) for r in power.assign(df, sites(spark, pos, weights), ["point_id"]).collect()}
-        assert {k: v[0] for k, v in got.items()} == dict(enumerate(cost.argmin(axis=1).tolist()))
-        assert [got[i][1] for i in range(300)] == pytest.approx(cost.min(axis=1).tolist())
+    k = np.array([min(np.flatnonzero(c == c.min()), key=lambda j: ids[j]) for c in cost])
+    return ids[k], cost.min(axis=1)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clustered", "weighted"])
+@pytest.mark.parametrize("n", [50, 1000, 1100, 5000])
+def test_every_row_goes_to_its_best_site(spark, monkeypatch, n, kind):
+    if n == 5000:
+        monkeypatch.setattr(power, "POINTS_PER_TASK", 60)
+        monkeypatch.setattr(regions, "SAMPLE_ROWS", 1500)
+    rng = np.random.default_rng(n)
+    pos, weights = rng.random((n, 2)), np.zeros(n)
+    points = 1.4 * rng.random((900, 2)) - 0.2
+    if kind == "clustered":
+        pos[: n // 2], points[:300] = 0.3 + 1e-4 * rng.random((n // 2, 2)), 0.3 + 1e-4 * rng.random((300, 2))
+        pos[-9:] = pos[0]  # equal places: the smaller id
+    if kind == "weighted":
+        weights = 0.05 * pos[:, 0] + rng.random(n) * 0.002
+        weights[7] = 0.3
+    ids = rng.permutation(n)
+    points[10:20] = points[0]  # equal rows, and equal ids below
+    rows = [(0, i % 400, p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame([*rows, (0, 990, None), (0, 991, [0.1]), (0, 992, [0.1, None]), (5, 999, [0.0, 0.0]), (None, 998, [0.0, 0.0])], "batch_id long, point_id long, pos array<double>")
+    df = df.withColumn("_region", F.lit("x")).withColumn("best", F.lit(1))
+    table = spark.createDataFrame([(0, int(i), p.tolist(), float(w)) for i, p, w in zip(ids, pos, weights, strict=True)] + [(None, 1, [0.0, 0.0], 9.0), (0, 2, None, 9.0)], "batch_id long, site_id long, pos array<double>, weight double")
+    got = power.assign(df, table)
+    assert got.columns == [*df.columns, "site_id", "cost"]
+    site, cost = best(points, pos, weights, ids)
+    want = [(r[1], tuple(r[2]), int(s), float(c)) for r, s, c in zip(rows, site, cost, strict=True)]
+    found = got.collect()
+    assert sorted((r.point_id, tuple(r.pos), r.site_id, r.cost) for r in found if r.point_id < 900) == sorted(want)
+    assert sorted((r.point_id, r.site_id, r.cost) for r in found if r.point_id >= 900) == [(990, None, None), (991, None, None), (992, None, None)]
+
+
+@pytest.mark.parametrize("leaves", [4096, 8])
+def test_batches_have_sites_of_their_own(spark, monkeypatch, leaves):
+    monkeypatch.setattr(power, "SITES_IN_TASK", 20)
+    monkeypatch.setattr(regions, "MAX_LEAVES", leaves)  # 8: more batches than leaves
+    rng = np.random.default_rng(8)
+    pos, points = rng.random((30, 12, 3)), rng.random((30, 25, 3))
+    table = spark.createDataFrame([(b, i, p.tolist(), None) for b in range(30) for i, p in enumerate(pos[b])], "batch_id int, site_id int, pos array<double>, weight double")
+    df = spark.createDataFrame([(b, i, p.tolist()) for b in range(30) for i, p in enumerate(points[b])] + [(77, 0, [0.0] * 3)], "batch_id int, point_id int, pos array<double>")
+    got = {(r.batch_id, r.point_id): (r.site_id, r.cost) for r in power.assign(df, table).collect()}
+    assert len(got) == 750
+    for b in range(30):
+        site, cost = best(points[b], pos[b], np.zeros(12), np.arange(12))
+        assert [got[b, i] for i in range(25)] == list(zip(site.tolist(), cost.tolist(), strict=True))
+    assert power.assign(df, table.limit(0)).count() == 0 and power.assign(df.limit(0), table).count() == 0
+
+
+def test_few_leaves_are_searched(spark):
+    rng = np.random.default_rng(5)
+    pos = rng.random((20_000, 2))
+    weights = 3.0 * pos[:, 0] - 1.0 * pos[:, 1] + 1e-6 * rng.random(20_000)  # an affine bound is tight, a constant one is not
+    table = regions.plain_sites(sites(spark, pos - np.array([1.5, -0.5]), weights))
+    tree = regions.build_tree(table)
+    located, bounds = regions.stage_leaves(table, tree)
+    assert bounds.n.sum() == 20_000 and bounds.n.max() <= 64
+    box = np.arange(0, tree.leaves, 9)
+    # Such weights shift the plane: the best site of x is that nearest to x plus half the slope.
+    lo, hi = bounds.lo[box] - np.array([1.5, -0.5]), bounds.hi[box] - np.array([1.5, -0.5])
+    rows, found = regions.near_leaves(bounds, box, lo, hi)
+    assert len(found) < 40 * len(box) < tree.leaves * len(box) / 10
 
 
 def test_newton_gives_every_site_its_mass_and_gradients_fit_differences(spark):
