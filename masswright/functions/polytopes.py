@@ -119,24 +119,25 @@ def facets(cell: Polytope) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def simplices(cell: Polytope) -> list[np.ndarray]:
-    """Vertex index sets of a triangulation: fans over faces of falling dimension."""
+def _fan(cell: Polytope, members: tuple[int, ...], used: frozenset[int], dim: int) -> list[tuple[int, ...]]:
+    """Simplices of the face of dimension ``dim`` that has these vertices and lies on the used cuts: an apex joined to the faces without it."""
+    if dim == 0:
+        return [members[:1]]
+    apex, found, seen = members[0], [], set()
+    for k in sorted(frozenset().union(*[cell.on[i] for i in members]) - used):
+        face = tuple(i for i in members if k in cell.on[i])
+        if apex in face or len(face) < dim or face in seen or len(face) == len(members):
+            continue
+        seen.add(face)
+        found += [(apex, *s) for s in _fan(cell, face, used | {k}, dim - 1)]
+    return found
 
-    def fan(members: tuple[int, ...], used: frozenset[int], dim: int) -> list[tuple[int, ...]]:
-        if dim == 0:
-            return [members[:1]]
-        apex, found, seen = members[0], [], set()
-        for k in sorted(frozenset().union(*[cell.on[i] for i in members]) - used):
-            face = tuple(i for i in members if k in cell.on[i])
-            if apex in face or len(face) < dim or face in seen or len(face) == len(members):
-                continue
-            seen.add(face)
-            found += [(apex, *s) for s in fan(face, used | {k}, dim - 1)]
-        return found
 
+def simplices(cell: Polytope) -> list[np.ndarray]:
+    """Vertex index sets of a triangulation: fans over faces of falling dimension."""
     if cell.empty:
         return []
-    return [np.array(s) for s in fan(tuple(range(len(cell.vertices))), frozenset(), cell.dim) if len(s) == cell.dim + 1]
+    return [np.array(s) for s in _fan(cell, tuple(range(len(cell.vertices))), frozenset(), cell.dim) if len(s) == cell.dim + 1]
 
 
 def simplex_volume(points: np.ndarray) -> float:
@@ -166,18 +167,8 @@ def centroid(cell: Polytope) -> np.ndarray:
 
 def facet_simplices(cell: Polytope, members: np.ndarray, cut: int) -> list[np.ndarray]:
     """Simplices of dimension dim - 1 that make up a facet."""
-    if cell.dim == 1:
-        return [cell.vertices[members[:1]]]
-    if cell.dim == 2:
-        return [cell.vertices[members[:2]]]
-    p = cell.vertices[members]
-    n = cell.normals[cut] / np.linalg.norm(cell.normals[cut])
-    c = p.mean(axis=0)
-    u = p[0] - c
-    u /= np.linalg.norm(u)
-    w = np.cross(n, u)
-    order = np.argsort(np.arctan2((p - c) @ w, (p - c) @ u))
-    return [p[[order[0], order[k], order[k + 1]]] for k in range(1, len(order) - 1)]
+    fans = _fan(cell, tuple(members.tolist()), frozenset([cut]), cell.dim - 1)
+    return [cell.vertices[list(s)] for s in fans if len(s) == cell.dim]
 
 
 def _grundmann_moeller(degree: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +201,67 @@ def integrate(simplex: np.ndarray, f: Callable[[np.ndarray], np.ndarray], degree
     return float(weights @ f(nodes @ simplex)) * simplex_volume(simplex)
 
 
+def quadrature(parts: list[np.ndarray], degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and weights over simplices of one dimension, exact for polynomials of total degree at most ``degree``."""
+    if not parts:
+        return np.zeros((0, 1)), np.zeros(0)
+    k = len(parts[0]) - 1
+    if k == 0:
+        return np.concatenate(parts), np.ones(len(parts))
+    nodes, weights = _grundmann_moeller(degree, k)
+    return np.concatenate([nodes @ p for p in parts]), np.concatenate([weights * simplex_volume(p) for p in parts])
+
+
+@dataclass
+class DiskPart:
+    """Quadrature (nodes, weights) over the part of a polygon in a disk, over the circle's arcs in the polygon, and over every edge's stretch in the disk."""
+
+    inside: tuple[np.ndarray, np.ndarray]
+    arcs: tuple[np.ndarray, np.ndarray]
+    edges: list[tuple[np.ndarray, np.ndarray]]
+
+
+def disk_part(points: np.ndarray, center: np.ndarray, radius: float, degree: int) -> DiskPart:
+    """The part of a counter-clockwise polygon inside a disk, for polynomials of total degree at most ``degree``.
+
+    The polygon is the signed sum of the triangles from the centre to its edges; of each,
+    the stretch of the edge inside the disk gives a triangle and the rest a sector.
+    Sectors are integrated in polar coordinates, to rounding.
+    """
+    line = np.polynomial.legendre.leggauss(degree // 2 + 2)
+    turn = np.polynomial.legendre.leggauss(14 + 2 * degree)
+    tri, tri_weights = _grundmann_moeller(degree, 2)
+    nodes, weights, arc_nodes, arc_weights, edges = [np.zeros((0, 2))], [np.zeros(0)], [np.zeros((0, 2))], [np.zeros(0)], []
+    for a, b in zip(points - center, np.roll(points, -1, axis=0) - center, strict=True):
+        d = b - a
+        square, middle = float(d @ d), float(a @ d)
+        disc = middle * middle - square * (float(a @ a) - radius * radius)
+        cuts = [0.0, 1.0]
+        if square > 0 and disc > 0:
+            cuts += [t for t in ((-middle - disc**0.5) / square, (-middle + disc**0.5) / square) if 0 < t < 1]
+        cuts.sort()
+        kept = (np.zeros((0, 2)), np.zeros(0))
+        for s, t in zip(cuts[:-1], cuts[1:], strict=True):
+            p, q = a + s * d, a + t * d
+            cross = float(p[0] * q[1] - p[1] * q[0])
+            half = (p + q) / 2
+            if half @ half <= radius * radius:
+                nodes.append(tri @ np.stack([np.zeros(2), p, q]))
+                weights.append(tri_weights * cross / 2)
+                kept = (np.outer((1 - line[0]) / 2, p) + np.outer((1 + line[0]) / 2, q) + center, line[1] / 2 * np.linalg.norm(q - p))
+                continue
+            angle, start = np.arctan2(cross, p @ q), np.arctan2(p[1], p[0])
+            theta = start + angle * (1 + turn[0]) / 2
+            ring, ring_weights = np.stack([np.cos(theta), np.sin(theta)], axis=1), turn[1] / 2 * angle
+            rho, rho_weights = radius * (1 + line[0]) / 2, line[1] / 2 * radius
+            nodes.append((rho[:, None, None] * ring).reshape(-1, 2))
+            weights.append(np.outer(rho_weights * rho, ring_weights).ravel())
+            arc_nodes.append(radius * ring)
+            arc_weights.append(ring_weights * radius)
+        edges.append(kept)
+    return DiskPart((np.concatenate(nodes) + center, np.concatenate(weights)), (np.concatenate(arc_nodes) + center, np.concatenate(arc_weights)), edges)
+
+
 def shoelace_gradient(vertices: np.ndarray) -> np.ndarray:
     """Gradient of a counter-clockwise polygon's area with respect to its vertices."""
     before, after = np.roll(vertices, 1, axis=0), np.roll(vertices, -1, axis=0)
@@ -229,22 +281,3 @@ def frame_gradient(origin, axes, d_vertices, d_normals, d_offsets) -> tuple[np.n
         g_inner[:, k] = d_normals[2 * k + 1] - d_normals[2 * k] + swing * origin
         g_origin = g_origin + swing * inner[:, k]
     return g_origin, g_axes - inner.T @ g_inner @ inner.T
-
-
-def clip_to_disk(points: np.ndarray, center: np.ndarray, radius: float) -> float:
-    """Area of the part of a counter-clockwise polygon inside a disk."""
-    total = 0.0
-    for a, b in zip(points - center, np.roll(points, -1, axis=0) - center, strict=True):
-        d = b - a
-        A, B, C = d @ d, a @ d, a @ a - radius**2
-        disc = B * B - A * C
-        cuts = [0.0, 1.0]
-        if A > 0 and disc > 0:
-            cuts += [t for t in ((-B - disc**0.5) / A, (-B + disc**0.5) / A) if 0 < t < 1]
-        cuts.sort()
-        for s, t in zip(cuts[:-1], cuts[1:], strict=True):
-            p, q = a + s * d, a + t * d
-            cross = p[0] * q[1] - p[1] * q[0]
-            mid = (p + q) / 2
-            total += cross / 2 if mid @ mid <= radius**2 else radius**2 / 2 * float(np.arctan2(cross, p @ q))
-    return total

@@ -187,16 +187,15 @@ def bisectors(pairs: DataFrame) -> DataFrame:
 
 
 CELL_SCHEMA = (
-    "batch_id long, site_id long, pos array<double>, weight double, is_closed boolean, secure boolean, "
-    "vertices array<array<double>>, cut_normals array<array<double>>, cut_offsets array<double>, cut_ids array<long>"
+    "batch_id long, site_id long, pos array<double>, weight double, is_closed boolean, vertices array<array<double>>, "
+    "cut_normals array<array<double>>, cut_offsets array<double>, cut_ids array<long>, cut_shifts array<array<double>>"
 )
 
 
-def _site_cell(k: int, pos: np.ndarray, weights: np.ndarray, ids: np.ndarray, domain, reach: float, top: float):
-    """The cell of site k against the known sites, nearest first, and whether farther sites cannot cut it."""
-    lo, hi = domain
-    cell = polytopes.box(lo, hi)
-    p, w = pos[k], weights[k]
+def _site_cell(k: int, pos: np.ndarray, weights: np.ndarray, start: polytopes.Polytope):
+    """The cell of row k within ``start`` against the other rows, nearest first; cut ids are rows."""
+    cell, p, w = start, pos[k], weights[k]
+    top = float(weights.max())
     gap = np.linalg.norm(pos - p, axis=1)
     for j in np.argsort(gap, kind="stable"):
         if j == k or cell.empty:
@@ -204,80 +203,109 @@ def _site_cell(k: int, pos: np.ndarray, weights: np.ndarray, ids: np.ndarray, do
         r = np.linalg.norm(cell.vertices - p, axis=1).max()
         if gap[j] > r and (gap[j] - r) ** 2 >= r * r - w + top:
             break
-        d = pos[j] - p
-        if gap[j] == 0.0:
-            if weights[j] > w or weights[j] == w and ids[j] < ids[k]:
-                cell = polytopes.clip(cell, np.eye(len(p))[0], lo[0] - 1.0, int(ids[j]))
+        if gap[j] == 0.0:  # the table holds one site of a place
             continue
-        cell = polytopes.clip(cell, d, float(p @ d) + (float(d @ d) + w - weights[j]) / 2, int(ids[j]))
-    r = np.linalg.norm(cell.vertices - p, axis=1).max() if len(cell.vertices) else 0.0
-    secure = cell.empty or reach >= r + max(0.0, r * r - w + top) ** 0.5
-    return cell, bool(secure)
+        d = pos[j] - p
+        cell = polytopes.clip(cell, d, float(p @ d) + (float(d @ d) + w - weights[j]) / 2, int(j))
+    return cell
+
+
+def _image_shifts(lo: list[float], hi: list[float], periodic: list[bool]) -> np.ndarray:
+    """Shifts of a site's images that can cut cells of sites in the box; the first is zero."""
+    steps = [(0, -1, 1) if p else (0,) for p in periodic]
+    return np.array(list(product(*steps)), float) * (np.array(hi) - np.array(lo))
+
+
+def cells(sites: DataFrame, lo: list[float], hi: list[float], periodic: list[bool] | None = None) -> DataFrame:
+    """Cells of all sites in the box [lo, hi], one row a site.
 
+    Sites are tiled by the leaves of a bounded tree.  A tile's task first sees the sites of
+    the tiles next to it.  What may still cut a cell is known from its radius and the
+    leaves' boxes and heaviest sites: a cell is final if its task has seen all such leaves,
+    and the others are done again with exactly the leaves that they lack.
 
-def cells(sites: DataFrame, lo: list[float], hi: list[float], max_rounds: int = 20) -> DataFrame:
-    """Cells of all sites in the box [lo, hi].
+    On ``periodic`` axes the box is a torus: positions are moved into it, and a site meets
+    the images of all sites, its own too.  Cells are given around their site and may reach
+    over the box; cut_shifts says by how much a cut's site was moved.
 
-    Sites are tiled by place; a tile's task sees the sites of the rings of tiles around it.
-    A cell is final once nothing beyond its rings can reach it (its security radius); the
-    others are done again with twice as many rings.  No site list is broadcast, and a
-    task's input is bounded by the tile's size.
+    cut_ids are sites, or polytopes.BOUNDARY.  Of sites at one place the heaviest, then the
+    one with the smaller id, has the cell; the others, like all cells without points, have
+    no vertices.  Null weights are 0; sites without batch or position are left out.
     """
     spark = sites.sparkSession
     ship_package(spark)
-    dim = len(lo)
-    src = sites.select(F.col("batch_id").cast("long"), F.col("site_id").cast("long"), F.transform("pos", lambda x: x.cast("double")).alias("pos"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
-    ends = [f(F.get("pos", F.lit(d))).alias(f"{n}{d}") for d in range(dim) for f, n in ((F.min, "a"), (F.max, "b"))]
-    stats = src.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("top"), *ends)
-    tiled = src.join(stats, "batch_id").withColumn("side", F.greatest(F.lit(1), F.floor(F.pow(F.col("n") / SITES_PER_TILE, F.lit(1.0 / dim)))).cast("int"))
-    for d in range(dim):
-        width = F.col(f"b{d}") - F.col(f"a{d}")
-        t = F.floor((F.get("pos", F.lit(d)) - F.col(f"a{d}")) / F.when(width > 0, width).otherwise(1.0) * F.col("side"))
-        tiled = tiled.withColumn(f"t{d}", F.least(F.col("side") - 1, t).cast("int"))
-    done, todo, rings = None, None, 1
+    dim, lo, hi = len(lo), [float(x) for x in lo], [float(x) for x in hi]
+    periodic = periodic or [False] * dim
+    src = regions.plain_sites(sites)
+    if any(periodic):
+        moved = [F.lit(a) + F.pmod(F.get("pos", F.lit(d)) - F.lit(a), F.lit(b - a)) if p else F.get("pos", F.lit(d)) for d, (a, b, p) in enumerate(zip(lo, hi, periodic, strict=True))]
+        src = src.withColumn("pos", F.array(*moved))
+    src = stage_table(src, "cell-sites")
+    lead = src.groupBy("batch_id", "pos").agg(F.max(F.struct("weight", (-F.col("site_id")).alias("id"))).alias("lead"))
+    marked = src.join(lead, ["batch_id", "pos"]).withColumn("leads", F.col("lead") == F.struct(F.col("weight"), (-F.col("site_id")).alias("id"))).drop("lead")
+    marked = stage_table(marked.select(*src.columns, "leads"), "cell-places")
+    kinds = {"vertices": "array<array<double>>", "cut_normals": "array<array<double>>", "cut_offsets": "array<double>", "cut_ids": "array<long>", "cut_shifts": "array<array<double>>"}
+    hidden = marked.where("not leads").select(*src.columns, F.lit(True).alias("is_closed"), *[F.array().cast(t).alias(n) for n, t in kinds.items()])
+    leading = marked.where("leads").drop("leads")
+    shifts = _image_shifts(lo, hi, periodic)
+    tree = regions.build_tree(leading, SITES_PER_TILE)
+    if tree is None:
+        # More batches than leaves (or none): a batch is a tile, and all its images are seen at once.
+        located, bounds, pairs = leading.withColumn("_leaf", F.col("batch_id")), None, None
+        seen = located.withColumn("_tile", F.col("_leaf")).withColumn("_image", F.explode(F.array(*[F.lit(k) for k in range(len(shifts))])))
+    else:
+        located, bounds = regions.stage_leaves(leading, tree)
+        pairs = regions.tiles_around(bounds, shifts, 4**dim)
+        seen = located.join(spark.createDataFrame(pairs, "_tile long, _leaf long, _image int"), "_leaf")
 
     def work(table):
         import pyarrow as pa
 
-        rows = table.to_pydict()
-        pos, weights, ids = np.array(rows["pos"]), np.array(rows["weight"]), np.array(rows["site_id"])
+        pos = regions.positions(table.column("pos"), dim)
+        image, weights, ids, batch = (table.column(c).to_numpy() for c in ("_image", "weight", "site_id", "batch_id"))
+        tile = int(table.column("_tile")[0].as_py())
+        own = np.flatnonzero((table.column("_leaf").to_numpy() == tile) & (image == 0) & table.column("_todo").to_numpy(zero_copy_only=False))
+        pos = pos + shifts[image]
+        known = set(zip(table.column("_leaf").to_pylist(), image.tolist(), strict=True)) if bounds is not None else set()
         out = []
-        for k in np.flatnonzero(np.array(rows["own"])):
-            reach = np.inf
-            for d in range(dim):
-                a, b, side, t = rows[f"a{d}"][k], rows[f"b{d}"][k], rows["side"][k], rows[f"t{d}"][k]
-                step = (b - a) / side
-                if t - rows["rings"][k] > 0:
-                    reach = min(reach, pos[k][d] - (a + (t - rows["rings"][k]) * step))
-                if t + rows["rings"][k] < side - 1:
-                    reach = min(reach, a + (t + rows["rings"][k] + 1) * step - pos[k][d])
-            cell, secure = _site_cell(k, pos, weights, ids, (np.array(lo), np.array(hi)), reach, rows["top"][k])
+        for k in own.tolist():
+            half = (np.array(hi) - np.array(lo)) / 2
+            start = polytopes.box(np.where(periodic, pos[k] - half, lo), np.where(periodic, pos[k] + half, hi))
+            for d in np.flatnonzero(periodic).tolist():  # half-way to the site's own images
+                start.ids[2 * d], start.ids[2 * d + 1] = -2 * d - 10, -2 * d - 11
+            cell = _site_cell(k, pos, weights, start)
             used = sorted(frozenset().union(*cell.on)) if cell.on else []
-            out.append((rows["batch_id"][k], int(ids[k]), pos[k].tolist(), float(weights[k]), cell.closed, secure, cell.vertices.tolist(), cell.normals[used].tolist(), cell.offsets[used].tolist(), [int(cell.ids[c]) for c in used]))
-        names = [x.strip().split(" ")[0] for x in CELL_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.bool_(), pa.bool_(), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()), pa.list_(pa.int64())]
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
-
-    for _ in range(max_rounds):
-        shifts = F.array(*[F.array(*[F.lit(s) for s in shift]) for shift in product(range(-rings, rings + 1), repeat=dim)])
-        spread = tiled.withColumn("shift", F.explode(shifts)).withColumn("rings", F.lit(rings))
-        own = F.forall("shift", lambda s: s == 0)
-        spread = spread.withColumn("own", own)
-        for d in range(dim):
-            spread = spread.withColumn(f"u{d}", F.col(f"t{d}") + F.get("shift", F.lit(d))).where((F.col(f"u{d}") >= 0) & (F.col(f"u{d}") < F.col("side")))
-        if todo is not None:
-            spread = spread.join(todo.withColumn("wanted", F.lit(True)), ["batch_id", "site_id"], "left").withColumn("own", F.col("own") & F.coalesce("wanted", F.lit(False))).drop("wanted")
-        made = spread.groupBy("batch_id", *[f"u{d}" for d in range(dim)]).applyInArrow(work, CELL_SCHEMA)
-        if stats.agg(F.max("n")).first()[0] is None:
-            return made
-        made = stage_table(made, "cells")
-        good = made.where("secure")
-        done = good if done is None else done.unionByName(good)
-        left = made.where(~F.col("secure")).select("batch_id", "site_id")
-        if left.isEmpty():
-            return done
-        todo, rings = left, rings * 2
-    raise RuntimeError("cells are not secure after the last round")
+            cut_ids, moved = [], []
+            for c in used:
+                j = cell.ids[c]
+                d, up = divmod(-10 - j, 2) if j <= -10 else (0, 0)
+                step = (2.0 * half[d] * (2 * up - 1)) * np.eye(dim)[d]
+                cut_ids.append(int(ids[j]) if j >= 0 else int(ids[k]) if j <= -10 else polytopes.BOUNDARY)
+                moved.append((shifts[image[j]] if j >= 0 else step if j <= -10 else np.zeros(dim)).tolist())
+            lacks = []
+            if bounds is not None and len(cell.vertices):
+                r = float(np.linalg.norm(cell.vertices - pos[k], axis=1).max())
+                lacks = [x for x in regions.leaves_in_reach(bounds, shifts, int(batch[k]), pos[k], r, r * r - float(weights[k])) if x not in known]
+            normals, offsets = cell.normals[used].tolist(), cell.offsets[used].tolist()
+            out.append((int(batch[k]), int(ids[k]), pos[k].tolist(), float(weights[k]), cell.closed, cell.vertices.tolist(), normals, offsets, cut_ids, moved, tile, [a for a, _ in lacks], [b for _, b in lacks]))
+        vectors, numbers = pa.list_(pa.list_(pa.float64())), pa.list_(pa.int64())
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.bool_(), vectors, vectors, pa.list_(pa.float64()), numbers, vectors, pa.int64(), numbers, numbers]
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(fields, kinds, strict=True))})
+
+    schema = f"{CELL_SCHEMA}, _tile long, _more array<long>, _images array<long>"
+    fields = [x.strip().split(" ")[0] for x in schema.split(", ")]
+    columns = fields[:10]
+    made = stage_table(seen.withColumn("_todo", F.lit(True)).groupBy("_tile").applyInArrow(work, schema), "cells")
+    done = made.where("size(_more) = 0").select(*columns).unionByName(hidden.select(*columns))
+    open_cells = made.where("size(_more) > 0")
+    if bounds is None or open_cells.isEmpty():
+        return done
+    lacking = open_cells.select("_tile", F.explode(F.arrays_zip("_more", "_images")).alias("x")).select("_tile", F.col("x._more").alias("_leaf"), F.col("x._images").cast("int").alias("_image"))
+    before = spark.createDataFrame(pairs, "_tile long, _leaf long, _image int").join(open_cells.select("_tile").distinct(), "_tile")
+    wanted = open_cells.select("batch_id", "site_id").withColumn("_todo", F.lit(True))
+    again = located.join(lacking.unionByName(before).distinct(), "_leaf").join(wanted, ["batch_id", "site_id"], "left").withColumn("_todo", F.coalesce("_todo", F.lit(False)))
+    # A cell only shrinks, so it lacks nothing now.
+    return done.unionByName(stage_table(again.groupBy("_tile").applyInArrow(work, schema), "cells").select(*columns))
 
 
 def boundary_distances(assigned: DataFrame, diagram: DataFrame) -> DataFrame:
@@ -293,76 +321,155 @@ def boundary_distances(assigned: DataFrame, diagram: DataFrame) -> DataFrame:
     return assigned.join(cuts, ["batch_id", "site_id"], "left").withColumn("distance", F.array_min(gaps)).drop("cuts")
 
 
-def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]], order: int) -> DataFrame:
+def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]], order: int, periodic: list[bool] | None = None, balls: bool = False) -> DataFrame:
     """Integrals of a polynomial grid over cells: one row per site and one per facet with a neighbour.
 
     Cells are matched to the grid boxes that their bounding box covers by explicit
-    indices, an equi-join; each box is clipped by the cell's cuts.  Site rows have
-    neighbor null, mass, first (vector) and second (integral of ||x||**2); facet rows have
-    neighbor and facet.
+    indices, an equi-join; each box is clipped by the cell's cuts.  On ``periodic`` axes
+    the grid repeats with the period of its knots.  Site rows have neighbor null, mass,
+    first (vector), second (integral of ||x||**2) and arc; facet rows have neighbor, shift
+    (by which it was moved), facet, and facet_first and facet_second, the integrals of x
+    and of its products of coordinates, row by row.
+
+    With ``balls`` (two dimensions) every cell is cut by the ball around its site whose
+    squared radius is the weight, as partial transport asks: what is farther costs more
+    than it is worth.  arc is then the integral over the circle's arcs within the cell.
+    Cells with a weight of 0 or less have no mass.
     """
     ship_package(diagram.sparkSession)
     dim = len(knots)
-    at = F.col("vertices")
+    if balls and dim != 2:
+        raise ValueError("balls cut cells in two dimensions only")
+    at, periodic = F.col("vertices"), periodic or [False] * dim
     rows = diagram.where(F.size("vertices") > dim).withColumn("all_idx", F.array(F.array().cast("array<int>")))
     for d, axis in enumerate(knots):
-        inner = F.array(*[F.lit(float(x)) for x in axis[1:-1]]).cast("array<double>")
+        period = axis[-1] - axis[0]
+        repeated = [x + k * period for k in (-1, 0, 1) for x in axis[:-1]][1:] if periodic[d] else axis[1:-1]
+        inner = F.array(*[F.lit(float(x)) for x in repeated]).cast("array<double>")
         rows = rows.withColumn("low", F.array_min(cells_of.axis_values(at, d))).withColumn("high", F.array_max(cells_of.axis_values(at, d)))
         a, b = F.size(F.filter(inner, lambda k: k <= F.col("low"))), F.size(F.filter(inner, lambda k: k < F.col("high")))
         rows = rows.withColumn("span", F.sequence(F.least(a, b), F.greatest(a, b))).withColumn("all_idx", F.flatten(F.transform("all_idx", lambda e: F.transform("span", lambda i: F.concat(e, F.array(i)))))).drop("span", "low", "high")
-    joined = rows.withColumn("idx", F.explode("all_idx")).drop("all_idx", "vertices").join(grid.select("batch_id", "idx", "lo", "hi", "coeffs"), ["batch_id", "idx"])
+    rows = rows.withColumn("place", F.explode("all_idx")).drop("all_idx", "vertices")
+    sizes = [len(axis) - 1 for axis in knots]
+    at_place = [F.get("place", F.lit(d)) for d in range(dim)]
+    turns = [F.floor(x / n) - 1 if p else F.lit(0) for x, n, p in zip(at_place, sizes, periodic, strict=True)]
+    rows = rows.withColumn("idx", F.array(*[F.pmod(x, F.lit(n)).cast("int") for x, n in zip(at_place, sizes, strict=True)]))
+    rows = rows.withColumn("turn", F.array(*[(t * F.lit(axis[-1] - axis[0])).cast("double") for t, axis in zip(turns, knots, strict=True)]))
+    joined = rows.join(grid.select("batch_id", "idx", "lo", "hi", "coeffs"), ["batch_id", "idx"])
     exponents = arrays.grid_exponents(order, dim)
-    top = order * dim
+    degree = order * dim + 2
 
     def work(batches):
         import pyarrow as pa
 
+        zero = [0.0] * dim
         for batch in batches:
             rows = batch.to_pydict()
             out = []
             for k in range(batch.num_rows):
-                part = polytopes.box(rows["lo"][k], rows["hi"][k])
-                for n, o, c in zip(rows["cut_normals"][k], rows["cut_offsets"][k], rows["cut_ids"][k], strict=True):
-                    part = polytopes.clip(part, n, o, c)
-                if part.empty:
+                turn, pos, coeffs = np.array(rows["turn"][k]), np.array(rows["pos"][k]), np.array(rows["coeffs"][k])
+                part = polytopes.box(np.array(rows["lo"][k]) + turn, np.array(rows["hi"][k]) + turn)
+                cuts = list(zip(rows["cut_normals"][k], rows["cut_offsets"][k], rows["cut_ids"][k], strict=True))
+                for c, (n, o, i) in enumerate(cuts):
+                    part = polytopes.clip(part, n, o, c if i >= 0 else polytopes.BOUNDARY)
+                if part.empty or balls and rows["weight"][k] <= 0:
                     continue
-                coeffs = np.array(rows["coeffs"][k])
 
-                def density(x, coeffs=coeffs):
+                def density(x, coeffs=coeffs, turn=turn):
+                    x = x - turn
                     return sum(c * np.prod([x[:, d] ** e for d, e in enumerate(powers)], axis=0) for c, powers in zip(coeffs, exponents, strict=True))
 
-                mass, first, second = 0.0, np.zeros(dim), 0.0
-                for s in polytopes.simplices(part):
-                    p = part.vertices[s]
-                    mass += polytopes.integrate(p, density, top)
-                    first += [polytopes.integrate(p, lambda x, d=d: density(x) * x[:, d], top + 1) for d in range(dim)]
-                    second += polytopes.integrate(p, lambda x: density(x) * (x * x).sum(axis=1), top + 2)
-                out.append((rows["batch_id"][k], rows["site_id"][k], None, mass, first.tolist(), second, 0.0))
-                for cut, members in polytopes.facets(part):
-                    if part.ids[cut] >= 0:
-                        face = sum(polytopes.integrate(s, density, top) for s in polytopes.facet_simplices(part, members, cut))
-                        out.append((rows["batch_id"][k], rows["site_id"][k], part.ids[cut], 0.0, [0.0] * dim, 0.0, face))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
-            names = ["batch_id", "site_id", "neighbor", "mass", "first", "second", "facet"]
+                arc = 0.0
+                if balls:
+                    ring = polytopes.ring(part)
+                    held = polytopes.disk_part(part.vertices[ring], pos, float(rows["weight"][k]) ** 0.5, degree)
+                    x, w = held.inside
+                    arc = float(held.arcs[1] @ density(held.arcs[0])) if len(held.arcs[1]) else 0.0
+                    faces = []
+                    for i, e in enumerate(held.edges):
+                        shared = [c for c in part.on[ring[i]] & part.on[ring[(i + 1) % len(ring)]] if part.ids[c] >= 0]
+                        faces += [(part.ids[c], e) for c in shared[:1] if len(e[1])]
+                else:
+                    x, w = polytopes.quadrature([part.vertices[s] for s in polytopes.simplices(part)], degree)
+                    faces = [(part.ids[c], polytopes.quadrature(polytopes.facet_simplices(part, members, c), degree)) for c, members in polytopes.facets(part) if part.ids[c] >= 0]
+                if len(w):
+                    m = w * density(x)
+                    out.append((rows["batch_id"][k], rows["site_id"][k], None, None, float(m.sum()), (m @ x).tolist(), float(m @ (x * x).sum(axis=1)), arc, 0.0, zero, zero * dim))
+                for c, (x, w) in faces:
+                    if len(w):
+                        m = w * density(x)
+                        products = (x.T * m) @ x
+                        out.append((rows["batch_id"][k], rows["site_id"][k], cuts[c][2], rows["cut_shifts"][k][c], 0.0, zero, 0.0, 0.0, float(m.sum()), (m @ x).tolist(), products.ravel().tolist()))
+            vector = pa.list_(pa.float64())
+            kinds = [pa.int64(), pa.int64(), pa.int64(), vector, pa.float64(), vector, pa.float64(), pa.float64(), pa.float64(), vector, vector]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    parts = joined.select("batch_id", "site_id", "lo", "hi", "coeffs", "cut_normals", "cut_offsets", "cut_ids").mapInArrow(
-        work, "batch_id long, site_id long, neighbor long, mass double, first array<double>, second double, facet double"
-    )
-    sums = [F.sum(F.get("first", F.lit(d))) for d in range(dim)]
-    return parts.groupBy("batch_id", "site_id", "neighbor").agg(F.sum("mass").alias("mass"), F.array(*sums).alias("first"), F.sum("second").alias("second"), F.sum("facet").alias("facet"))
+    schema = "batch_id long, site_id long, neighbor long, shift array<double>, mass double, first array<double>, second double, arc double, facet double, facet_first array<double>, facet_second array<double>"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    parts = joined.select("batch_id", "site_id", "pos", "weight", "lo", "hi", "turn", "coeffs", "cut_normals", "cut_offsets", "cut_ids", "cut_shifts").mapInArrow(work, schema)
 
+    def vector(name: str, n: int) -> Column:
+        return F.array(*[F.sum(F.get(name, F.lit(d))) for d in range(n)]).alias(name)
 
-def matrix_terms(integrals: DataFrame, sites: DataFrame) -> DataFrame:
-    """Newton's matrix as (batch_id, row, col, val) triplets, without the gauge: -facet / (2 distance) and minus row sums."""
+    numbers = {c: F.sum(c).alias(c) for c in ("mass", "second", "arc", "facet")}
+    return parts.groupBy("batch_id", "site_id", "neighbor", "shift").agg(numbers["mass"], vector("first", dim), numbers["second"], numbers["arc"], numbers["facet"], vector("facet_first", dim), vector("facet_second", dim * dim))
+
+
+def _facets(integrals: DataFrame, sites: DataFrame) -> DataFrame:
+    """Facet rows with both sites' positions, the neighbour's moved by its shift, and their distance."""
     p = sites.select("batch_id", F.col("site_id").alias("row"), F.col("pos").alias("pos0"))
     q = sites.select("batch_id", F.col("site_id").alias("col"), F.col("pos").alias("pos1"))
-    off = integrals.where("neighbor is not null").select("batch_id", F.col("site_id").alias("row"), F.col("neighbor").alias("col"), "facet")
-    off = off.join(p, ["batch_id", "row"]).join(q, ["batch_id", "col"])
-    value = -F.col("facet") / (2 * arrays.norm(arrays.subtract(F.col("pos1"), F.col("pos0"))))
-    off = off.select("batch_id", "row", "col", value.alias("val"))
+    rows = integrals.where("neighbor is not null").withColumnsRenamed({"site_id": "row", "neighbor": "col"})
+    rows = rows.join(p, ["batch_id", "row"]).join(q, ["batch_id", "col"]).withColumn("pos1", arrays.add(F.col("pos1"), F.col("shift")))
+    return rows.withColumn("apart", arrays.norm(arrays.subtract(F.col("pos1"), F.col("pos0"))))
+
+
+def matrix_terms(integrals: DataFrame, sites: DataFrame) -> DataFrame:
+    """Newton's matrix, the derivatives of masses by weights, as (batch_id, row, col, val) triplets without the gauge.
+
+    Off the diagonal it is -facet / (2 distance); rows sum to zero but for cells cut by
+    balls, which grow by arc / (2 radius).  Facets between images of one site cancel.
+    ``sites`` are those of the diagram, with positions inside a periodic box.
+    """
+    off = _facets(integrals, sites).where("row != col")
+    off = off.select("batch_id", "row", "col", (-F.col("facet") / (2 * F.col("apart"))).alias("val"))
     both = off.unionByName(off.select("batch_id", "row", F.col("row").alias("col"), (-F.col("val")).alias("val")))
-    return sum_triplets(both)
+    arcs = integrals.where("arc > 0").join(sites.select("batch_id", "site_id", "weight"), ["batch_id", "site_id"])
+    arcs = arcs.select("batch_id", F.col("site_id").alias("row"), F.col("site_id").alias("col"), (F.col("arc") / (2 * F.sqrt("weight"))).alias("val"))
+    return sum_triplets(both.unionByName(arcs))
+
+
+def centroid_jacobian(integrals: DataFrame, sites: DataFrame, dim: int) -> DataFrame:
+    """Derivatives of all cells' centroids and masses by all sites' positions and weights, as triplets.
+
+    Rows and columns are (site, axis): axes 0 to dim - 1 are the centroid's and the
+    position's coordinates, axis dim the mass and the weight.  Only neighbours meet, so the
+    matrix has a block per facet and one per site.  A site's facet moves, in the direction
+    of its normal, by (x - p) / distance as the site moves and by 1 / (2 distance) as its
+    weight grows, and the other way for its neighbour; facet moments give the rest.
+
+    Returns batch_id, row, row_axis, col, col_axis, val; integrals are those of whole cells
+    (without balls), ``sites`` those of the diagram.  Cells without mass have no rows.
+    """
+    whole = integrals.where("neighbor is null and mass > 0").select("batch_id", F.col("site_id").alias("row"), F.col("mass").alias("cell_mass"), F.transform("first", lambda x: x / F.col("mass")).alias("centroid"))
+    rows = _facets(integrals, sites).join(whole, ["batch_id", "row"])
+    moment = [F.get("facet_first", F.lit(d)) for d in range(dim)]
+    terms = []
+    for sign, site, pos in ((1.0, "row", "pos0"), (-1.0, "col", "pos1")):
+        for b in range(dim + 1):
+            p = F.get(pos, F.lit(b))
+            # Integrals over the facet of the normal speed, and of the speed times each coordinate.
+            grown = F.col("facet") / 2 if b == dim else moment[b] - p * F.col("facet")
+            grown = sign * grown / F.col("apart")
+            for a in range(dim + 1):
+                if a == dim:
+                    value = grown
+                else:
+                    carried = moment[a] / 2 if b == dim else F.get("facet_second", F.lit(a * dim + b)) - p * moment[a]
+                    value = (sign * carried / F.col("apart") - F.get("centroid", F.lit(a)) * grown) / F.col("cell_mass")
+                terms.append(F.struct(F.col("row").alias("row"), F.lit(a).alias("row_axis"), F.col(site).alias("col"), F.lit(b).alias("col_axis"), value.alias("val")))
+    each = rows.select("batch_id", F.explode(F.array(*terms)).alias("t")).select("batch_id", "t.*")
+    return each.groupBy("batch_id", "row", "row_axis", "col", "col_axis").agg(F.sum("val").alias("val"))
 
 
 def sum_triplets(terms: DataFrame) -> DataFrame:

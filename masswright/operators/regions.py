@@ -209,3 +209,34 @@ def stage_leaves(sites: DataFrame, tree: SiteTree) -> tuple[DataFrame, LeafBound
     """The plain sites with _leaf, written, and the leaves' bounds."""
     located = stage_table(add_leaf(sites, tree), "site-leaves")
     return located, leaf_bounds(located, tree)
+
+
+def _box_gaps(lo: np.ndarray, hi: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distances of boxes [lo, hi] and [low, high]."""
+    gap = np.maximum(0.0, np.maximum(lo - high, low - hi))
+    return np.sqrt((gap * gap).sum(axis=-1))
+
+
+def tiles_around(bounds: LeafBounds, shifts: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(tile, leaf, image) of the ``n`` leaves nearest to every leaf, itself first; images are rows of ``shifts``."""
+    out = []
+    for b in np.unique(bounds.batch[bounds.n > 0]):
+        own = np.flatnonzero((bounds.batch == b) & (bounds.n > 0))
+        low, high = (np.concatenate([x[own] + s for s in shifts]) for x in (bounds.lo, bounds.hi))
+        middle = (low + high) / 2
+        for k in own:
+            gap = _box_gaps(bounds.lo[k], bounds.hi[k], low, high)
+            near = np.lexsort((((middle - middle[np.searchsorted(own, k)]) ** 2).sum(axis=1), gap))[:n]
+            out += [(int(k), int(own[i % len(own)]), int(i // len(own))) for i in near]
+    return out
+
+
+def leaves_in_reach(bounds: LeafBounds, shifts: np.ndarray, batch: int, pos: np.ndarray, radius: float, room: float) -> list[tuple[int, int]]:
+    """(leaf, image) with a site that may cut a cell: its points are at most ``radius`` from ``pos``, and ``room`` is radius**2 less the weight."""
+    own = np.flatnonzero((bounds.batch == batch) & (bounds.n > 0))
+    reach = radius + np.sqrt(np.maximum(0.0, room + bounds.best_weight[own]))
+    out = []
+    for image, s in enumerate(shifts):
+        gap = _box_gaps(bounds.lo[own] + s, bounds.hi[own] + s, pos, pos)
+        out += [(int(k), image) for k in own[gap <= reach * (1 + SLACK)]]
+    return out
