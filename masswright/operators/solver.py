@@ -43,11 +43,36 @@ def centered_weights(pos: np.ndarray, lo, hi, shrink: float = 0.9) -> np.ndarray
     return w - w.mean()
 
 
-def newton(sites: DataFrame, masses: dict[int, float], grid: DataFrame, knots: list[list[float]], order: int = 0, tol: float = 1e-6, max_iterations: int = 100, start: dict[int, float] | None = None) -> PlanResult:
+def _ball_weights(pos: np.ndarray, want: np.ndarray, lo, hi, total: float) -> np.ndarray:
+    """Equal weights whose balls have the wanted mass on average and all reach the domain."""
+    lo, hi = np.asarray(lo, float), np.asarray(hi, float)
+    outside = np.maximum(0.0, np.maximum(lo - pos, pos - hi))
+    area = float(want.mean()) / total * float(np.prod(hi - lo))
+    return np.full(len(pos), max(area / np.pi, 1.1 * float((outside**2).sum(axis=1).max()) + 1e-3 * area))
+
+
+def newton(
+    sites: DataFrame,
+    masses: dict[int, float],
+    grid: DataFrame,
+    knots: list[list[float]],
+    order: int = 0,
+    tol: float = 1e-6,
+    max_iterations: int = 100,
+    start: dict[int, float] | None = None,
+    periodic: list[bool] | None = None,
+    normalize: bool = True,
+) -> PlanResult:
     """Weights that give every site its mass, for one batch of sites (site_id, pos).
 
-    Starts from zero weights, or from centred ones if cells are empty; a step that empties
-    a cell or does not lower the error is halved.  Masses are normalised to the grid's.
+    Masses are normalised to the grid's, unless ``normalize`` is off.  Masses that then add
+    up to less are transported partially: cells are cut by balls whose squared radius is
+    the weight, so that the nearest part of the density is taken and the rest stays; weights
+    have no free constant then.  Masses of more than the grid's raise ValueError.  Axes may
+    be ``periodic``, with positions moved into the box.
+
+    Starts from zero weights, or from centred ones if cells are empty, and from equal balls
+    for partial plans; a step that empties a cell or does not lower the error is halved.
     """
     spark = sites.sparkSession
     table = sorted((r["site_id"], r["pos"]) for r in sites.select("site_id", "pos").collect())
@@ -55,38 +80,47 @@ def newton(sites: DataFrame, masses: dict[int, float], grid: DataFrame, knots: l
     index = {i: k for k, i in enumerate(ids)}
     pos = np.array([p for _, p in table], float)
     lo, hi = [k[0] for k in knots], [k[-1] for k in knots]
+    if periodic and any(periodic):
+        pos = np.where(periodic, np.array(lo) + np.mod(pos - lo, np.array(hi) - lo), pos)
     want = np.array([masses[i] for i in ids], float)
     if (want <= 0).any():
         raise ValueError("a site's mass is not positive")
+    total = float(grid.agg(F.sum(arrays.piece_integral(F.col("coeffs"), F.col("lo"), F.col("hi"), order, len(knots)))).first()[0])
+    if normalize:
+        want = want * total / want.sum()
+    if want.sum() > total * (1 + 1e-9):
+        raise ValueError("the sites' masses are more than the density's")
+    partial = want.sum() < total * (1 - 1e-9)
 
     def evaluate(w: np.ndarray):
         rows = [(0, i, p.tolist(), float(x)) for i, p, x in zip(ids, pos, w, strict=True)]
         weighted = spark.createDataFrame(rows, "batch_id long, site_id long, pos array<double>, weight double")
-        sums = power.cell_integrals(power.cells(weighted, lo, hi), grid, knots, order).collect()
-        mass, first, second = np.zeros(len(ids)), np.zeros(pos.shape), np.zeros(len(ids))
+        sums = power.cell_integrals(power.cells(weighted, lo, hi, periodic), grid, knots, order, periodic, balls=partial).collect()
+        mass, first, second, arc = np.zeros(len(ids)), np.zeros(pos.shape), np.zeros(len(ids)), np.zeros(len(ids))
         facets = []
         for r in sums:
             k = index[r["site_id"]]
             if r["neighbor"] is None:
-                mass[k], first[k], second[k] = r["mass"], r["first"], r["second"]
-            else:
-                facets.append((k, index[r["neighbor"]], r["facet"]))
-        return mass, first, second, facets
+                mass[k], first[k], second[k], arc[k] = r["mass"], r["first"], r["second"], r["arc"]
+            elif r["neighbor"] != r["site_id"]:
+                j = index[r["neighbor"]]
+                facets.append((k, j, r["facet"] / (2 * np.linalg.norm(pos[j] + r["shift"] - pos[k]))))
+        return mass, first, second, facets, arc
 
-    w = np.array([start[i] for i in ids]) if start else np.zeros(len(ids))
+    w = np.array([start[i] for i in ids]) if start else _ball_weights(pos, want, lo, hi, total) if partial else np.zeros(len(ids))
     state = evaluate(w)
-    if state[0].min() <= 0:
+    if state[0].min() <= 0 and not partial:
         w = centered_weights(pos, lo, hi)
         state = evaluate(w)
-        if state[0].min() <= 0:
-            raise RuntimeError("cells are empty from the start")
-    want = want * state[0].sum() / want.sum()
+    if state[0].min() <= 0:
+        raise RuntimeError("cells are empty from the start")
     error, done = float(np.abs(state[0] / want - 1).max()), 0
     while error > tol and done < max_iterations:
         done += 1
-        rows, cols, vals = [0], [0], [1.0]  # the gauge
-        for i, j, f in state[3]:
-            v = f / (2 * np.linalg.norm(pos[i] - pos[j]))
+        rows, cols, vals = ([], [], []) if partial else ([0], [0], [1.0])  # the gauge
+        if partial:
+            rows, cols, vals = list(range(len(ids))), list(range(len(ids))), (state[4] / (2 * np.sqrt(np.maximum(w, 1e-300)))).tolist()
+        for i, j, v in state[3]:
             rows += [i, i]
             cols += [j, i]
             vals += [-v, v]
@@ -99,9 +133,10 @@ def newton(sites: DataFrame, masses: dict[int, float], grid: DataFrame, knots: l
                 break
             t /= 2
         w, state, error = w + t * step, trial, new
-    mass, first, second, _ = state
+    mass, first, second = state[:3]
     distance = float((second - 2 * (pos * first).sum(axis=1) + (pos**2).sum(axis=1) * mass).sum())
-    out = [(0, i, float(x), float(m), (f / m).tolist(), float(s), float(abs(m / n - 1))) for i, x, m, f, s, n in zip(ids, w - w.mean(), mass, first, second, want, strict=True)]
+    shown = w if partial else w - w.mean()
+    out = [(0, i, float(x), float(m), (f / m).tolist(), float(s), float(abs(m / n - 1))) for i, x, m, f, s, n in zip(ids, shown, mass, first, second, want, strict=True)]
     rows = spark.createDataFrame(out, "batch_id long, site_id long, weight double, mass double, barycenter array<double>, second double, error double")
     return PlanResult(rows, distance, done, error)
 

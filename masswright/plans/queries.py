@@ -12,7 +12,7 @@ from masswright.operators import measures, ot1d, power, solver
 from masswright.session import shared_path
 from masswright.sources import vtk
 
-from .tables import event_values, line_diracs, line_points, part_sites, rounded, table
+from .tables import event_values, line_diracs, line_points, part_balls, part_points, part_sites, rounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -542,3 +542,117 @@ def lloyd_points(spark, sf_dir):
     sites = part_sites(spark, sf_dir).withColumn("weight", F.lit(0.0))
     rows = solver.lloyd_discrete(line_points(spark, sf_dir), sites, 2, 3)
     return rows.select("site_id", rounded(F.get("pos", F.lit(0))).alias("x"), rounded(F.get("pos", F.lit(1))).alias("y"))
+
+
+# Diagrams of one site a part, which grow with the table.  The SQL meets the cuts of sites within four mean distances, which is farther than any cell reaches.
+
+
+def part_diagram(weight: str = "0.00001::DOUBLE * (p_size % 7)", torus: bool = False) -> str:
+    images = "SELECT s.*, (i + 1) * 3 + j + 1 AS image, i AS ix, j AS iy FROM s, range(-1, 2) a(i), range(-1, 2) b(j)" if torus else "SELECT s.*, 4 AS image, 0 AS ix, 0 AS iy FROM s"
+    walls = "" if torus else "UNION ALL SELECT site_id, v.*, 0, 0 FROM s, (VALUES (-1, -1.0, 0.0, 0.0), (-2, 1.0, 0.0, 1.0), (-3, 0.0, -1.0, 0.0), (-4, 0.0, 1.0, 1.0)) v"
+    return f"""n AS MATERIALIZED (SELECT count(*) AS n FROM part),
+s AS MATERIALIZED (SELECT CAST(p_partkey AS BIGINT) AS site_id, (p_partkey * 0.7548776662466927::DOUBLE) % 1.0::DOUBLE AS sx, (p_partkey * 0.5698402909980532::DOUBLE) % 1.0::DOUBLE AS sy, {weight} AS w FROM part, n),
+images AS MATERIALIZED ({images}),
+cuts AS MATERIALIZED (SELECT a.site_id, b.site_id * 9 + image AS cut, b.sx + ix - a.sx AS nx, b.sy + iy - a.sy AS ny,
+    a.sx * (b.sx + ix - a.sx) + a.sy * (b.sy + iy - a.sy) + ((b.sx + ix - a.sx) ** 2 + (b.sy + iy - a.sy) ** 2 + a.w - b.w) / 2 AS o, ix, iy
+  FROM s a, images b, n WHERE NOT (a.site_id = b.site_id AND image = 4) AND (b.sx + ix - a.sx) ** 2 + (b.sy + iy - a.sy) ** 2 < 16.0 / n {walls}),
+met AS (SELECT site_id, a.cut AS cut0, b.cut AS cut1, (a.o * b.ny - b.o * a.ny) / (a.nx * b.ny - a.ny * b.nx) AS x, (a.nx * b.o - b.nx * a.o) / (a.nx * b.ny - a.ny * b.nx) AS y
+  FROM cuts a JOIN cuts b USING (site_id) WHERE a.cut < b.cut AND abs(a.nx * b.ny - a.ny * b.nx) > 1e-12),
+verts AS MATERIALIZED (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.site_id = m.site_id AND c.nx * m.x + c.ny * m.y > c.o + 1e-11)),
+ends AS (SELECT site_id, cut0 AS cut, x, y FROM verts UNION ALL SELECT site_id, cut1, x, y FROM verts),
+edges AS MATERIALIZED (SELECT site_id, cut, CASE WHEN cut >= 0 THEN cut // 9 END AS neighbor, ix, iy, x0, y0, x1, y1, sx, sy, w, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS facet,
+    (o - nx * sx - ny * sy) / sqrt(nx * nx + ny * ny) AS gap, nx / sqrt(nx * nx + ny * ny) AS ux, ny / sqrt(nx * nx + ny * ny) AS uy, sqrt(nx * nx + ny * ny) AS apart
+  FROM (SELECT site_id, cut, min([x, y])[1] AS x0, min([x, y])[2] AS y0, max([x, y])[1] AS x1, max([x, y])[2] AS y1 FROM ends GROUP BY ALL) JOIN cuts USING (site_id, cut) JOIN s USING (site_id)),
+parts AS MATERIALIZED (SELECT *, facet * gap / 2 AS area, ((sx + x0 + x1) ** 2 + (sy + y0 + y1) ** 2 + sx * sx + sy * sy + x0 * x0 + y0 * y0 + x1 * x1 + y1 * y1) / 12 AS spread FROM edges),
+wholes AS MATERIALIZED (SELECT site_id, sum(area) AS mass, sum(area * (sx + x0 + x1) / 3) AS fx, sum(area * (sy + y0 + y1) / 3) AS fy, sum(area * spread) AS second FROM parts GROUP BY site_id)"""
+
+
+def part_cells(spark, sf_dir, torus=False):
+    return power.cells(part_points(spark, sf_dir), [0.0, 0.0], [1.0, 1.0], [torus, torus])
+
+
+def part_integrals(spark, sf_dir, torus=False):
+    return power.cell_integrals(part_cells(spark, sf_dir, torus), unit_grid(spark), [[0.0, 1.0]] * 2, 0, [torus, torus])
+
+
+@query(f"""WITH places AS MATERIALIZED (SELECT DISTINCT px, py FROM ({POINTS})), {part_diagram()},
+best AS (SELECT px, py, arg_min(site_id, [(px - sx) * (px - sx) + (py - sy) * (py - sy) - w, site_id]) AS site_id, min((px - sx) * (px - sx) + (py - sy) * (py - sy) - w) AS cost FROM places, s GROUP BY ALL)
+SELECT point_id, site_id, {r('cost * 1000')} AS cost FROM ({POINTS}) JOIN best USING (px, py)""")
+def part_assign(spark, sf_dir):
+    """Line items assigned to one site a part: more sites than travel with a task, but for the smallest table."""
+    found = power.assign(line_points(spark, sf_dir), part_points(spark, sf_dir))
+    return found.select("point_id", "site_id", rounded(F.col("cost") * 1000).alias("cost"))
+
+
+_INTEGRALS = f"""SELECT site_id, NULL::BIGINT AS neighbor, NULL::INTEGER AS ix, NULL::INTEGER AS iy, {r('mass * 1000')} AS mass, {r('fx * 1000')} AS fx, {r('fy * 1000')} AS fy, {r('second * 1000')} AS second, 0.0::DOUBLE AS facet FROM wholes
+UNION ALL SELECT site_id, neighbor, CAST(ix AS INTEGER), CAST(iy AS INTEGER), 0.0, 0.0, 0.0, 0.0, {r('facet * 10')} FROM edges WHERE neighbor IS NOT NULL AND facet > 1e-7"""
+
+
+def integral_rows(sums):
+    rows = sums.where("neighbor is null or facet > 1e-7")
+    moved = [F.round(F.get("shift", F.lit(d))).cast("int").alias(n) for d, n in ((0, "ix"), (1, "iy"))]
+    first = [rounded(F.get("first", F.lit(d)) * 1000).alias(n) for d, n in ((0, "fx"), (1, "fy"))]
+    return rows.select("site_id", "neighbor", *moved, rounded(F.col("mass") * 1000).alias("mass"), *first, rounded(F.col("second") * 1000).alias("second"), rounded(F.col("facet") * 10).alias("facet"))
+
+
+@query(f"WITH {part_diagram()} {_INTEGRALS}")
+def part_cell_integrals(spark, sf_dir):
+    return integral_rows(part_integrals(spark, sf_dir))
+
+
+@query(f"WITH {part_diagram(torus=True)} {_INTEGRALS}")
+def torus_cell_integrals(spark, sf_dir):
+    """Cells of the torus: neighbours are keyed by image, and nothing ends at the square's sides."""
+    return integral_rows(part_integrals(spark, sf_dir, torus=True))
+
+
+@query(f"""WITH {part_diagram(torus=True)}, e AS (SELECT site_id AS row, neighbor AS col, -facet / (2 * apart) AS val FROM edges WHERE neighbor <> site_id)
+SELECT row, col, {r('sum(val)')} AS val FROM (SELECT * FROM e UNION ALL SELECT row, row, -val FROM e) GROUP BY row, col HAVING abs(sum(val)) > 1e-5""")
+def torus_newton_matrix(spark, sf_dir):
+    terms = power.matrix_terms(part_integrals(spark, sf_dir, torus=True), part_points(spark, sf_dir))
+    return terms.where("abs(val) > 1e-5").select("row", "col", rounded("val").alias("val"))
+
+
+_BALLS = f"""WITH {part_diagram("0.00001::DOUBLE * (p_size % 7) * 5000 / n + 0.25 / n")},
+tangents AS (SELECT *, sqrt(w) AS r, sqrt(greatest(0, w - gap * gap)) AS h, least((x0 - sx) * -uy + (y0 - sy) * ux, (x1 - sx) * -uy + (y1 - sy) * ux) AS u0, greatest((x0 - sx) * -uy + (y0 - sy) * ux, (x1 - sx) * -uy + (y1 - sy) * ux) AS u1 FROM edges),
+clipped AS (SELECT *, greatest(-h, least(h, u0)) AS a, greatest(-h, least(h, u1)) AS b FROM tangents),
+turned AS (SELECT *, CASE WHEN gap = 0 THEN 0 ELSE atan(a / gap) - atan(u0 / gap) + atan(u1 / gap) - atan(b / gap) END AS turn FROM clipped),
+balls AS MATERIALIZED (SELECT *, gap * (b - a) / 2 + w * turn / 2 AS area FROM turned)"""
+
+
+def ball_integrals(spark, sf_dir):
+    sites = part_balls(spark, sf_dir)
+    return power.cell_integrals(power.cells(sites, [0.0, 0.0], [1.0, 1.0]), unit_grid(spark), [[0.0, 1.0]] * 2, 0, balls=True)
+
+
+@query(f"""{_BALLS} SELECT site_id, NULL::BIGINT AS neighbor, {r('sum(area) * 1000')} AS mass, {r('sum(r * turn) * 10')} AS arc, 0.0::DOUBLE AS facet FROM balls GROUP BY site_id HAVING sum(area) > 1e-9
+UNION ALL SELECT site_id, neighbor, 0.0, 0.0, {r('(b - a) * 10')} FROM balls WHERE neighbor IS NOT NULL AND b - a > 1e-7""")
+def ball_cell_integrals(spark, sf_dir):
+    """Cells cut by balls, as partial transport has them: masses, arcs, and what of each facet is in the ball."""
+    rows = ball_integrals(spark, sf_dir).where("mass > 1e-9 or facet > 1e-7")
+    return rows.select("site_id", "neighbor", rounded(F.col("mass") * 1000).alias("mass"), rounded(F.col("arc") * 10).alias("arc"), rounded(F.col("facet") * 10).alias("facet"))
+
+
+@query(f"""{_BALLS}, e AS (SELECT site_id AS row, neighbor AS col, -(b - a) / (2 * apart) AS val FROM balls WHERE neighbor IS NOT NULL), d AS (SELECT site_id AS row, site_id AS col, sum(r * turn) / (2 * sqrt(any_value(w))) AS val FROM balls GROUP BY site_id)
+SELECT row, col, {r('sum(val)')} AS val FROM (SELECT * FROM e UNION ALL SELECT row, row, -val FROM e UNION ALL SELECT * FROM d) GROUP BY row, col HAVING abs(sum(val)) > 1e-5""")
+def ball_newton_matrix(spark, sf_dir):
+    terms = power.matrix_terms(ball_integrals(spark, sf_dir), part_balls(spark, sf_dir))
+    return terms.where("abs(val) > 1e-5").select("row", "col", rounded("val").alias("val"))
+
+
+_DERIVATIVES = f"""WITH {part_diagram()},
+m AS (SELECT site_id, neighbor, apart, facet AS f, facet * (x0 + x1) / 2 AS mx, facet * (y0 + y1) / 2 AS my, facet * (x0 * x0 + x0 * x1 + x1 * x1) / 3 AS mxx, facet * (y0 * y0 + y0 * y1 + y1 * y1) / 3 AS myy,
+    facet * (2 * x0 * y0 + x0 * y1 + x1 * y0 + 2 * x1 * y1) / 6 AS mxy, sx, sy FROM edges WHERE neighbor IS NOT NULL),
+sides AS (SELECT m.*, 1 AS sign, site_id AS col, m.sx AS px, m.sy AS py FROM m UNION ALL SELECT m.*, -1, neighbor, s.sx, s.sy FROM m JOIN s ON s.site_id = neighbor),
+grown AS (SELECT site_id, col, col_axis, sign / apart * CASE col_axis WHEN 0 THEN mx - px * f WHEN 1 THEN my - py * f ELSE f / 2 END AS g,
+    sign / apart * CASE col_axis WHEN 0 THEN mxx - px * mx WHEN 1 THEN mxy - py * mx ELSE mx / 2 END AS gx, sign / apart * CASE col_axis WHEN 0 THEN mxy - px * my WHEN 1 THEN myy - py * my ELSE my / 2 END AS gy FROM sides, range(3) t(col_axis)),
+summed AS (SELECT site_id, col, col_axis, sum(g) AS g, sum(gx) AS gx, sum(gy) AS gy FROM grown GROUP BY ALL),
+triplets AS (SELECT site_id AS row, row_axis, col, col_axis, CASE row_axis WHEN 0 THEN (gx - fx / mass * g) / mass WHEN 1 THEN (gy - fy / mass * g) / mass ELSE g END AS val FROM summed JOIN wholes USING (site_id), range(3) t(row_axis))
+SELECT row, CAST(row_axis AS INTEGER) AS row_axis, col, CAST(col_axis AS INTEGER) AS col_axis, """
+
+
+@query(f"{_DERIVATIVES} {r('val / 1000')} AS val FROM triplets WHERE abs(val) > 1e-4")
+def centroid_derivatives(spark, sf_dir):
+    """Derivatives of all centroids and masses by all positions and weights."""
+    triplets = power.centroid_jacobian(part_integrals(spark, sf_dir), part_points(spark, sf_dir), 2)
+    return triplets.where("abs(val) > 1e-4").select("row", "row_axis", "col", "col_axis", rounded(F.col("val") / 1000).alias("val"))

@@ -27,6 +27,19 @@ def part_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("0L batch_id", "cast(p_size as bigint) site_id", "array(p_size / 50.0D, total % 1000 / 1000.0D) pos", "0.01D * (p_size % 3) weight")
 
 
+def part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One site a part, spread evenly over the unit square by two irrational steps of the key; weights 0 to 6e-5 by size."""
+    place = [f"pmod(p_partkey * {step}D, 1.0D)" for step in (0.7548776662466927, 0.5698402909980532)]
+    return table(spark, sf_dir, "part").selectExpr("0L batch_id", "cast(p_partkey as bigint) site_id", f"array({', '.join(place)}) pos", "0.00001D * (p_size % 7) weight")
+
+
+def part_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sites with squared radii of 0.25 to 0.55 of a site's share of the square as weights."""
+    rows = part_points(spark, sf_dir)
+    n = rows.count()
+    return rows.withColumn("weight", F.col("weight") * F.lit(5000.0 / max(n, 1)) + F.lit(0.25 / max(n, 1)))
+
+
 def event_values(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(F.col("event_type") == kind).selectExpr("0L batch_id", "cast(event_id as bigint) dirac_id", "value x", "1.0D mass")
 
