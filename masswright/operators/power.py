@@ -240,7 +240,6 @@ def cells(sites: DataFrame, lo: list[float], hi: list[float], periodic: list[boo
     if any(periodic):
         moved = [F.lit(a) + F.pmod(F.get("pos", F.lit(d)) - F.lit(a), F.lit(b - a)) if p else F.get("pos", F.lit(d)) for d, (a, b, p) in enumerate(zip(lo, hi, periodic, strict=True))]
         src = src.withColumn("pos", F.array(*moved))
-    src = stage_table(src, "cell-sites")
     lead = src.groupBy("batch_id", "pos").agg(F.max(F.struct("weight", (-F.col("site_id")).alias("id"))).alias("lead"))
     marked = src.join(lead, ["batch_id", "pos"]).withColumn("leads", F.col("lead") == F.struct(F.col("weight"), (-F.col("site_id")).alias("id"))).drop("lead")
     marked = stage_table(marked.select(*src.columns, "leads"), "cell-places")
@@ -248,9 +247,10 @@ def cells(sites: DataFrame, lo: list[float], hi: list[float], periodic: list[boo
     hidden = marked.where("not leads").select(*src.columns, F.lit(True).alias("is_closed"), *[F.array().cast(t).alias(n) for n, t in kinds.items()])
     leading = marked.where("leads").drop("leads")
     shifts = _image_shifts(lo, hi, periodic)
-    tree = regions.build_tree(leading, SITES_PER_TILE)
+    most = leading.groupBy("batch_id").count().agg(F.max("count")).first()[0] or 0
+    tree = regions.build_tree(leading, SITES_PER_TILE) if most > SITES_PER_TILE else None
     if tree is None:
-        # More batches than leaves (or none): a batch is a tile, and all its images are seen at once.
+        # Small batches, or more batches than leaves: a batch is a tile, and all its images are seen at once.
         located, bounds, pairs = leading.withColumn("_leaf", F.col("batch_id")), None, None
         seen = located.withColumn("_tile", F.col("_leaf")).withColumn("_image", F.explode(F.array(*[F.lit(k) for k in range(len(shifts))])))
     else:

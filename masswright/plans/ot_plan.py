@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,19 +57,62 @@ def barycenters(f: DataFrame, g: DataFrame) -> DataFrame:
     return ot_plan(f, g).select("batch_id", "dirac_id", "barycenter")
 
 
-def semi_discrete_plan(sites: DataFrame, grid: DataFrame, knots: list[list[float]], order: int = 0, tol: float = 1e-6) -> tuple[DataFrame, float]:
-    """Plan between one batch of sites (site_id, pos, mass) and a grid density of any dimension; both are normalised to mass 1.
+@dataclass(frozen=True)
+class Norm2:
+    """The squared Euclidean distance."""
+
+
+@dataclass(frozen=True)
+class PeriodicMetric:
+    """The squared Euclidean distance to the nearest image; an axis without a period is not periodic."""
+
+    period: tuple[float | None, ...]
+
+    def axes(self, knots: list[list[float]]) -> list[bool]:
+        """Which axes are periodic; their period must be the length of the density's box."""
+        for p, k in zip(self.period, knots, strict=True):
+            if p is not None and abs(k[-1] - k[0] - p) > 1e-12 * abs(p):
+                raise ValueError(f"the period {p} is not the density's length {k[-1] - k[0]}")
+        return [p is not None for p in self.period]
+
+
+def semi_discrete_plan(
+    sites: DataFrame,
+    grid: DataFrame,
+    knots: list[list[float]],
+    order: int = 0,
+    tol: float = 1e-6,
+    metric: Norm2 | PeriodicMetric = Norm2(),  # noqa: B008
+    site_mass: float | None = 1.0,
+    density_mass: float | None = 1.0,
+) -> tuple[DataFrame, DataFrame]:
+    """Plans between batches of sites (batch_id, site_id, pos, mass) and grid densities of any dimension.
+
+    Sites without batch_id are batch 0; one batch of sites or of densities is repeated for
+    all of the other's.  Masses are normalised to ``site_mass`` and ``density_mass`` a
+    batch, or kept as they are with None.  Where the sites have less, the plan is partial:
+    only their mass is transported, from where it costs least (two dimensions only); more
+    mass than the density's raises ValueError, as do masses that are not positive.
 
-    Returns one row per site (site_id, pos, weight, mass, barycenter, second_moment of its
-    cell about the site, offset) and the squared distance.  The Brenier
-    potential at x is the largest x . pos - offset, and its gradient there is that site's
-    pos.  Masses must be positive and site ids unique; the solver keeps one number per
-    site on the driver.
+    Returns one row per site (batch_id, site_id, pos, weight, mass, barycenter,
+    second_moment of its cell about the site, offset) and the squared distances (batch_id,
+    distance, error).  The Brenier potential at x is the largest x . pos - offset, and its
+    gradient there is that site's pos.  Site ids must be unique in a batch.
     """
-    masses = {r["site_id"]: r["mass"] for r in sites.select("site_id", "mass").collect()}
-    plan = solver.newton(sites, masses, measures.normalize_grid(grid, order, len(knots)), knots, order, tol)
+    if "batch_id" not in sites.columns:
+        sites = sites.withColumn("batch_id", F.lit(0).cast("long"))
+    dim, key = len(knots), ["batch_id", "site_id"]
+    sites, grid = _same_batches(sites.select("batch_id", "site_id", "pos", "mass"), grid)
+    if site_mass is not None:
+        whole = sites.groupBy("batch_id").agg(F.sum("mass").alias("whole"))
+        sites = sites.join(whole, "batch_id").select(*key, "pos", F.when(F.col("whole") > 0, F.col("mass") / F.col("whole") * float(site_mass)).alias("mass"))
+    if density_mass is not None:
+        grid = measures.normalize_grid(grid, order, dim)
+        grid = grid.withColumn("coeffs", arrays.scale(F.col("coeffs"), float(density_mass)))
+    periodic = metric.axes(knots) if isinstance(metric, PeriodicMetric) else None
+    plans = solver.solve_plans(sites, grid, knots, order, tol, periodic=periodic, normalize=False)
     pos, b = F.col("pos"), F.col("barycenter")
-    square = arrays.dot(pos, pos)
-    rows = sites.select("site_id", "pos").join(plan.rows.drop("batch_id"), "site_id")
+    square = arrays.norm2(pos)
     moment = F.col("second") + F.col("mass") * (square - 2 * arrays.dot(pos, b))
-    return rows.select("site_id", "pos", "weight", "mass", "barycenter", moment.alias("second_moment"), ((square - F.col("weight")) / 2).alias("offset")), plan.distance
+    rows = plans.rows.select(*key, "pos", "weight", "mass", "barycenter", moment.alias("second_moment"), ((square - F.col("weight")) / 2).alias("offset"))
+    return rows, plans.distances

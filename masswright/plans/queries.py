@@ -527,10 +527,8 @@ def newton_matrix(spark, sf_dir):
 @query(f"WITH s AS ({SITES}) SELECT site_id, {r('1.0 / count(*) OVER ()')} AS mass FROM s")
 def newton_plan(spark, sf_dir):
     """Masses of the cells under the weights found: all sites get the same."""
-    sites = part_sites(spark, sf_dir)
-    ids = [x["site_id"] for x in sites.select("site_id").collect()]
-    plan = solver.newton(sites, dict.fromkeys(ids, 1.0), unit_grid(spark), [[0.0, 1.0]] * 2, tol=1e-6)
-    return plan.rows.select("site_id", rounded("mass").alias("mass"))
+    plans = solver.solve_plans(part_sites(spark, sf_dir).withColumn("mass", F.lit(1.0)), unit_grid(spark), [[0.0, 1.0]] * 2, tol=1e-6)
+    return plans.rows.select("site_id", rounded("mass").alias("mass"))
 
 
 _LLOYD = "a{k} AS (SELECT px, py, n, arg_min(site_id, [(px - sx) ** 2 + (py - sy) ** 2, site_id]) AS site_id FROM places, s{i} GROUP BY ALL), s{k} AS MATERIALIZED (SELECT s{i}.site_id, coalesce(sum(n * px) / sum(n), any_value(sx)) AS sx, coalesce(sum(n * py) / sum(n), any_value(sy)) AS sy FROM s{i} LEFT JOIN a{k} USING (site_id) GROUP BY ALL)"

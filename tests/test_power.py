@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from masswright.functions import polytopes
 from masswright.functions.jets import DensePolynomial, Jet, bisect_largest_inside, conjugate_gradient, minimize_lbfgs, minimize_sgd
-from masswright.operators import measures, power, regions, solver
+from masswright.operators import linear, measures, power, regions, solver
 from masswright.plans import ot_plan
 
 
@@ -129,13 +129,12 @@ def test_newton_gives_every_site_its_mass_and_gradients_fit_differences(spark):
     assert plan.error < 1e-9 and [rows[k].mass for k in range(6)] == pytest.approx(list(want.values()))
     gradient = {r.site_id: r.d_position for r in solver.plan_gradients(sites(spark, pos), plan).collect()}
     start, h = {k: rows[k].weight for k in rows}, 1e-4
-    for d in range(2):
-        ends = []
-        for sign in (1, -1):
-            moved = pos.copy()
-            moved[2, d] += sign * h
-            ends.append(solver.newton(sites(spark, moved), want, grid, knots, tol=1e-9, start=start).distance)
-        assert (ends[0] - ends[1]) / (2 * h) == pytest.approx(gradient[2][d], abs=1e-5)
+    ends = []
+    for sign in (1, -1):
+        moved = pos.copy()
+        moved[2] += sign * h * np.array([0.6, -0.8])
+        ends.append(solver.newton(sites(spark, moved), want, grid, knots, tol=1e-9, start=start).distance)
+    assert (ends[0] - ends[1]) / (2 * h) == pytest.approx(np.array(gradient[2]) @ [0.6, -0.8], abs=1e-5)
     with pytest.raises(ValueError, match="mass"):
         solver.newton(sites(spark, pos), {**want, 0: 0.0}, grid, knots)
 
@@ -143,7 +142,8 @@ def test_newton_gives_every_site_its_mass_and_gradients_fit_differences(spark):
 def test_plan_of_two_sites_in_closed_form(spark):
     """Masses 3 and 1 on a density of mass 2: the cells of the unit square meet at x = 3/4."""
     two = spark.createDataFrame([(0, [0.25, 0.5], 3.0), (1, [0.75, 0.5], 1.0)], "site_id long, pos array<double>, mass double")
-    rows, distance = ot_plan.semi_discrete_plan(two, measures.polynomial_grid(spark, [[[2.0]]]), [[0.0, 1.0]] * 2, tol=1e-9)
+    rows, distances = ot_plan.semi_discrete_plan(two, measures.polynomial_grid(spark, [[[2.0]]]), [[0.0, 1.0]] * 2, tol=1e-9)
+    distance = distances.first().distance
     a, b = rows.orderBy("site_id").collect()
     assert [a.mass, b.mass] == pytest.approx([0.75, 0.25])
     assert a.barycenter == pytest.approx([0.375, 0.5]) and b.barycenter == pytest.approx([0.875, 0.5])
@@ -154,10 +154,60 @@ def test_plan_of_two_sites_in_closed_form(spark):
 
 def test_quantisation_never_gets_worse(spark):
     pos = np.random.default_rng(6).random((4, 2)) * 0.3
-    moved, seen = solver.lloyd(sites(spark, pos), dict.fromkeys(range(4), 1.0), measures.polynomial_grid(spark, [[[1.0]]]), [[0.0, 1.0]] * 2, 4)
+    table = sites(spark, pos).withColumn("mass", F.lit(1.0))
+    moved, way = solver.lloyd(table, measures.polynomial_grid(spark, [[[1.0]]]), [[0.0, 1.0]] * 2, 3)
+    seen = [r.distance for r in way.orderBy("step").collect()]
     assert moved.count() == 4 and all(b <= a + 1e-6 for a, b in zip(seen[:-1], seen[1:], strict=True)) and seen[-1] < seen[0]
 
 
+def test_batches_of_plans_equal_plans_alone(spark):
+    rng = np.random.default_rng(12)
+    pos = rng.random((3, 7, 2))
+    rows = [(b, i, p.tolist(), 1.0 + i) for b in range(3) for i, p in enumerate(pos[b])]
+    table = spark.createDataFrame(rows, "batch_id long, site_id long, pos array<double>, mass double")
+    grid, knots = measures.polynomial_grid(spark, [[[1.0], [3.0]]]), [[0.0, 1.0], [0.0, 0.5, 1.0]]
+    together, distances = ot_plan.semi_discrete_plan(table, grid, knots, tol=1e-9)
+    got = {(r.batch_id, r.site_id): r for r in together.collect()}
+    assert [got[b, i].mass for b in range(3) for i in range(7)] == pytest.approx([(1 + i) / 28 for _ in range(3) for i in range(7)])
+    alone, distance = ot_plan.semi_discrete_plan(table.where("batch_id = 1").drop("batch_id"), grid, knots, tol=1e-9)
+    assert {r.site_id: r.weight for r in alone.collect()} == pytest.approx({i: got[1, i].weight for i in range(7)}, abs=1e-9)
+    assert distances.where("batch_id = 1").first().distance == pytest.approx(distance.first().distance)
+    # A torus and a partial plan through the same door.
+    torus, _ = ot_plan.semi_discrete_plan(table.where("batch_id = 2"), grid.withColumn("batch_id", F.lit(2).cast("long")), knots, tol=1e-9, metric=ot_plan.PeriodicMetric((1.0, None)))
+    assert {r.site_id: r.mass for r in torus.collect()} == pytest.approx({i: (1 + i) / 28 for i in range(7)})
+    some, cost = ot_plan.semi_discrete_plan(table.where("batch_id = 0"), grid, knots, tol=1e-9, site_mass=0.4)
+    assert some.agg(F.sum("mass")).first()[0] == pytest.approx(0.4) and cost.first().distance < distances.where("batch_id = 0").first().distance
+    with pytest.raises(ValueError, match="period"):
+        ot_plan.semi_discrete_plan(table, grid, knots, metric=ot_plan.PeriodicMetric((2.0, None)))
+
+
+@pytest.mark.parametrize("task", [50_000, 0])
+def test_systems_of_all_batches_are_solved(spark, monkeypatch, task):
+    """In a task each, and as jobs with a coarse level."""
+    monkeypatch.setattr(linear, "TASK_UNKNOWNS", task)
+    rng = np.random.default_rng(1)
+    entries, right, want, groups = [], [], {}, []
+    for b, n in ((0, 12), (5, 5), (6, 1)):
+        m = np.zeros((n, n))
+        for i in range(n - 1):
+            v = rng.random() + 0.1
+            m[np.ix_([i, i + 1], [i, i + 1])] += [[v, -v], [-v, v]]
+        m += np.eye(n) * (0.0 if b == 0 else 0.01)  # batch 0 is singular
+        x = rng.random(n)
+        x -= x.mean() if b == 0 else 0.0
+        right += [(b, 100 + i, float(v)) for i, v in enumerate(m @ x)]
+        entries += [(b, 100 + i, 100 + j, float(m[i, j] / 2)) for i in range(n) for j in range(n) if m[i, j] for _ in range(2)]
+        groups += [(b, 100 + i, i // 3) for i in range(n)]
+        want |= {(b, 100 + i): v for i, v in enumerate(x)}
+    matrix = spark.createDataFrame([*entries, (0, 999, 100, 5.0), (0, 100, 999, 5.0)], "batch_id long, row long, col long, val double")
+    rhs = spark.createDataFrame([*right, (7, 1, 0.0)], "batch_id long, row long, val double")
+    found = linear.solve_spd(matrix, rhs, spark.createDataFrame(groups, "batch_id long, row long, group long"), tol=1e-10)
+    got = {(r.batch_id, r.row): r.val for r in found.collect()}
+    assert got.pop((7, 1)) == 0.0
+    shift = np.mean([v for (b, _), v in got.items() if b == 0])
+    assert {k: v - (shift if k[0] == 0 else 0.0) for k, v in got.items()} == pytest.approx(want, abs=1e-7)
+
+
 def test_tree_nodes_hold_their_points(spark):
     rng = np.random.default_rng(7)
     pos = np.concatenate([rng.random((200, 2)), np.full((50, 2), 0.5)])
