@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from masswright.functions import arrays
 from masswright.session import ship_package
 
+from .running import ordered, ranges_of
+
 
 def checked_total(value: Column, what: str) -> Column:
     """A positive total, or an error in the job."""
@@ -237,19 +239,15 @@ def linspace(spark: SparkSession, a: float, b: float, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("i"), (F.lit(float(a)) + F.col("id") * step).alias("x"))
 
 
-def cdf(pieces: DataFrame) -> DataFrame:
+def cdf(pieces: DataFrame, ranges: int | None = None) -> DataFrame:
     """Normalised pieces with positive mass and their cumulative mass c0 to c1 in each batch."""
     mass = (F.col("y0") + F.col("y1")) / 2 * (F.col("x1") - F.col("x0"))
-    whole = Window.partitionBy("batch_id")
-    upto = whole.orderBy("x0", "piece").rowsBetween(Window.unboundedPreceding, 0)
-    rows = pieces.withColumn("piece_mass", mass).withColumn("z", F.sum("piece_mass").over(whole))
+    rows = ordered(pieces.withColumn("piece_mass", mass), ["x0", "piece"], ranges).with_columns(totals={"z": F.col("piece_mass")})
     # One predicate: a separate filter on piece_mass would run first and leave nothing to check in an empty density.
     rows = rows.where(F.when(checked_total(F.col("z"), "density") > 0, F.col("piece_mass") > 0))
-    rows = rows.withColumn("c1", F.sum("piece_mass").over(upto) / F.col("z"))
-    rows = rows.withColumn("c0", F.coalesce(F.lag("c1").over(whole.orderBy("x0", "piece")), F.lit(0.0)))
-    last = F.lead("c1").over(whole.orderBy("x0", "piece")).isNull()
-    rows = rows.withColumn("c1", F.when(last, 1.0).otherwise(F.col("c1")))
-    return rows.select("batch_id", "piece", "x0", "x1", (F.col("y0") / F.col("z")).alias("y0"), (F.col("y1") / F.col("z")).alias("y1"), "c0", "c1", "z")
+    rows = rows.with_columns(upto={"c1": F.col("piece_mass")}, under={"c0": F.col("piece_mass")}, last="is_end").result()
+    c1 = F.when(F.col("is_end"), 1.0).otherwise(F.col("c1") / F.col("z"))
+    return rows.select("batch_id", "piece", "x0", "x1", (F.col("y0") / F.col("z")).alias("y0"), (F.col("y1") / F.col("z")).alias("y1"), (F.col("c0") / F.col("z")).alias("c0"), c1.alias("c1"), "z")
 
 
 def inverse_cdf(t: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
@@ -261,10 +259,11 @@ def inverse_cdf(t: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Co
 
 def quantiles(pieces: DataFrame, probabilities: DataFrame) -> DataFrame:
     """Positions with the given cumulative mass: probabilities are (batch_id, q) rows, 0 < q <= 1."""
-    c = cdf(pieces)
+    ranges = ranges_of(pieces, probabilities)
+    c = cdf(pieces, ranges)
     marks = c.select("batch_id", F.col("c1").alias("q"), F.struct("x0", "x1", "y0", "y1", "c0").alias("p"), F.lit(None).cast("double").alias("wanted"))
     asked = probabilities.select("batch_id", "q", F.lit(None).cast(marks.schema["p"].dataType).alias("p"), F.col("q").alias("wanted"))
-    w = Window.partitionBy("batch_id").orderBy(F.col("q").desc(), F.col("wanted").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(asked).withColumn("p", F.last("p", ignorenulls=True).over(w)).where("wanted is not null")
+    both = marks.unionByName(asked).withColumns({"down": -F.col("q"), "is_asked": F.col("wanted").isNotNull()})
+    both = ordered(both, ["down", "is_asked"], ranges).with_columns(filled={"p": F.col("p")}).result().where("wanted is not null")
     x = inverse_cdf(F.col("wanted") - F.col("p.c0"), F.col("p.x0"), F.col("p.x1"), F.col("p.y0"), F.col("p.y1"))
     return both.select("batch_id", F.col("wanted").alias("q"), x.alias("x"))

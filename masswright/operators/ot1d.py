@@ -12,42 +12,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .measures import cdf, inverse_cdf
+from .running import ordered, ranges_of
 
 
-def order_diracs(diracs: DataFrame) -> DataFrame:
+def order_diracs(diracs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Points (batch_id, dirac_id, x, mass) with normalised mass m and cumulative mass q0 to q1.
 
     Ties in x are broken by dirac_id.  A mass that is not positive raises.
     """
-    whole = Window.partitionBy("batch_id")
-    order = whole.orderBy("x", "dirac_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     mass = F.col("mass").cast("double")
     mass = F.when(mass > 0, mass).otherwise(F.raise_error(F.lit("a point's mass is not positive")).cast("double"))
-    rows = diracs.withColumn("mass", mass).withColumn("w", F.sum("mass").over(whole))
-    rows = rows.withColumn("m", F.col("mass") / F.col("w")).withColumn("q1", F.sum("mass").over(upto) / F.col("w"))
-    rows = rows.withColumn("q0", F.coalesce(F.lag("q1").over(order), F.lit(0.0)))
-    return rows.withColumn("q1", F.when(F.lead("dirac_id").over(order).isNull(), 1.0).otherwise(F.col("q1")))
+    rows = ordered(diracs.withColumn("mass", mass), ["x", "dirac_id"], ranges).with_columns(totals={"w": F.col("mass")}, upto={"q1": F.col("mass")}, under={"q0": F.col("mass")}, last="is_end").result()
+    q1 = F.when(F.col("is_end"), 1.0).otherwise(F.col("q1") / F.col("w"))
+    return rows.withColumns({"m": F.col("mass") / F.col("w"), "q0": F.col("q0") / F.col("w"), "q1": q1}).drop("is_end")
 
 
-def couple(diracs: DataFrame, pieces: DataFrame) -> DataFrame:
+def couple(diracs: DataFrame, pieces: DataFrame, ranges: int | None = None) -> DataFrame:
     """Gaps of the merged cumulative masses: each has its point (d), its piece (p) and bounds l to r."""
-    points = order_diracs(diracs)
-    parts = cdf(pieces)
+    ranges = ranges_of(diracs, pieces) if ranges is None else ranges
+    points = order_diracs(diracs, ranges)
+    parts = cdf(pieces, ranges)
     d = F.struct("dirac_id", "x", "m", "mass", "w")
     p = F.struct("piece", "x0", "x1", "y0", "y1", "c0", "z")
     left = points.select("batch_id", F.col("q1").alias("q"), d.alias("d"))
     right = parts.select("batch_id", F.col("c1").alias("q"), p.alias("p"))
     marks = left.unionByName(right, allowMissingColumns=True)
-    back = Window.partitionBy("batch_id").orderBy(F.col("q").desc(), F.col("d").isNull())
-    upto = back.rowsBetween(Window.unboundedPreceding, 0)
-    gaps = marks.select(
-        "batch_id",
-        "q",
-        F.coalesce(F.lead("q").over(back), F.lit(0.0)).alias("from"),
-        F.last("d", ignorenulls=True).over(upto).alias("d"),
-        F.last("p", ignorenulls=True).over(upto).alias("p"),
-    ).where("q > `from`")
+    rows = ordered(marks.withColumns({"down": -F.col("q"), "late": F.col("d").isNull()}), ["down", "late"], ranges)
+    rows = rows.with_columns(after={"from": F.col("q")}, filled={"d": F.col("d"), "p": F.col("p")}).result().drop("down", "late")
+    gaps = rows.withColumn("from", F.coalesce("from", F.lit(0.0))).where("q > `from`")
 
     def at(q: Column) -> Column:
         return inverse_cdf(q - F.col("p.c0"), F.col("p.x0"), F.col("p.x1"), F.col("p.y0"), F.col("p.y1"))
@@ -74,8 +66,9 @@ def plan_1d(diracs: DataFrame, pieces: DataFrame) -> DataFrame:
     ``mass`` is as given, ``m`` normalised; the first potential of a batch is 0.
     """
     k = _moments()
+    ranges = ranges_of(diracs, pieces)
     grouped = (
-        couple(diracs, pieces)
+        couple(diracs, pieces, ranges)
         .groupBy("batch_id", F.col("d.dirac_id").alias("dirac_id"))
         .agg(
             F.first("d").alias("d"),
@@ -85,11 +78,10 @@ def plan_1d(diracs: DataFrame, pieces: DataFrame) -> DataFrame:
             F.sum(k["second"]).alias("cost"),
         )
     )
-    order = Window.partitionBy("batch_id").orderBy("x", "dirac_id")
     rows = grouped.select("batch_id", "dirac_id", F.col("d.x").alias("x"), F.col("d.mass").alias("mass"), F.col("d.m").alias("m"), F.col("d.w").alias("w"), (F.col("first") / F.col("d.m")).alias("barycenter"), "cut_lo", "cut_hi", "cost")
-    jump = (F.col("x") - F.col("cut_lo")) ** 2 - (F.lag("x").over(order) - F.col("cut_lo")) ** 2
-    rows = rows.withColumn("jump", F.coalesce(jump, F.lit(0.0)))
-    return rows.withColumn("potential", F.sum("jump").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("jump")
+    rows = ordered(rows, ["x", "dirac_id"], ranges).with_columns(before={"x_before": F.col("x")})
+    jump = F.coalesce((F.col("x") - F.col("cut_lo")) ** 2 - (F.col("x_before") - F.col("cut_lo")) ** 2, F.lit(0.0))
+    return rows.with_columns(upto={"potential": jump}).result().drop("x_before")
 
 
 def distances(plan: DataFrame) -> DataFrame:
@@ -97,24 +89,24 @@ def distances(plan: DataFrame) -> DataFrame:
     return plan.groupBy("batch_id").agg(F.sum("cost").alias("distance"))
 
 
-def with_upstream(plan: DataFrame, distance_gradient: float = 1.0, barycenter_gradient: str | None = None) -> DataFrame:
+def with_upstream(plan: DataFrame, distance_gradient: float = 1.0, barycenter_gradient: str | None = None, ranges: int | None = None) -> DataFrame:
     """Adds beta (upstream gradient of the barycenter over m) and phi, its potential."""
-    order = Window.partitionBy("batch_id").orderBy("x", "dirac_id")
     beta = F.col(barycenter_gradient) / F.col("m") if barycenter_gradient else F.lit(0.0)
     rows = plan.withColumn("g", F.lit(float(distance_gradient))).withColumn("beta", beta)
-    jump = F.coalesce(F.col("cut_lo") * (F.col("beta") - F.lag("beta").over(order)), F.lit(0.0))
-    return rows.withColumn("phi_jump", jump).withColumn("phi", F.sum("phi_jump").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("phi_jump")
+    rows = ordered(rows, ["x", "dirac_id"], ranges).with_columns(before={"beta_before": F.col("beta")})
+    jump = F.coalesce(F.col("cut_lo") * (F.col("beta") - F.col("beta_before")), F.lit(0.0))
+    return rows.with_columns(upto={"phi": jump}).result().drop("beta_before")
 
 
 def dirac_gradients(plan: DataFrame, distance_gradient: float = 1.0, barycenter_gradient: str | None = None) -> DataFrame:
     """Adds d_position and d_mass: gradients of the loss with respect to x and the unnormalised mass."""
-    rows = with_upstream(plan, distance_gradient, barycenter_gradient)
-    whole = Window.partitionBy("batch_id")
+    ranges = ranges_of(plan)
+    rows = with_upstream(plan, distance_gradient, barycenter_gradient, ranges)
     level = F.col("g") * F.col("potential") + F.col("phi")
-    mean = F.sum(F.col("m") * level).over(whole)
-    pull = F.sum(F.col("beta") * F.col("m") * F.col("barycenter")).over(whole)
-    d_mass = (level - mean + pull) / F.col("w") - F.col("beta") * F.col("m") * F.col("barycenter") / F.col("mass")
-    return rows.withColumn("d_position", 2 * F.col("g") * F.col("m") * (F.col("x") - F.col("barycenter"))).withColumn("d_mass", d_mass)
+    pulled = F.col("beta") * F.col("m") * F.col("barycenter")
+    rows = ordered(rows, ["x", "dirac_id"], ranges).with_columns(totals={"mean_level": F.col("m") * level, "pull": pulled}).result()
+    d_mass = (level - F.col("mean_level") + F.col("pull")) / F.col("w") - pulled / F.col("mass")
+    return rows.withColumns({"d_position": 2 * F.col("g") * F.col("m") * (F.col("x") - F.col("barycenter")), "d_mass": d_mass}).drop("mean_level", "pull")
 
 
 def knot_gradients(diracs: DataFrame, knots: DataFrame, distance_gradient: float = 1.0) -> DataFrame:
@@ -169,13 +161,14 @@ def knot_gradients(diracs: DataFrame, knots: DataFrame, distance_gradient: float
 def discrete_coupling(left: DataFrame, right: DataFrame) -> DataFrame:
     """Monotone coupling of two point measures: batch_id, a (left point), b (right point), flow, cost."""
     d = F.struct("dirac_id", "x")
+    ranges = ranges_of(left, right)
     marks = (
-        order_diracs(left).select("batch_id", F.col("q1").alias("q"), d.alias("a"))
-        .unionByName(order_diracs(right).select("batch_id", F.col("q1").alias("q"), d.alias("b")), allowMissingColumns=True)
+        order_diracs(left, ranges).select("batch_id", F.col("q1").alias("q"), d.alias("a"))
+        .unionByName(order_diracs(right, ranges).select("batch_id", F.col("q1").alias("q"), d.alias("b")), allowMissingColumns=True)
     )
-    back = Window.partitionBy("batch_id").orderBy(F.col("q").desc(), F.col("a").isNull())
-    upto = back.rowsBetween(Window.unboundedPreceding, 0)
-    gaps = marks.select("batch_id", (F.col("q") - F.coalesce(F.lead("q").over(back), F.lit(0.0))).alias("flow"), F.last("a", ignorenulls=True).over(upto).alias("a"), F.last("b", ignorenulls=True).over(upto).alias("b"))
+    rows = ordered(marks.withColumns({"down": -F.col("q"), "late": F.col("a").isNull()}), ["down", "late"], ranges)
+    rows = rows.with_columns(after={"from": F.col("q")}, filled={"a": F.col("a"), "b": F.col("b")}).result()
+    gaps = rows.select("batch_id", (F.col("q") - F.coalesce("from", F.lit(0.0))).alias("flow"), "a", "b")
     return gaps.where("flow > 0").withColumn("cost", F.col("flow") * (F.col("a.x") - F.col("b.x")) ** 2)
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from masswright.operators import measures, ot1d
+from masswright.operators import measures, ot1d, running
 from masswright.plans.ot_plan import distance, ot_plan
 
 
@@ -116,3 +116,28 @@ def test_dispatcher(spark):
     assert ot_plan(d, two).select("batch_id").distinct().count() == 2
     with pytest.raises(ValueError, match="batch"):
         distance(d, two)
+
+
+def test_plans_of_split_batches_equal_whole_ones(spark, monkeypatch):
+    """Batches cut into ranges of a few rows, with ties at their ends."""
+    rng = np.random.default_rng(3)
+    points = [(b, i, float(x), float(w)) for b, n in ((0, 40), (1, 3), (2, 25)) for i, (x, w) in enumerate(zip(np.round(rng.random(n) * 3, 1), rng.integers(1, 4, n), strict=True))]
+    df = spark.createDataFrame(points, "batch_id long, dirac_id long, x double, mass double")
+    pieces = measures.affine_pieces(spark.createDataFrame([(b, i, float(i) / 4, float(rng.random() + 0.1)) for b in range(3) for i in range(13)], "batch_id long, i long, x double, y double"))
+    other = df.selectExpr("batch_id", "dirac_id", "2 - x * x / 3 x", "mass + 1 mass")
+    asked = spark.createDataFrame([(b, k / 8) for b in range(3) for k in range(1, 9)], "batch_id long, q double")
+
+    def results():
+        plan = ot1d.plan_1d(df, pieces)
+        coupled = ot1d.discrete_coupling(df, other).groupBy("batch_id", "a.dirac_id", "b.dirac_id").sum("flow", "cost")
+        found = [ot1d.dirac_gradients(plan.withColumn("up", plan.x * 0.5), 0.7, "up"), coupled, measures.cdf(pieces), measures.quantiles(pieces, asked)]
+        return [sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f.collect()), key=repr) for f in found]
+
+    whole = results()
+    monkeypatch.setattr(running, "RANGE_ROWS", 7)
+    split = results()
+    assert [len(x) for x in split] == [len(x) for x in whole] and len(whole[0]) == 68
+    for a, b in zip(split, whole, strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert x == pytest.approx(y, abs=1e-8)
+    assert ot1d.plan_1d(df.limit(0), pieces.limit(0)).count() == 0
