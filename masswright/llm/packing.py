@@ -6,7 +6,10 @@ weights: a length's price grows exponentially with the cover that it lags behind
 knapsack dynamic program finds the best configuration under the prices, and every round
 takes configurations within a tolerance of the best.  The dynamic program also gives a
 lower bound (prices over the best price are feasible for the dual program), and the loop
-stops when the fractional solution is within a stated gap of it.  The solution is rounded
+stops when the fractional solution is within a stated gap of it.  Where a hard histogram
+is not that near after some rounds, the program restricted to the configurations found is
+solved by an interior point method, and its prices, by the same dynamic program, give the
+next configurations and bounds until the gap is met.  The solution is rounded
 within what is left of each length, configurations of few pieces first; the program is
 solved again for what remains, and the last few pieces are packed best fit.  All of this sees the
 histogram alone (at most ``capacity`` numbers); pieces meet their places by their rank
@@ -27,9 +30,10 @@ from masswright.session import ship_package
 from .common import bucket_bits, stage_table
 from .tokens import slices, word_encoder
 
-#: The gap to the lower bound at which the program counts as solved.  A hard histogram that
-#: takes more than GAP_ROUNDS rounds may have a gap as many times wider as it takes more rounds.
-GAP, GAP_ROUNDS = 0.005, 16
+#: The gap to the lower bound at which the program counts as solved.
+GAP = 0.005
+#: Rounds of multiplicative weights before the restricted program takes over.
+ROUNDS = 32
 #: A price grows by this power of e for every round that a length's cover lags behind.
 ETA = 0.02
 #: Configurations are taken if their price is at most this share below the best.
@@ -82,17 +86,46 @@ def take_configurations(lengths: np.ndarray, values: np.ndarray, best: np.ndarra
     return taken
 
 
+def solve_restricted(columns: list[tuple[int, ...]], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the given configurations, at least covering ``counts``, whose sum is least to 1e-4, and the lengths' prices.
+
+    Costs differ from 1 by up to 1e-4, so that one corner of the program is best: it has
+    few configurations, which round well.
+    """
+    costs = 1.0 + 1e-4 * np.random.default_rng(len(columns)).random(len(columns))
+    cover = np.zeros((len(counts), len(columns)))
+    for k, used in enumerate(columns):
+        np.add.at(cover[:, k], list(used), 1.0)
+    prices = np.full(len(counts), 0.9 / cover.sum(axis=0).max())
+    numbers = np.full(len(columns), 2.0 * float((counts / cover.sum(axis=1)).max()))
+    spare, over = costs - prices @ cover, cover @ numbers - counts
+    for _ in range(200):
+        gap = numbers @ spare + over @ prices
+        if gap <= 1e-7 * (counts @ prices):
+            break
+        aim = 0.1 * gap / (len(numbers) + len(prices))
+        first, second = aim / spare - numbers, aim / prices - over
+        system = (cover * (numbers / spare)) @ cover.T
+        system[np.diag_indices(len(prices))] += over / prices
+        move = np.linalg.solve(system, second - cover @ first)
+        d_spare = -(move @ cover)
+        d_numbers, d_over = first - numbers / spare * d_spare, second - over / prices * move
+        steps = [min(1.0, 0.95 / max(1e-300, float((-d / v).max()))) for d, v in ((np.concatenate([d_numbers, d_over]), np.concatenate([numbers, over])), (np.concatenate([move, d_spare]), np.concatenate([prices, spare])))]
+        numbers, over = numbers + steps[0] * d_numbers, over + steps[0] * d_over
+        prices, spare = prices + steps[1] * move, spare + steps[1] * d_spare
+    return numbers, prices
+
+
 def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[dict[tuple[int, ...], float], float, float]:
-    """Configurations and their fractional numbers, which cover all counts; their total; a lower bound of any cover.
+    """Configurations and their fractional numbers, which cover all counts; their total, within ``gap`` of the last; a lower bound of any cover.
 
     The solution is the mean of the rounds since the last power of two, so that it forgets
     the first prices.
     """
-    behind, low, rounds = np.zeros(len(lengths)), 0.0, 0
-    while True:
+    behind, low, mean = np.zeros(len(lengths)), 0.0, {}
+    for rounds in range(ROUNDS):
         if rounds & (rounds - 1) == 0:
-            cover, mean, since = np.zeros(len(lengths)), {}, rounds
-        rounds += 1
+            cover, mean = np.zeros(len(lengths)), {}
         values = lengths * np.exp(ETA * behind)
         best = price_capacities(lengths, values, capacity)
         low = max(low, float(counts @ values) / best[capacity])
@@ -104,8 +137,17 @@ def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
         behind -= got / counts
         cover += got
         least = float((cover / counts).min())
-        if least > 0 and sum(mean.values()) / least <= (1 + gap * max(1.0, rounds / GAP_ROUNDS)) * low:
+        if least > 0 and sum(mean.values()) / least <= (1 + gap) * low:
             return {k: x / least for k, x in mean.items()}, sum(mean.values()) / least, low
+    columns = list(dict.fromkeys([*mean, *[(k,) * int(capacity // n) for k, n in enumerate(lengths.tolist())]]))
+    while True:
+        numbers, prices = solve_restricted(columns, counts)
+        best = price_capacities(lengths, prices, capacity)
+        low, value = max(low, float(counts @ prices) / best[capacity]), float(numbers.sum())
+        if value <= (1 + gap) * low:
+            return {used: float(x) for used, x in zip(columns, numbers, strict=True)}, value, low
+        # Prices past the gap mean that configurations near the best one cost less than what they cover.
+        columns = list(dict.fromkeys([*columns, *[used for used, _ in take_configurations(lengths, prices, best, counts.astype(float))]]))
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[Pattern]:
@@ -134,7 +176,7 @@ def round_configurations(lengths: np.ndarray, counts: np.ndarray, solution: dict
     full = {used: int(lengths[list(used)].sum()) for used in solution}
     for used in sorted(solution, key=lambda u: (len(u), -full[u], u)):
         kinds, each = np.unique(used, return_counts=True)
-        number = min(int(np.ceil(solution[used])), int((left[kinds] // each).min()))
+        number = min(int(np.ceil(solution[used] - 1e-3)), int((left[kinds] // each).min()))
         if number:
             left[kinds] -= number * each
             patterns.append((kinds, each, number))
