@@ -29,7 +29,8 @@ BASE = (
 #: The order of kinds at equal starts.
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "wrapped")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: The shortest header, {"alg":""}, has 14 characters; only the header is consumed, so that a word before it hides no token.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
 #: Armoured keys up to the next five dashes, header lines included.
 PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
 PEM_LINE_END = re.compile(r"(?:\\r)?\\n|\\r")
@@ -39,10 +40,12 @@ PEM_CIPHER = re.compile(r"Proc-Type:\s*4\s*,\s*ENCRYPTED\b.*?DEK-Info:\s*([A-Za-
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A run may also be an encoding in one alphabet with a neighbour that only the other alphabet has.
 ONE_ALPHABET = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+#: Base64 broken over lines, as keys without their armour are.
+LINES = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:\r?\n[A-Za-z0-9+/]++)++={0,2}")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{24,}")
 
 #: A text matching none of these holds no candidate of any kind.
-MAYBE = r"(?i:password|passwd|secret|token|api_?key)|eyJ[A-Za-z0-9_-]|-----BEGIN |[A-Za-z0-9+/_-]{16}"
+MAYBE = r"(?i:password|passwd|secret|token|api_?key)|[A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]|-----BEGIN |[A-Za-z0-9+/_-]{16}"
 
 
 def decode_base64(run: str) -> bytes | None:
@@ -98,17 +101,83 @@ def is_private_key(data: bytes) -> bool:
     return tags[1] == 0x04 and fields[1][2] - fields[1][1] >= 20 and all(t in (0xA0, 0xA1) for t in tags[2:])
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key: magic, then length-prefixed fields."""
+def ssh_fields(data: bytes, at: int, end: int) -> list[tuple[int, int]] | None:
+    """(start, end) of the length-prefixed fields that fill data[at:end] exactly, else None."""
+    fields = []
+    while at < end:
+        size = int.from_bytes(data[at : at + 4], "big")
+        if end - at < 4 or size > end - at - 4:
+            return None
+        fields.append((at + 4, at + 4 + size))
+        at += 4 + size
+    return fields
+
+
+def openssh_end(data: bytes) -> int | None:
+    """Where the OpenSSH private key at the start of data ends, or None if there is none.
+
+    Cipher, key derivation and its options, the number of keys, a public blob for each,
+    whose fields must fill it, and the private blob.  An open private blob has two equal
+    check numbers, at least a key's type and material, and counted padding; a ciphertext
+    is whole blocks, and its derivation has a salt and a number of rounds.
+    """
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
-    at, found = len(magic), 0
-    for _ in range(3):  # cipher, key derivation, its options
+        return None
+    at, parts = len(magic), []
+
+    def field() -> bytes | None:
+        nonlocal at
         size = int.from_bytes(data[at : at + 4], "big")
+        if len(data) - at < 4 + size:
+            return None
         at += 4 + size
-        found += at <= len(data)
-    return found == 3 and len(data) >= at + 4 and int.from_bytes(data[at : at + 4], "big") >= 1
+        return data[at - size : at]
+
+    for _ in range(3):
+        parts.append(field())
+    n = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if None in parts or not 1 <= n <= len(data) // 8:
+        return None
+    for _ in range(n):
+        blob = field()
+        inner = ssh_fields(blob, 0, len(blob)) if blob else None
+        if not inner or len(inner) < 2 or not blob[slice(*inner[0])].isascii() or inner[0][1] - inner[0][0] < 4:
+            return None
+    secret = field()
+    if not secret or len(secret) % 8:
+        return None
+    cipher, derivation, options = parts
+    if cipher != b"none":
+        inner = ssh_fields(options, 0, len(options) - 4)
+        return at if derivation != b"none" and inner and len(inner) == 1 else None
+    if derivation != b"none" or len(secret) < 16 or secret[:4] != secret[4:8]:
+        return None
+    start, fields = 8, 0
+    while start < len(secret) and secret[start:] != bytes(range(1, len(secret) - start + 1)):
+        size = int.from_bytes(secret[start : start + 4], "big")
+        if size > len(secret) - start - 4:
+            return None
+        start, fields = start + 4 + size, fields + 1
+    return at if fields >= 3 * n else None  # type, material and comment
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Whether data is an OpenSSH private key to its end, but for the tag of an authenticated cipher."""
+    end = openssh_end(data)
+    return end is not None and (len(data) == end or len(data) == end + 16 and data[15:].split(b"\0\0\0", 1)[-1][1:5] in (b"aes1", b"aes2", b"chac"))
+
+
+def key_size(data: bytes) -> int | None:
+    """Bytes of the private key at the start of data, whatever follows, or None."""
+    if (end := openssh_end(data)) is not None:
+        return end
+    if len(data) < 4 or data[0] != 0x30:
+        return None
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    size = 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+    return size if n <= 4 and is_private_key(data[:size]) else None
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -165,7 +234,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     for m in TOKEN.finditer(text):
         if is_signed_token(m[1], m[2]):
-            found.append(("token", m.start(), m.end()))
+            found.append(("token", m.start(), m.end(3)))
     for m in PEM.finditer(text):
         if is_pem_key(m[2]):
             found.append(("pem", m.start(), m.end()))
@@ -177,6 +246,14 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         for start, end in sorted(parts - {m.span()}):
             if kind := decoded_kind(decode_base64(text[start:end])):
                 found.append((kind, start, end))
+    for m in LINES.finditer(text):
+        places = [i for i in range(m.start(), m.end()) if text[i] not in "\r\n="]
+        whole = len(places) // 4 * 4
+        # The first key ends where its own lengths say, even if more lines of words follow.
+        size = key_size(decode_base64("".join(text[i] for i in places[:whole])) or b"") or key_size(decode_base64("".join(text[i] for i in places)) or b"")
+        if size:
+            last = places[-(-size * 4 // 3) - 1]
+            found.append(("der", m.start(), last + 1 + len(re.match("={0,2}", text[last + 1 :])[0])))
     for m in HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := decoded_kind(bytes.fromhex(m[0]))):
             found.append((kind, m.start(), m.end()))
