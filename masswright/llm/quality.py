@@ -9,6 +9,8 @@ scores.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from .common import stage_table
 
 SPACE = r"[\x20\x09-\x0D]"
 N_BINS = 10_000
+#: Trusted ids that are broadcast at most, and scores that come to the driver for a percentile.
+BROADCAST_IDS = 1_000_000
+BRACKET_ROWS = 10_000
 
 
 def word_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -69,50 +74,63 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
 
 
+def _bin_counts(docs: DataFrame, n_bins: int) -> np.ndarray:
+    """How often each bin occurs in the texts of ``docs``; only these n_bins numbers reach the driver."""
+    rows = word_columns(docs).select(F.explode(ngram_bins(n_bins)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = np.zeros(n_bins)
+    counts[[r["bin"] for r in rows]] = [r["n"] for r in rows]
+    return counts
+
+
 def fit_log_ratios(docs: DataFrame, trusted: DataFrame, n_bins: int = N_BINS, smoothing: float = 1.0) -> np.ndarray:
     """log(p_trusted / p_corpus) of every bin; the corpus is all of ``docs`` (doc_id, text), duplicates included.
 
-    ``trusted`` has unique ids; Spark broadcasts them only if they are few.  Only the
-    n_bins counts reach the driver.
+    ``trusted`` has unique ids.  The corpus is counted without a join.  Trusted rows are
+    picked by a semi-join: up to BROADCAST_IDS ids are counted and broadcast, so that no
+    text is shuffled; more are left to Spark, which filters by them before it shuffles.
     """
-    marked = docs.join(trusted.withColumn("trusted", F.lit(1)).hint("shuffle_hash"), "doc_id", "left")
-    counts = (
-        word_columns(marked)
-        .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(ngram_bins(n_bins)).alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("corpus"), F.sum("trusted").alias("trusted"))
-        .collect()
-    )
-    corpus, target = np.full(n_bins, smoothing), np.full(n_bins, smoothing)
-    for row in counts:
-        corpus[row["bin"]] += row["corpus"]
-        target[row["bin"]] += row["trusted"]
+    if trusted.count() <= BROADCAST_IDS:
+        trusted = F.broadcast(trusted)
+    corpus = _bin_counts(docs, n_bins) + smoothing
+    target = _bin_counts(docs.where("doc_id is not null").join(trusted, "doc_id", "left_semi"), n_bins) + smoothing
     return np.log(target / target.sum()) - np.log(corpus / corpus.sum())
 
 
 def exact_percentile(scores: DataFrame, p: float) -> float | None:
     """The interpolated percentile of the column score, nulls left out; None without any.
 
-    Approximate percentiles bracket the place; only the distinct scores between them reach
-    the driver, and the bracket is widened until it holds the place.
+    Approximate percentiles bracket the place, again within each bracket, or else its
+    middle halves it, until at most BRACKET_ROWS rows or one value are left in it; only
+    those reach the driver.
     """
     scores = scores.where("score is not null")
-    width = 2e-4
-    while True:
-        ends = [F.percentile_approx("score", F.lit(q), F.lit(10_000)) for q in (max(0.0, p - width), min(1.0, p + width))]
-        n, low, high = scores.agg(F.count("score"), *ends).first()
-        if not n:
-            return None
-        below = scores.where(F.col("score") < low).count()
-        inside = scores.where(F.col("score").between(low, high)).groupBy("score").count().collect()
-        inside.sort(key=lambda r: r["score"])
-        at = p * (n - 1)
-        places = int(at), min(int(at) + 1, n - 1)
-        upto = below + np.cumsum([r["count"] for r in inside])
-        if below <= places[0] and places[1] < upto[-1]:
-            least, most = (inside[int(np.searchsorted(upto, k, side="right"))]["score"] for k in places)
-            return least + (most - least) * (at - places[0])
-        width *= 4
+    n, low, high = scores.agg(F.count("score"), F.min("score"), F.max("score")).first()
+    if not n:
+        return None
+    at = p * (n - 1)
+    places = int(at), min(int(at) + 1, n - 1)
+    below, held = 0, n
+    while held > BRACKET_ROWS and low < high:
+        here = scores.where(F.col("score").between(low, high))
+        share, width = (places[0] - below) / held, max(2e-4, BRACKET_ROWS / 4 / held)
+        ends = [F.percentile_approx("score", F.lit(q), F.lit(10_000)) for q in (max(0.0, share - width), min(1.0, share + width))]
+        for a, b in (here.agg(*ends).first(), (low, low + (high - low) / 2), (math.nextafter(low + (high - low) / 2, math.inf), high)):
+            under, inside = here.agg(F.sum((F.col("score") < a).cast("long")), F.sum(F.col("score").between(a, b).cast("long"))).first()
+            if below + under <= places[0] and places[1] < below + under + inside and inside < held:
+                below, held, low, high = below + under, inside, a, b
+                break
+        else:
+            break  # the two places lie on either side of the middle, or all values are equal
+    inside = scores.where(F.col("score").between(low, high)).groupBy("score").count()
+    if held > BRACKET_ROWS and low < high:
+        # The values next to the middle are all that matter.
+        middle = low + (high - low) / 2
+        ends = scores.where(F.col("score").between(low, high)).agg(F.max(F.when(F.col("score") <= middle, F.col("score"))), F.min(F.when(F.col("score") > middle, F.col("score")))).first()
+        return ends[0] + (ends[1] - ends[0]) * (at - places[0])
+    found = sorted((r["score"], r["count"]) for r in inside.collect())
+    upto = below + np.cumsum([k for _, k in found])
+    least, most = (found[int(np.searchsorted(upto, k, side="right"))][0] for k in places)
+    return least + (most - least) * (at - places[0])
 
 
 def add_score(docs: DataFrame, log_ratios: np.ndarray) -> DataFrame:
@@ -137,13 +155,16 @@ def judge_quality(
     rules fail, else whether score >= threshold; the threshold is ``percentile`` of the
     scores of all trusted documents that pass the base rules, less ``slack``.  Corpus
     counts cover all documents, target counts all trusted ones.  Scores are written before
-    the threshold is taken, so each text is scored once.
+    the threshold is taken, so each text is scored once.  Columns named in ``keep`` must
+    not have the names of the columns above, else ValueError is raised.
 
     Null and empty texts have no words and fail the base rules.  Rows are judged on their
     own, so equal texts get equal verdicts and repeated or null ids pass through.  Without
     trusted documents every row that passes the base rules is kept.  Other columns of
     ``docs`` are ignored unless kept.
     """
+    if clash := {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "words", "word_hashes"} & set(keep):
+        raise ValueError(f"columns that the result has already: {sorted(clash)}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c) for c in keep if c not in ("doc_id", "text")])
     trusted = trusted_ids(labels)
     ratios = fit_log_ratios(rows.select("doc_id", "text"), trusted, n_bins)

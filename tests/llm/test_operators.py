@@ -252,6 +252,17 @@ def test_quality_base_and_scores(spark, rows, docs):
         assert r["kept"] == (not r["base_failed"] and scores[i] >= least)
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "two", "one"])
+def test_percentiles_are_exact_in_bounded_brackets(spark, monkeypatch, kind):
+    monkeypatch.setattr(quality, "BRACKET_ROWS", 20)
+    rng = np.random.default_rng(4)
+    values = {"spread": rng.normal(size=5000), "ties": np.round(rng.normal(size=5000), 1), "two": np.where(np.arange(1000) < 500, -1.5, 2.0), "one": np.full(300, 0.25)}[kind]
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "score double")
+    for p in (0.0, 0.005, 0.3, 0.49999, 0.5, 1.0):
+        assert quality.exact_percentile(df, p) == pytest.approx(np.percentile(values, 100 * p), abs=1e-12), p
+    assert quality.exact_percentile(df.where("score is null"), 0.5) is None
+
+
 def test_quality_without_labels_or_rows(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.judge_quality(docs, labels)
@@ -371,6 +382,21 @@ def test_the_program_beats_best_fit_where_lengths_must_be_matched():
         assert n < sum(n for _, _, n in packing.best_fit(lengths, counts, 100))
 
 
+def test_hard_histograms_meet_the_stated_gap():
+    """Lengths near halves, thirds and quarters of a sequence, which have to be matched."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        lengths = np.unique(np.concatenate([2048 // k + rng.integers(-40, 41, 8) for k in (2, 3, 4)]))
+        counts = rng.integers(1, 1000, len(lengths))
+        solution, value, bound = packing.solve_configurations(lengths, counts, 2048)
+        cover = np.zeros(len(lengths))
+        for used, number in solution.items():
+            assert lengths[list(used)].sum() <= 2048
+            np.add.at(cover, list(used), number)
+        assert (cover >= counts * (1 - 1e-6)).all() and value <= 1.005 * bound and value == pytest.approx(sum(solution.values()))
+        assert sequences(packing.plan_packing(lengths, counts, 2048)[0], lengths, counts, 2048) <= 1.006 * bound + 12
+
+
 def test_the_program_handles_a_wide_histogram():
     rng = np.random.default_rng(7)
     lengths = np.unique(np.minimum(2048, np.exp(rng.normal(6, 1.1, 4000)).astype(int) + 2))
@@ -426,7 +452,18 @@ def b64(data):
 NUMBER = der(2, b"\x01" * 64)
 RSA = der(0x30, der(2, b"\0"), *[NUMBER] * 8)
 PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, RSA))
-OPENSSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"rest" * 9
+def ssh(*fields):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in fields)
+
+
+def openssh(cipher=b"none", derivation=b"none", options=b"", public=ssh(b"ssh-ed25519", b"p" * 32), private=None):
+    """A key in OpenSSH's own format, with its counted padding."""
+    secret = b"chckchck" + ssh(b"ssh-ed25519", b"p" * 32, b"s" * 64, b"me@here") if private is None else private
+    secret += bytes(range(1, -len(secret) % 8 + 1))
+    return b"openssh-key-v1\0" + ssh(cipher, derivation, options) + (1).to_bytes(4, "big") + ssh(public, secret)
+
+
+OPENSSH = openssh()
 JWT = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256", "typ": "JWT"}, {"sub": "me"})) + ".c2ln"
 
 
@@ -439,6 +476,30 @@ def test_structure_confirms_secrets():
         assert secrets.confirmed_spans(text) == [], text
 
 
+def test_openssh_keys_are_parsed_to_their_end():
+    locked = openssh(b"aes256-ctr", b"bcrypt", ssh(b"salt" * 4) + (16).to_bytes(4, "big"), private=b"\x9c" * 64)
+    assert secrets.is_openssh_key(OPENSSH) and secrets.is_openssh_key(locked)
+    sealed = openssh(b"aes256-gcm@openssh.com", b"bcrypt", ssh(b"salt" * 4) + (16).to_bytes(4, "big"), private=b"\x9c" * 64)
+    assert secrets.is_openssh_key(sealed + b"t" * 16)
+    head = b"openssh-key-v1\0" + ssh(b"none", b"none", b"")
+    broken = [head + (9_999_999).to_bytes(4, "big"), head + (1).to_bytes(4, "big") + b"rest" * 9, OPENSSH[:-1], OPENSSH + b"\0", OPENSSH.replace(b"chckchck", b"chckchek"), openssh(public=b"no fields"), openssh(private=b"chckchck"), openssh(b"aes256-ctr", b"bcrypt", private=b"x" * 64), b"openssh-key-v1\0"]
+    assert not any(secrets.is_openssh_key(x) for x in broken)
+
+
+def test_headers_with_blanks_and_keys_over_lines():
+    for header in ('{ "alg":"HS256"}', '{\n "alg": "none"}', ' {"alg":"HS256"}', '{"alg":""}'):
+        token = base64.urlsafe_b64encode(header.encode()).decode().rstrip("=") + "." + JWT.split(".", 1)[1]
+        for before in ("", "a-long-word-and-more."):
+            text = f"x {before}{token} y"
+            assert ("token", text.index(token), text.index(token) + len(token)) in secrets.confirmed_spans(text), header
+            assert re.search(secrets.MAYBE, text)
+    for data in (RSA, PKCS8, OPENSSH):
+        for end, after in (("\n", "\nwords follow\n"), ("\r\n", "\r\n\r\nmore"), ("\n", "")):
+            lines = end.join(b64(data)[i : i + 64] for i in range(0, len(b64(data)), 64))
+            assert ("der", 2, 2 + len(lines)) in secrets.confirmed_spans(f"a\n{lines}{after}"), (len(data), end, after)
+    assert secrets.confirmed_spans("\n".join(["A" * 64] * 50 + ["end"])) == []
+
+
 def test_short_urlsafe_and_nested_secrets_are_confirmed(spark):
     pem = "-----BEGIN RSA PRIVATE KEY-----{0}Proc-Type: 4,ENCRYPTED{0}DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF{0}{0}{1}{0}-----END RSA PRIVATE KEY-----"
     plain = f"-----BEGIN PRIVATE KEY-----\nComment: mine\n\n{b64(PKCS8)}\n-----END PRIVATE KEY-----"
