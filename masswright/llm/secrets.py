@@ -166,7 +166,10 @@ def openssh_end(data: bytes) -> int | None:
 def is_openssh_key(data: bytes) -> bool:
     """Whether data is an OpenSSH private key to its end, but for the tag of an authenticated cipher."""
     end = openssh_end(data)
-    return end is not None and (len(data) == end or len(data) == end + 16 and data[15:].split(b"\0\0\0", 1)[-1][1:5] in (b"aes1", b"aes2", b"chac"))
+    if end is None:
+        return False
+    cipher = data[19 : 19 + int.from_bytes(data[15:19], "big")]
+    return len(data) - end == (16 if b"gcm" in cipher or b"poly1305" in cipher else 0)
 
 
 def key_size(data: bytes) -> int | None:
