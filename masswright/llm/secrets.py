@@ -311,7 +311,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret in text replaced by a mark, all columns and rows kept; null texts stay null."""
+    """``docs`` with every secret in text replaced by a mark, all columns and rows kept.
+
+    Runs of overlapping spans get one mark, of the span that starts first, the longest of
+    such.  Null texts stay null, repeated rows are each cleaned, and an empty table stays
+    empty.
+    """
     ship_package(docs.sparkSession)
     at = docs.columns.index("text")
 
