@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +78,6 @@ def grid_boxes(cells: DataFrame, knots: Sequence[Sequence[float]]) -> DataFrame:
 
 def polynomial_grid(spark: SparkSession, values, knots: Sequence[Sequence[float]] | None = None, batch_id: int = 0) -> DataFrame:
     """A grid from nested values[axis 0]...[axis d-1][coefficients]; default knots divide [0, 1] evenly."""
-    import numpy as np
-
     v = np.asarray(values, float)
     shape = v.shape[:-1]
     knots = knots or [np.linspace(0, 1, n + 1).tolist() for n in shape]
@@ -134,6 +133,91 @@ def grid_domain(grid: DataFrame, dim: int) -> DataFrame:
     return grid.groupBy("batch_id").agg(F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
 
 
+def image_grid(pixels: DataFrame, lo: Sequence[float], hi: Sequence[float], shape: Sequence[int]) -> tuple[DataFrame, list[list[float]]]:
+    """The step density of an image on the box [lo, hi], and its knots: pixels are rows (batch_id, idx, value).
+
+    Pixels that are missing or null have the value 0, and those outside the shape are left out.
+    """
+    knots = [[a + (b - a) * k / n for k in range(n + 1)] for a, b, n in zip(lo, hi, shape, strict=True)]
+    inside = [(F.get("idx", F.lit(d)) >= 0) & (F.get("idx", F.lit(d)) < n) for d, n in enumerate(shape)]
+    rows = pixels.where(F.col("value").isNotNull())
+    for c in inside:
+        rows = rows.where(c)
+    rows = rows.select("batch_id", F.transform("idx", lambda i: i.cast("int")).alias("idx"), F.array(F.col("value").cast("double")).alias("coeffs"))
+    return grid_boxes(rows, knots).select("batch_id", "idx", "lo", "hi", "coeffs"), knots
+
+
+PIECE_SCHEMA = "batch_id long, piece_id long, lo array<double>, hi array<double>, normals array<array<double>>, offsets array<double>, coeffs array<double>"
+
+
+def convex_pieces(polyhedra: DataFrame, dim: int) -> DataFrame:
+    """Pieces of a density from convex polyhedra (batch_id, piece_id, points, normals, coefficient).
+
+    A polyhedron is what lies behind all its planes, each given by a point and an outward
+    normal; coefficients are constant and may be negative, and null stands for 1.  Adds
+    the bounding boxes that the spatial join needs.  An empty polyhedron has no row, an
+    unbounded one raises.
+    """
+    ship_package(polyhedra.sparkSession)
+
+    def work(batches):
+        import pyarrow as pa
+
+        from masswright.functions import polytopes
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                cell = polytopes.unbounded(dim)
+                offsets = [float(np.dot(p, n)) for p, n in zip(r["points"], r["normals"], strict=True)]
+                for n, o in zip(r["normals"], offsets, strict=True):
+                    cell = polytopes.clip(cell, n, o, polytopes.BOUNDARY)
+                if cell.empty:
+                    continue
+                if not cell.closed:
+                    raise ValueError(f"polyhedron {r['piece_id']} is not bounded")
+                coefficient = 1.0 if r["coefficient"] is None else float(r["coefficient"])
+                out.append((r["batch_id"], r["piece_id"], cell.vertices.min(axis=0).tolist(), cell.vertices.max(axis=0).tolist(), r["normals"], offsets, [coefficient]))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            names = ["batch_id", "piece_id", "lo", "hi", "normals", "offsets", "coeffs"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
+
+    rows = polyhedra.select(F.col("batch_id").cast("long"), F.col("piece_id").cast("long"), "points", "normals", F.col("coefficient").cast("double"))
+    return rows.mapInArrow(work, PIECE_SCHEMA)
+
+
+def mesh_pieces(vertices: DataFrame, elements: DataFrame, dim: int) -> DataFrame:
+    """Pieces of the affine interpolation on a mesh of simplices, with coefficients of order 1.
+
+    ``vertices`` are (batch_id, vertex_id, pos, value), ``elements`` (batch_id, element_id,
+    vertex_ids of dim + 1).  Elements without volume are left out, as are those that name
+    a vertex that is not there.
+    """
+    corners = elements.select("batch_id", F.col("element_id").alias("piece_id"), F.posexplode("vertex_ids").alias("k", "vertex_id"))
+    corners = corners.join(vertices.select("batch_id", "vertex_id", "pos", "value"), ["batch_id", "vertex_id"])
+    rows = corners.groupBy("batch_id", "piece_id").agg(F.sort_array(F.collect_list(F.struct("k", "pos", F.col("value").cast("double").alias("value")))).alias("c")).where(F.size("c") == dim + 1)
+    p = [[F.get(F.get("c", F.lit(k))["pos"], F.lit(d)).cast("double") for d in range(dim)] for k in range(dim + 1)]
+    ones = [[F.lit(1.0), *p[k]] for k in range(dim + 1)]
+    rows = rows.withColumn("volume", arrays.determinant(ones)).where("volume != 0")
+    # A corner's barycentric coordinate is affine, 1 there and 0 at the others; the element is where none is negative.
+    bary = [arrays.solve(ones, [F.lit(float(j == k)) for j in range(dim + 1)]) for k in range(dim + 1)]
+    affine = arrays.solve(ones, [F.get("c", F.lit(k))["value"] for k in range(dim + 1)])
+    basis = {e: k for k, e in enumerate(arrays.grid_exponents(1, dim))}
+    coeffs = [F.lit(0.0)] * len(basis)
+    coeffs[basis[(0,) * dim]] = affine[0]
+    for d in range(dim):
+        coeffs[basis[tuple(int(i == d) for i in range(dim))]] = affine[d + 1]
+    return rows.select(
+        F.col("batch_id").cast("long"),
+        F.col("piece_id").cast("long"),
+        F.array(*[F.least(*[p[k][d] for k in range(dim + 1)]) for d in range(dim)]).alias("lo"),
+        F.array(*[F.greatest(*[p[k][d] for k in range(dim + 1)]) for d in range(dim)]).alias("hi"),
+        F.array(*[F.array(*[-b[d + 1] for d in range(dim)]) for b in bary]).alias("normals"),
+        F.array(*[b[0] for b in bary]).alias("offsets"),
+        F.array(*coeffs).alias("coeffs"),
+    )
+
+
 def spline_c0(knots: DataFrame) -> DataFrame:
     """Linear interpolation of (batch_id, i, x, y) as coefficients in the global monomial basis."""
     slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
@@ -142,8 +226,6 @@ def spline_c0(knots: DataFrame) -> DataFrame:
 
 def natural_slopes(x, y):
     """Knot slopes of the natural cubic spline (second derivative 0 at the ends)."""
-    import numpy as np
-
     n = len(x)
     h, d = np.diff(x), np.diff(y) / np.diff(x)
     lower, diag, upper, rhs = np.zeros(n), np.full(n, 2.0), np.zeros(n), np.zeros(n)
@@ -158,8 +240,6 @@ def natural_slopes(x, y):
 
 def solve_tridiagonal(lower, diag, upper, rhs):
     """Row i is lower[i] x[i-1] + diag[i] x[i] + upper[i] x[i+1] = rhs[i]."""
-    import numpy as np
-
     n = len(diag)
     c, d = np.zeros(n), np.zeros(n)
     for i in range(n):
@@ -173,8 +253,6 @@ def solve_tridiagonal(lower, diag, upper, rhs):
 
 def cubic_coefficients(x, y):
     """Rows of global monomial coefficients, one per interval, of the natural cubic spline."""
-    import numpy as np
-
     x, y = np.asarray(x, float), np.asarray(y, float)
     if len(x) == 1:
         return np.zeros((0, 4))
@@ -212,8 +290,6 @@ def spline_grid(spark: SparkSession, values, knots: Sequence[Sequence[float]] |
     Works axis by axis: each line of samples along the axis becomes coefficients.  Default
     knots are 0, 1, 2, ...
     """
-    import numpy as np
-
     if continuity not in (0, 1):
         raise ValueError("continuity is 0 or 1")
     v = np.asarray(values, float)

@@ -321,6 +321,28 @@ def boundary_distances(assigned: DataFrame, diagram: DataFrame) -> DataFrame:
     return assigned.join(cuts, ["batch_id", "site_id"], "left").withColumn("distance", F.array_min(gaps)).drop("cuts")
 
 
+def _cells_by_box(diagram: DataFrame, grid: DataFrame, knots: list[list[float]], periodic: list[bool] | None) -> DataFrame:
+    """Pairs of a cell and a grid box that its bounding box covers; the boxes repeat along periodic axes, moved by turn."""
+    dim = len(knots)
+    at, periodic = F.col("vertices"), periodic or [False] * dim
+    rows = diagram.where(F.size("vertices") > dim).withColumn("all_idx", F.array(F.array().cast("array<int>")))
+    for d, axis in enumerate(knots):
+        period = axis[-1] - axis[0]
+        repeated = [x + k * period for k in (-1, 0, 1) for x in axis[:-1]][1:] if periodic[d] else axis[1:-1]
+        inner = F.array(*[F.lit(float(x)) for x in repeated]).cast("array<double>")
+        rows = rows.withColumn("low", F.array_min(cells_of.axis_values(at, d))).withColumn("high", F.array_max(cells_of.axis_values(at, d)))
+        a, b = F.size(F.filter(inner, lambda k: k <= F.col("low"))), F.size(F.filter(inner, lambda k: k < F.col("high")))
+        rows = rows.withColumn("span", F.sequence(F.least(a, b), F.greatest(a, b))).withColumn("all_idx", F.flatten(F.transform("all_idx", lambda e: F.transform("span", lambda i: F.concat(e, F.array(i)))))).drop("span", "low", "high")
+    rows = rows.withColumn("place", F.explode("all_idx")).drop("all_idx", "vertices")
+    sizes = [len(axis) - 1 for axis in knots]
+    at_place = [F.get("place", F.lit(d)) for d in range(dim)]
+    turns = [F.floor(x / n) - 1 if p else F.lit(0) for x, n, p in zip(at_place, sizes, periodic, strict=True)]
+    rows = rows.withColumn("idx", F.array(*[F.pmod(x, F.lit(n)).cast("int") for x, n in zip(at_place, sizes, strict=True)]))
+    rows = rows.withColumn("turn", F.array(*[(t * F.lit(axis[-1] - axis[0])).cast("double") for t, axis in zip(turns, knots, strict=True)]))
+    no_cuts = [F.array().cast("array<array<double>>").alias("piece_normals"), F.array().cast("array<double>").alias("piece_offsets")]
+    return rows.join(grid.select("batch_id", "idx", "lo", "hi", "coeffs"), ["batch_id", "idx"]).select("*", *no_cuts)
+
+
 def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]], order: int, periodic: list[bool] | None = None, balls: bool = False) -> DataFrame:
     """Integrals of a polynomial grid over cells: one row per site and one per facet with a neighbour.
 
@@ -340,22 +362,14 @@ def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]]
     dim = len(knots)
     if balls and dim != 2:
         raise ValueError("balls cut cells in two dimensions only")
-    at, periodic = F.col("vertices"), periodic or [False] * dim
-    rows = diagram.where(F.size("vertices") > dim).withColumn("all_idx", F.array(F.array().cast("array<int>")))
-    for d, axis in enumerate(knots):
-        period = axis[-1] - axis[0]
-        repeated = [x + k * period for k in (-1, 0, 1) for x in axis[:-1]][1:] if periodic[d] else axis[1:-1]
-        inner = F.array(*[F.lit(float(x)) for x in repeated]).cast("array<double>")
-        rows = rows.withColumn("low", F.array_min(cells_of.axis_values(at, d))).withColumn("high", F.array_max(cells_of.axis_values(at, d)))
-        a, b = F.size(F.filter(inner, lambda k: k <= F.col("low"))), F.size(F.filter(inner, lambda k: k < F.col("high")))
-        rows = rows.withColumn("span", F.sequence(F.least(a, b), F.greatest(a, b))).withColumn("all_idx", F.flatten(F.transform("all_idx", lambda e: F.transform("span", lambda i: F.concat(e, F.array(i)))))).drop("span", "low", "high")
-    rows = rows.withColumn("place", F.explode("all_idx")).drop("all_idx", "vertices")
-    sizes = [len(axis) - 1 for axis in knots]
-    at_place = [F.get("place", F.lit(d)) for d in range(dim)]
-    turns = [F.floor(x / n) - 1 if p else F.lit(0) for x, n, p in zip(at_place, sizes, periodic, strict=True)]
-    rows = rows.withColumn("idx", F.array(*[F.pmod(x, F.lit(n)).cast("int") for x, n in zip(at_place, sizes, strict=True)]))
-    rows = rows.withColumn("turn", F.array(*[(t * F.lit(axis[-1] - axis[0])).cast("double") for t, axis in zip(turns, knots, strict=True)]))
-    joined = rows.join(grid.select("batch_id", "idx", "lo", "hi", "coeffs"), ["batch_id", "idx"])
+    return _sum_parts(_integrate(_cells_by_box(diagram, grid, knots, periodic), dim, order, balls), dim)
+
+
+def _integrate(joined: DataFrame, dim: int, order: int, balls: bool) -> DataFrame:
+    """Integrals over every pair of a cell and a piece (idx): its box lo to hi moved by turn, its own cuts, and coeffs in the tensor basis.
+
+    pos in the result is the site as seen from the piece, moved back by turn.
+    """
     exponents = arrays.grid_exponents(order, dim)
     degree = order * dim + 2
 
@@ -369,6 +383,8 @@ def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]]
             for k in range(batch.num_rows):
                 turn, pos, coeffs = np.array(rows["turn"][k]), np.array(rows["pos"][k]), np.array(rows["coeffs"][k])
                 part = polytopes.box(np.array(rows["lo"][k]) + turn, np.array(rows["hi"][k]) + turn)
+                for n, o in zip(rows["piece_normals"][k], rows["piece_offsets"][k], strict=True):
+                    part = polytopes.clip(part, n, o, polytopes.BOUNDARY)
                 cuts = list(zip(rows["cut_normals"][k], rows["cut_offsets"][k], rows["cut_ids"][k], strict=True))
                 for c, (n, o, i) in enumerate(cuts):
                     part = polytopes.clip(part, n, o, c if i >= 0 else polytopes.BOUNDARY)
@@ -394,20 +410,22 @@ def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]]
                     faces = [(part.ids[c], polytopes.quadrature(polytopes.facet_simplices(part, members, c), degree)) for c, members in polytopes.facets(part) if part.ids[c] >= 0]
                 if len(w):
                     m = w * density(x)
-                    out.append((rows["batch_id"][k], rows["site_id"][k], None, None, float(m.sum()), (m @ x).tolist(), float(m @ (x * x).sum(axis=1)), arc, 0.0, zero, zero * dim))
+                    out.append((rows["batch_id"][k], rows["site_id"][k], (pos - turn).tolist(), rows["idx"][k], None, None, float(m.sum()), (m @ x).tolist(), float(m @ (x * x).sum(axis=1)), arc, 0.0, zero, zero * dim))
                 for c, (x, w) in faces:
                     if len(w):
                         m = w * density(x)
                         products = (x.T * m) @ x
-                        out.append((rows["batch_id"][k], rows["site_id"][k], cuts[c][2], rows["cut_shifts"][k][c], 0.0, zero, 0.0, 0.0, float(m.sum()), (m @ x).tolist(), products.ravel().tolist()))
+                        out.append((rows["batch_id"][k], rows["site_id"][k], (pos - turn).tolist(), rows["idx"][k], cuts[c][2], rows["cut_shifts"][k][c], 0.0, zero, 0.0, 0.0, float(m.sum()), (m @ x).tolist(), products.ravel().tolist()))
             vector = pa.list_(pa.float64())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), vector, pa.float64(), vector, pa.float64(), pa.float64(), pa.float64(), vector, vector]
+            kinds = [pa.int64(), pa.int64(), vector, pa.list_(pa.int32()), pa.int64(), vector, pa.float64(), vector, pa.float64(), pa.float64(), pa.float64(), vector, vector]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    schema = "batch_id long, site_id long, neighbor long, shift array<double>, mass double, first array<double>, second double, arc double, facet double, facet_first array<double>, facet_second array<double>"
+    schema = "batch_id long, site_id long, pos array<double>, idx array<int>, neighbor long, shift array<double>, mass double, first array<double>, second double, arc double, facet double, facet_first array<double>, facet_second array<double>"
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    parts = joined.select("batch_id", "site_id", "pos", "weight", "lo", "hi", "turn", "coeffs", "cut_normals", "cut_offsets", "cut_ids", "cut_shifts").mapInArrow(work, schema)
+    return joined.select("batch_id", "site_id", "pos", "idx", "weight", "lo", "hi", "turn", "coeffs", "piece_normals", "piece_offsets", "cut_normals", "cut_offsets", "cut_ids", "cut_shifts").mapInArrow(work, schema)
+
 
+def _sum_parts(parts: DataFrame, dim: int) -> DataFrame:
     def vector(name: str, n: int) -> Column:
         return F.array(*[F.sum(F.get(name, F.lit(d))) for d in range(n)]).alias(name)
 
@@ -415,6 +433,60 @@ def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]]
     return parts.groupBy("batch_id", "site_id", "neighbor", "shift").agg(numbers["mass"], vector("first", dim), numbers["second"], numbers["arc"], numbers["facet"], vector("facet_first", dim), vector("facet_second", dim * dim))
 
 
+def image_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]], order: int = 0, periodic: list[bool] | None = None, balls: bool = False) -> DataFrame:
+    """What the plan's map does to every box of the grid: batch_id, idx, mass, target.
+
+    mass is the density's in the box, as far as cells (and balls) cover it, and target the
+    integral of the site that each point goes to, so that target / mass is the mean place
+    in the box's image.  On periodic axes sites are taken next to the box.  Boxes that no
+    cell meets have no row.
+    """
+    ship_package(diagram.sparkSession)
+    dim = len(knots)
+    joined = _cells_by_box(diagram, grid, knots, periodic)
+    parts = _integrate(joined, dim, order, balls).where("neighbor is null")
+    target = [F.sum(F.col("mass") * F.get("pos", F.lit(d))) for d in range(dim)]
+    return parts.groupBy("batch_id", "idx").agg(F.sum("mass").alias("mass"), F.array(*target).alias("target"))
+
+
+def piece_integrals(diagram: DataFrame, pieces: DataFrame, dim: int, order: int = 0, balls: bool = False, tiles: int = 32) -> DataFrame:
+    """The integrals of cell_integrals over densities made of convex pieces (measures.convex_pieces, measures.mesh_pieces).
+
+    Pieces may overlap and have coefficients of any sign, so that an obstacle is a piece of
+    its own.  Cells and pieces meet in the tiles of a grid of ``tiles`` an axis over each
+    batch's pieces that both boxes cover; a pair that shares several is kept in the one
+    that holds the lower corner of the common box.
+    """
+    ship_package(diagram.sparkSession)
+    if balls and dim != 2:
+        raise ValueError("balls cut cells in two dimensions only")
+    at = F.col("vertices")
+    rows = diagram.where(F.size("vertices") > dim)
+    for name, f in (("low", F.array_min), ("high", F.array_max)):
+        rows = rows.withColumn(name, F.array(*[f(cells_of.axis_values(at, d)) for d in range(dim)]))
+    ends = pieces.groupBy("batch_id").agg(*[f(F.get(c, F.lit(d))).alias(f"{n}{d}") for d in range(dim) for f, c, n in ((F.min, "lo", "a"), (F.max, "hi", "b"))])
+
+    def place(x: Column, d: int) -> Column:
+        width = F.col(f"b{d}") - F.col(f"a{d}")
+        return F.least(F.lit(tiles - 1), F.greatest(F.lit(0), F.floor((x - F.col(f"a{d}")) / F.when(width > 0, width).otherwise(1.0) * tiles))).cast("int")
+
+    def spread(table: DataFrame, low: str, high: str) -> DataFrame:
+        table = table.join(ends, "batch_id")
+        for d in range(dim):
+            table = table.withColumn(f"t{d}", F.explode(F.sequence(place(F.get(low, F.lit(d)), d), place(F.get(high, F.lit(d)), d))))
+        return table
+
+    tile = [f"t{d}" for d in range(dim)]
+    left = spread(rows.select("batch_id", "site_id", "pos", "weight", "low", "high", "cut_normals", "cut_offsets", "cut_ids", "cut_shifts"), "low", "high")
+    right = spread(pieces.select("batch_id", "lo", "hi", "coeffs", F.col("normals").alias("piece_normals"), F.col("offsets").alias("piece_offsets")), "lo", "hi").drop(*[f"{n}{d}" for n in "ab" for d in range(dim)])
+    joined = left.join(right, ["batch_id", *tile])
+    for d in range(dim):
+        corner = F.greatest(F.get("low", F.lit(d)), F.get("lo", F.lit(d)))
+        joined = joined.where((corner <= F.least(F.get("high", F.lit(d)), F.get("hi", F.lit(d)))) & (F.col(f"t{d}") == place(corner, d)))
+    joined = joined.withColumn("turn", F.array(*[F.lit(0.0)] * dim)).withColumn("idx", F.array().cast("array<int>"))
+    return _sum_parts(_integrate(joined, dim, order, balls), dim)
+
+
 def _facets(integrals: DataFrame, sites: DataFrame) -> DataFrame:
     """Facet rows with both sites' positions, the neighbour's moved by its shift, and their distance."""
     p = sites.select("batch_id", F.col("site_id").alias("row"), F.col("pos").alias("pos0"))

@@ -545,9 +545,13 @@ def lloyd_points(spark, sf_dir):
 # Diagrams of one site a part, which grow with the table.  The SQL meets the cuts of sites within four mean distances, which is farther than any cell reaches.
 
 
-def part_diagram(weight: str = "0.00001::DOUBLE * (p_size % 7)", torus: bool = False) -> str:
+SQUARE = ((-1.0, 0.0, 0.0), (1.0, 0.0, 1.0), (0.0, -1.0, 0.0), (0.0, 1.0, 1.0))
+
+
+def part_diagram(weight: str = "0.00001::DOUBLE * (p_size % 7)", torus: bool = False, walls=SQUARE) -> str:
     images = "SELECT s.*, (i + 1) * 3 + j + 1 AS image, i AS ix, j AS iy FROM s, range(-1, 2) a(i), range(-1, 2) b(j)" if torus else "SELECT s.*, 4 AS image, 0 AS ix, 0 AS iy FROM s"
-    walls = "" if torus else "UNION ALL SELECT site_id, v.*, 0, 0 FROM s, (VALUES (-1, -1.0, 0.0, 0.0), (-2, 1.0, 0.0, 1.0), (-3, 0.0, -1.0, 0.0), (-4, 0.0, 1.0, 1.0)) v"
+    planes = ", ".join(f"({-k}, {x}::DOUBLE, {y}::DOUBLE, {o}::DOUBLE)" for k, (x, y, o) in enumerate(walls, 1))
+    walls = "" if torus else f"UNION ALL SELECT site_id, v.*, 0, 0 FROM s, (VALUES {planes}) v"
     return f"""n AS MATERIALIZED (SELECT count(*) AS n FROM part),
 s AS MATERIALIZED (SELECT CAST(p_partkey AS BIGINT) AS site_id, (p_partkey * 0.7548776662466927::DOUBLE) % 1.0::DOUBLE AS sx, (p_partkey * 0.5698402909980532::DOUBLE) % 1.0::DOUBLE AS sy, {weight} AS w FROM part, n),
 images AS MATERIALIZED ({images}),
@@ -654,3 +658,32 @@ def centroid_derivatives(spark, sf_dir):
     """Derivatives of all centroids and masses by all positions and weights."""
     triplets = power.centroid_jacobian(part_integrals(spark, sf_dir), part_points(spark, sf_dir), 2)
     return triplets.where("abs(val) > 1e-4").select("row", "row_axis", "col", "col_axis", rounded(F.col("val") / 1000).alias("val"))
+
+
+#: An obstacle: a point on each side of a slanted square, and its outward normal.
+OBSTACLE = (((0.7, 0.5), (1.0, 0.5)), ((0.5, 0.7), (-0.5, 1.0)), ((0.3, 0.5), (-1.0, -0.5)), ((0.5, 0.3), (0.5, -1.0)))
+_OBSTACLE_WALLS = tuple((n[0], n[1], p[0] * n[0] + p[1] * n[1]) for p, n in OBSTACLE)
+
+
+@query(f"""WITH a AS (WITH {part_diagram()} SELECT site_id, -1 AS cut, mass, fx, fy, 0.0::DOUBLE AS facet FROM wholes UNION ALL SELECT site_id, cut, 0, 0, 0, facet FROM edges WHERE neighbor IS NOT NULL),
+b AS (WITH {part_diagram(walls=_OBSTACLE_WALLS)} SELECT site_id, -1 AS cut, mass, fx, fy, 0.0::DOUBLE AS facet FROM wholes UNION ALL SELECT site_id, cut, 0, 0, 0, facet FROM edges WHERE neighbor IS NOT NULL)
+SELECT a.site_id, CASE WHEN a.cut >= 0 THEN a.cut // 9 END AS neighbor, {r('(a.mass - coalesce(b.mass, 0)) * 1000')} AS mass, {r('(a.fx - coalesce(b.fx, 0)) * 1000')} AS fx, {r('(a.fy - coalesce(b.fy, 0)) * 1000')} AS fy, {r('(a.facet - coalesce(b.facet, 0)) * 10')} AS facet
+FROM a LEFT JOIN b ON a.site_id = b.site_id AND a.cut = b.cut WHERE a.mass - coalesce(b.mass, 0) > 1e-7 OR a.facet - coalesce(b.facet, 0) > 1e-6""")
+def obstacle_cell_integrals(spark, sf_dir):
+    """Cells of the square around an obstacle: a piece of coefficient -1."""
+    box = [((0.0, 0.0), (-1.0, 0.0)), ((1.0, 1.0), (1.0, 0.0)), ((0.0, 0.0), (0.0, -1.0)), ((1.0, 1.0), (0.0, 1.0))]
+    rows = [(0, k, [list(p) for p, _ in planes], [list(n) for _, n in planes], c) for k, (planes, c) in enumerate(((box, 1.0), (OBSTACLE, -1.0)))]
+    polyhedra = spark.createDataFrame(rows, "batch_id long, piece_id long, points array<array<double>>, normals array<array<double>>, coefficient double")
+    sums = power.piece_integrals(part_cells(spark, sf_dir), measures.convex_pieces(polyhedra, 2), 2).where("mass > 1e-7 or facet > 1e-6")
+    first = [rounded(F.get("first", F.lit(d)) * 1000).alias(n) for d, n in ((0, "fx"), (1, "fy"))]
+    return sums.select("site_id", "neighbor", rounded(F.col("mass") * 1000).alias("mass"), *first, rounded(F.col("facet") * 10).alias("facet"))
+
+
+@query(None)
+def image_targets(spark, sf_dir):
+    """Where the pixels of an image of the line items go: masses and targets of the boxes of a 6 x 4 grid."""
+    knots = [[k / 6 for k in range(7)], [k / 4 for k in range(5)]]
+    counts = measures.histogram_grid(line_points(spark, sf_dir), [6, 4], [0.0, 0.0], [1.0, 1.0])
+    rows = power.image_integrals(part_cells(spark, sf_dir), counts, knots)
+    places = [F.get("idx", F.lit(d)).alias(n) for d, n in ((0, "i"), (1, "j"))]
+    return rows.select(*places, rounded("mass").alias("mass"), *[rounded(F.get("target", F.lit(d))).alias(n) for d, n in ((0, "tx"), (1, "ty"))])

@@ -200,3 +200,51 @@ def test_plans_on_a_torus_do_not_see_the_edge(spark):
     plans = [solver.newton(sites(spark, pos + move), dict.fromkeys(range(6), 1.0), grid, knots, tol=1e-9, periodic=[True, True]) for move in (0.0, 0.37)]
     one, two = ({r.site_id: r.weight for r in p.rows.collect()} for p in plans)
     assert plans[0].error < 1e-9 and plans[0].distance == pytest.approx(plans[1].distance) and one == pytest.approx(two, abs=1e-8)
+
+
+def test_images_of_pixels(spark):
+    """Masses and mean targets of an image's pixels, against the nearest sites of many samples."""
+    rng = np.random.default_rng(2)
+    pos, values = rng.random((25, 2)), rng.random((4, 3))
+    pixels = spark.createDataFrame([(0, [i, j], float(values[i, j])) for i in range(4) for j in range(3) if (i, j) != (1, 1)] + [(0, [4, 0], 9.0), (0, [1, 1], None)], "batch_id long, idx array<long>, value double")
+    grid, knots = measures.image_grid(pixels, [0.0, 0.0], [1.0, 1.0], [4, 3])
+    assert grid.count() == 11 and knots[0] == [0.0, 0.25, 0.5, 0.75, 1.0]
+    x = (np.arange(1200) + 0.5) / 1200
+    points = np.stack(np.meshgrid(x, x, indexing="ij"), axis=-1).reshape(-1, 2)
+    for periodic in ([False, False], [True, True]):
+        images = np.concatenate([pos + [a, b] for a in (-1, 0, 1) for b in (-1, 0, 1)]) if periodic[0] else pos
+        nearest = images[np.concatenate([((p[:, None] - images) ** 2).sum(axis=2).argmin(axis=1) for p in np.array_split(points, 200)])]
+        cells = power.cells(sites(spark, pos), [0.0, 0.0], [1.0, 1.0], periodic)
+        got = {tuple(r.idx): r for r in power.image_integrals(cells, grid, knots, periodic=periodic).collect()}
+        assert len(got) == 11
+        for (i, j), r in got.items():
+            own = (points[:, 0] * 4 // 1 == i) & (points[:, 1] * 3 // 1 == j)
+            assert r.mass == pytest.approx(values[i, j] / 12) and np.array(r.target) / r.mass == pytest.approx(nearest[own].mean(axis=0), abs=2e-3)
+
+
+def test_meshes_and_polyhedra_are_densities(spark):
+    rng = np.random.default_rng(8)
+    pos = rng.random((12, 2))
+    cells = power.cells(sites(spark, pos), [0.0, 0.0], [1.0, 1.0])
+    # Two triangles of the square with the values of 1 + x + 2 y, an element without volume and one without its vertex.
+    corners = [(0, [0.0, 0.0], 1.0), (1, [1.0, 0.0], 2.0), (2, [1.0, 1.0], 4.0), (3, [0.0, 1.0], 3.0)]
+    vertices = spark.createDataFrame([(0, *c) for c in corners], "batch_id long, vertex_id long, pos array<double>, value double")
+    elements = spark.createDataFrame([(0, 0, [0, 1, 2]), (0, 1, [0, 3, 2]), (0, 2, [0, 1, 1]), (0, 3, [0, 1, 9])], "batch_id long, element_id long, vertex_ids array<long>")
+    mesh = power.piece_integrals(cells, measures.mesh_pieces(vertices, elements, 2), 2, order=1, tiles=5)
+    grid = measures.polynomial_grid(spark, [[[1.0, 2.0, 1.0, 0.0]]])  # 1, y, x, xy
+    same = power.cell_integrals(cells, grid, [[0.0, 1.0]] * 2, 1)
+    got, want = ({(r.site_id, r.neighbor): (r.mass, *r.first, r.second, r.facet, *r.facet_second) for r in t.collect() if r.neighbor is None or r.facet > 1e-9} for t in (mesh, same))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert sum(v[0] for v in got.values()) == pytest.approx(2.5)
+    # A triangle within the square, an empty piece, and one that is open.
+    third = 2 * np.pi / 3
+    planes = [([0.5 + 0.2 * np.cos(k * third), 0.5 + 0.2 * np.sin(k * third)], [np.cos(k * third), np.sin(k * third)]) for k in range(3)]
+    triangle = ([[float(x) for x in p] for p, _ in planes], [[float(x) for x in n] for _, n in planes])
+    schema = "batch_id long, piece_id long, points array<array<double>>, normals array<array<double>>, coefficient double"
+    table = spark.createDataFrame([(0, 0, *triangle, None), (0, 1, [[0.0, 0.0], [1.0, 0.0], *triangle[0]], [[1.0, 0.0], [-1.0, 0.0], *triangle[1]], 5.0)], schema)
+    pieces = measures.convex_pieces(table, 2)
+    assert pieces.count() == 1
+    sums = power.piece_integrals(cells, pieces, 2)
+    assert sums.agg(F.sum("mass")).first()[0] == pytest.approx(3 * np.sqrt(3) * 0.04)
+    with pytest.raises(Exception, match="not bounded"):
+        measures.convex_pieces(spark.createDataFrame([(0, 7, [[0.0, 0.0]], [[1.0, 0.0]], 1.0)], schema), 2).collect()
