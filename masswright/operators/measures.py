@@ -226,16 +226,12 @@ def spline_c0(knots: DataFrame) -> DataFrame:
 
 def natural_slopes(x, y):
     """Knot slopes of the natural cubic spline (second derivative 0 at the ends)."""
-    n = len(x)
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    lower, diag, upper, rhs = np.zeros(n), np.full(n, 2.0), np.zeros(n), np.zeros(n)
-    upper[0], rhs[0] = 1.0, 3 * d[0]
-    lower[-1], rhs[-1] = 1.0, 3 * d[-1]
-    for i in range(1, n - 1):
-        share = h[i] / (h[i - 1] + h[i])
-        lower[i], upper[i] = share, 1 - share
-        rhs[i] = 3 * (share * d[i - 1] + (1 - share) * d[i])
-    return solve_tridiagonal(lower, diag, upper, rhs)
+    d = np.diff(y) / np.diff(x)
+    system, share = slope_system(x)
+    rhs = np.zeros(len(x))
+    rhs[0], rhs[-1] = 3 * d[0], 3 * d[-1]
+    rhs[1:-1] = 3 * (share[1:-1] * d[:-1] + (1 - share[1:-1]) * d[1:])
+    return solve_tridiagonal(*system, rhs)
 
 
 def solve_tridiagonal(lower, diag, upper, rhs):
@@ -251,6 +247,51 @@ def solve_tridiagonal(lower, diag, upper, rhs):
     return d
 
 
+def transposed(lower, diag, upper):
+    """The three diagonals of the transposed matrix, for solve_tridiagonal."""
+    return np.concatenate([[0.0], upper[:-1]]), diag, np.concatenate([lower[1:], [0.0]])
+
+
+def slope_system(x):
+    """Diagonals of the natural slopes' system, and the share of the interval before in each inner row's right side."""
+    n, h = len(x), np.diff(x)
+    lower, upper, share = np.zeros(n), np.zeros(n), np.zeros(n)
+    share[1:-1] = h[1:] / (h[:-1] + h[1:])
+    lower[1:-1], upper[1:-1] = share[1:-1], 1 - share[1:-1]
+    upper[0], lower[-1] = 1.0, 1.0
+    return (lower, np.full(n, 2.0), upper), share
+
+
+def cubic_gradients(x, gradients):
+    """Gradients with respect to the values of a natural cubic spline, from those of its coefficients (as cubic_coefficients has them).
+
+    The coefficients are linear in the values, so this is the transposed map: through the
+    monomials, the pieces' slopes, one transposed tridiagonal solve, and the differences.
+    """
+    x, g = np.asarray(x, float), np.asarray(gradients, float).reshape(-1, 4)
+    n = len(x)
+    d_y, d_slope = np.zeros(n), np.zeros(n)
+    if n == 1:
+        return d_y
+    t, h = x[:-1], np.diff(x)
+    d_b = g[:, 1] - t * g[:, 0]
+    d_c = g[:, 2] - 2 * t * g[:, 1] + t**2 * g[:, 0]
+    d_d = g[:, 3] - 3 * t * g[:, 2] + 3 * t**2 * g[:, 1] - t**3 * g[:, 0]
+    d_y[:-1] += g[:, 0]
+    d_slope[:-1] += d_b - 2 * d_c / h + d_d / h**2
+    d_slope[1:] += d_d / h**2 - d_c / h
+    d_step = 3 * d_c / h - 2 * d_d / h**2
+    system, share = slope_system(x)
+    u = solve_tridiagonal(*transposed(*system), d_slope)
+    before = share.copy()
+    before[-1], after = 1.0, 1 - share
+    after[-1] = 0.0
+    d_step += 3 * (after * u)[:-1] + 3 * (before * u)[1:]
+    d_y[1:] += d_step / h
+    d_y[:-1] -= d_step / h
+    return d_y
+
+
 def cubic_coefficients(x, y):
     """Rows of global monomial coefficients, one per interval, of the natural cubic spline."""
     x, y = np.asarray(x, float), np.asarray(y, float)
@@ -284,6 +325,27 @@ def spline_c1(knots: DataFrame) -> DataFrame:
     return src.groupBy("batch_id").applyInArrow(fit, "batch_id long, piece long, x0 double, x1 double, coeffs array<double>")
 
 
+def spline_c1_gradients(knots: DataFrame, gradients: DataFrame) -> DataFrame:
+    """Gradients (batch_id, i, d_y) with respect to the values of spline_c1's knots, from those of its coefficients.
+
+    ``gradients`` are (batch_id, piece, coeffs) with four numbers; pieces without a row, and
+    null numbers, have gradient 0.  As in spline_c1, a batch's knots meet in one group.
+    """
+    ship_package(knots.sparkSession)
+
+    def pull(table):
+        import pyarrow as pa
+
+        table = table.sort_by("i")
+        pieces = [[0.0 if v is None else v for v in r or [0.0] * 4] for r in table.column("coeffs").to_pylist()]
+        d_y = cubic_gradients(table.column("x").to_numpy(), pieces[:-1])
+        return pa.table({"batch_id": table.column("batch_id"), "i": table.column("i"), "d_y": pa.array(d_y)})
+
+    src = knots.selectExpr("batch_id", "cast(i as bigint) i", "cast(x as double) x")
+    rows = src.join(gradients.select("batch_id", F.col("piece").cast("long").alias("i"), "coeffs"), ["batch_id", "i"], "left")
+    return rows.groupBy("batch_id").applyInArrow(pull, "batch_id long, i long, d_y double")
+
+
 def spline_grid(spark: SparkSession, values, knots: Sequence[Sequence[float]] | None = None, continuity: int = 1, batch_id: int = 0) -> DataFrame:
     """A spline through sample values, as a polynomial grid of order 2 * continuity + 1.
 

@@ -572,6 +572,48 @@ def spatial_tree(points: DataFrame, dim: int, leaf: int = 30, max_depth: int = 3
     return rows, nodes
 
 
+def principal_axes(points: DataFrame, dim: int) -> DataFrame:
+    """Mean, covariance and leading axis of every node's points (node, pos): node, n, mean, covariance, axis, spread.
+
+    Covariances are grouped sums about the node's mean, row by row; the axis is the
+    eigenvector of the largest eigenvalue (spread), its first coordinate that is not zero
+    positive.  Points of one place have spread 0 and the first axis.
+    """
+    ship_package(points.sparkSession)
+    x = [F.get("pos", F.lit(d)).cast("double") for d in range(dim)]
+    pairs = [(i, j) for i in range(dim) for j in range(dim)]
+    rows = points.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in x]).alias("mean"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).alias("covariance"))
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            m = np.array(batch.column("covariance").to_pylist(), float).reshape(-1, dim, dim)
+            values, vectors = np.linalg.eigh((m + m.transpose(0, 2, 1)) / 2)
+            axis = vectors[:, :, -1]
+            spread = np.maximum(values[:, -1], 0.0)
+            flat = spread <= 1e-14 * np.maximum(1.0, np.abs(np.array(batch.column("mean").to_pylist(), float).reshape(-1, dim)).max(axis=1)) ** 2
+            axis[flat], spread[flat] = np.eye(dim)[0], 0.0
+            first = axis[np.arange(len(axis)), np.argmax(np.abs(axis) > 1e-12, axis=1)]
+            axis = axis * np.where(first < 0, -1.0, 1.0)[:, None]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(axis.tolist(), pa.list_(pa.float64())), pa.array(spread)], names=[*batch.schema.names, "axis", "spread"])
+
+    out = T.StructType([*rows.schema.fields, T.StructField("axis", T.ArrayType(T.DoubleType())), T.StructField("spread", T.DoubleType())])
+    return rows.mapInArrow(work, out)
+
+
+def split_by_axes(points: DataFrame, dim: int) -> DataFrame:
+    """Points (node, pos, any others) with the child of their node: 2 node behind the mean along the leading axis, 2 node + 1 beyond it.
+
+    Nodes whose points are all at one place are not split.  A node's mean and axis go to
+    its points by a join on the node.
+    """
+    axes = principal_axes(points.select("node", "pos"), dim).select("node", F.struct("mean", "axis", "spread").alias("_split"))
+    along = arrays.dot(F.col("_split.axis"), arrays.subtract(F.col("pos"), F.col("_split.mean")))
+    child = F.when(F.col("_split.spread") > 0, F.col("node") * 2 + (along > 0).cast("long")).otherwise(F.col("node"))
+    return points.join(axes, "node").withColumn("node", child).select(*points.columns)
+
+
 def weight_bound(points: DataFrame, dim: int) -> DataFrame:
     """Sums of the normal equations for an affine fit of weights: per node, products of (1, pos) and with weight."""
     v = [F.lit(1.0), *[F.get("pos", F.lit(d)) for d in range(dim)]]

@@ -687,3 +687,37 @@ def image_targets(spark, sf_dir):
     rows = power.image_integrals(part_cells(spark, sf_dir), counts, knots)
     places = [F.get("idx", F.lit(d)).alias(n) for d, n in ((0, "i"), (1, "j"))]
     return rows.select(*places, rounded("mass").alias("mass"), *[rounded(F.get("target", F.lit(d))).alias(n) for d, n in ((0, "tx"), (1, "ty"))])
+
+
+_AXES = f"""WITH p AS (SELECT CAST(l_suppkey AS BIGINT) + 1 AS node, l_quantity / 50.0::DOUBLE AS x, l_discount * 10.0::DOUBLE AS y FROM lineitem),
+c AS (SELECT node, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS cxx, covar_pop(x, y) AS cxy, covar_pop(y, y) AS cyy FROM p GROUP BY node),
+a AS (SELECT *, atan2(2 * cxy, cxx - cyy) / 2 AS turn, (cxx + cyy) / 2 + sqrt(((cxx - cyy) / 2) ** 2 + cxy * cxy) AS spread FROM c)"""
+
+
+def supplier_points(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey as bigint) + 1 node", "array(l_quantity / 50.0D, l_discount * 10.0D) pos")
+
+
+@query(f"{_AXES} SELECT node, n, {r('mx')} AS mx, {r('my')} AS my, {r('cxx')} AS cxx, {r('cxy')} AS cxy, {r('cyy')} AS cyy, {r('abs(cos(turn))')} AS ax, {r('abs(sin(turn))')} AS ay, {r('spread')} AS spread FROM a")
+def node_principal_axes(spark, sf_dir):
+    """Mean, covariance and leading axis of every supplier's line items."""
+    rows = power.principal_axes(supplier_points(spark, sf_dir), 2)
+    cells_ = [("mean", 0, "mx"), ("mean", 1, "my"), ("covariance", 0, "cxx"), ("covariance", 1, "cxy"), ("covariance", 3, "cyy")]
+    axis = [rounded(F.abs(F.get("axis", F.lit(d)))).alias(n) for d, n in ((0, "ax"), (1, "ay"))]
+    return rows.select("node", "n", *[rounded(F.get(c, F.lit(k))).alias(n) for c, k, n in cells_], *axis, rounded("spread").alias("spread"))
+
+
+@query(f"""{_AXES}, s AS (SELECT node * 2 + CASE WHEN sign(cos(turn)) * (cos(turn) * (x - mx) + sin(turn) * (y - my)) > 0 THEN 1 ELSE 0 END AS node, x FROM p JOIN a USING (node))
+SELECT node, count(*) AS n, {r('avg(x)')} AS mx FROM s GROUP BY node""")
+def node_axis_split(spark, sf_dir):
+    """Every supplier's line items, split across the mean along their leading axis."""
+    rows = power.split_by_axes(supplier_points(spark, sf_dir), 2)
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.get("pos", F.lit(0)))).alias("mx"))
+
+
+@query(None)
+def spline_c1_value_gradients(spark, sf_dir):
+    """Gradients of the sum of all coefficients of the suppliers' splines by their values."""
+    knots_ = line_knots(spark, sf_dir)
+    ones = measures.spline_c1(knots_).select("batch_id", "piece", F.array(*[F.lit(1.0)] * 4).alias("coeffs"))
+    return measures.spline_c1_gradients(knots_, ones).select("batch_id", "i", rounded("d_y").alias("d_y"))

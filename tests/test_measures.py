@@ -63,18 +63,18 @@ def test_tridiagonal():
 
 def test_small_matrices(spark):
     one = spark.range(1)
-    m = [[F.lit(float(v)) for v in row] for row in ((1, 5, 3), (2, 2, 8), (2, 0, 3))]
-    row = one.select(arrays.determinant(m).alias("d"), F.array(*arrays.solve(m, [F.lit(20.0), F.lit(30.0), F.lit(11.0)])).alias("x"), F.array(*[v for r in arrays.inverse(m) for v in r]).alias("i")).first()
-    assert row["d"] == 44 and row["x"] == pytest.approx([1, 2, 3])
-    assert np.array(row["i"]).reshape(3, 3) == pytest.approx(np.linalg.inv([[1, 5, 3], [2, 2, 8], [2, 0, 3]]))
+    m = [[F.lit(float(v)) for v in row] for row in ((4, -1, 2), (0, 3, 1), (5, 2, -2))]
+    row = one.select(arrays.determinant(m).alias("d"), F.array(*arrays.solve(m, [F.lit(8.0), F.lit(9.0), F.lit(3.0)])).alias("x"), F.array(*[v for r in arrays.inverse(m) for v in r]).alias("i")).first()
+    assert row["d"] == -67 and row["x"] == pytest.approx([1, 2, 3])
+    assert np.array(row["i"]).reshape(3, 3) == pytest.approx(np.linalg.inv([[4, -1, 2], [0, 3, 1], [5, 2, -2]]))
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(1.0), F.lit(-2.0))
     row = one.select(arrays.dot(a, b).alias("dot"), arrays.norm(a).alias("n"), arrays.normalized(a).alias("u"), arrays.without_index(a, 0).alias("w"), arrays.arg_max(b).alias("k"), arrays.horner(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), F.lit(2.0)).alias("h"), arrays.all_equal(a, a).alias("e"), arrays.all_equal(a, b).alias("f")).first()
     assert (row["dot"], row["n"], row["u"], row["w"], row["k"], row["h"], row["e"], row["f"]) == (-5, 5, [0.6, 0.8], [4.0], 0, 17, True, False)
 
 
 def test_axis_expressions():
-    e = parse_axis("3*dim + nb_elements[dim,nb_points] + 1 + nb_items")
-    assert e.offset == 1 and [(t.coefficient, t.name) for t in e.terms] == [(3, "dim"), (1, "nb_elements"), (1, "nb_items")]
+    e = parse_axis("rows + 5 + 2*fill[rows,cols] + 4*cols")
+    assert e.offset == 5 and [(t.coefficient, t.name) for t in e.terms] == [(1, "rows"), (2, "fill"), (4, "cols")]
     s = AxisSystem({"a": "nb_points, dim", "b": "nb_points"})
     assert s.solve({"a": (5, 3), "b": (5,)}) == {"nb_points": 5, "dim": 3}
     with pytest.raises(ValueError, match="nb_points"):
@@ -86,3 +86,21 @@ def test_dtypes():
     assert parse_dtype("float32").simpleString() == "float" and parse_dtype(int).simpleString() == "bigint" and parse_dtype(np.uint8).simpleString() == "bigint"
     with pytest.raises(ValueError):
         parse_dtype("complex64")
+
+
+def test_gradients_of_spline_values(spark):
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.random(7) + 0.2)
+    g = rng.random((6, 4))
+    base = [float((measures.cubic_coefficients(x, np.eye(7)[k]) * g).sum()) for k in range(7)]  # the map is linear
+    assert measures.cubic_gradients(x, g) == pytest.approx(base)
+    lower, diag, upper, right = rng.random(6), 3 + rng.random(6), rng.random(6), rng.random(6)
+    m = np.diag(diag) + np.diag(lower[1:], -1) + np.diag(upper[:-1], 1)
+    assert measures.solve_tridiagonal(*measures.transposed(lower, diag, upper), right) == pytest.approx(np.linalg.solve(m.T, right))
+    knots = spark.createDataFrame([(0, i, float(v), 1.0) for i, v in enumerate(x)] + [(1, 0, 0.0, 1.0), (2, 5, 0.0, 1.0), (2, 6, 2.0, 3.0)], "batch_id long, i long, x double, y double")
+    pulls = spark.createDataFrame([(0, k, g[k].tolist()) for k in range(6) if k != 3] + [(0, 3, None), (2, 5, [0.0, 1.0, 0.0, None])], "batch_id long, piece long, coeffs array<double>")
+    got = {(r.batch_id, r.i): r.d_y for r in measures.spline_c1_gradients(knots, pulls).collect()}
+    g[3] = 0.0
+    assert [got[0, i] for i in range(7)] == pytest.approx(measures.cubic_gradients(x, g))
+    assert got[1, 0] == 0.0 and [got[2, 5], got[2, 6]] == pytest.approx([-0.5, 0.5])
+    assert measures.spline_c1_gradients(knots.limit(0), pulls).count() == 0
