@@ -228,16 +228,16 @@ def test_tree_nodes_hold_their_points(spark):
 def test_nodes_split_across_their_leading_axis(spark):
     rng = np.random.default_rng(3)
     clouds = {k: rng.normal(size=(60, 3)) @ np.diag(rng.random(3) + [0.1, 2.0, 0.5]) @ np.linalg.qr(rng.normal(size=(3, 3)))[0] + 5 for k in (1, 4)}
-    rows = [(k, i, p.tolist()) for k, cloud in clouds.items() for i, p in enumerate(cloud)] + [(9, i, [2.0, 2.0, 2.0]) for i in range(4)]
+    rows = [(k, i, p.tolist()) for k, cloud in clouds.items() for i, p in enumerate(cloud)] + [(30, i, [2.0, 2.0, 2.0]) for i in range(4)]
     df = spark.createDataFrame(rows, "node long, point_id long, pos array<double>").withColumn("axis", F.lit(1))
     axes = {r.node: r for r in power.principal_axes(df, 3).collect()}
     for k, cloud in clouds.items():
         m = np.cov(cloud.T, bias=True)
         assert np.array(axes[k].covariance).reshape(3, 3) == pytest.approx(m) and axes[k].spread == pytest.approx(np.linalg.eigvalsh(m)[-1])
         assert m @ axes[k].axis == pytest.approx(axes[k].spread * np.array(axes[k].axis)) and axes[k].axis[0] > 0
-    assert axes[9].spread == 0.0 and axes[9].axis == [1.0, 0.0, 0.0]
-    got = {(r.node // 2 if r.node != 9 else 9, r.point_id): r.node for r in power.split_by_axes(df, 3).collect()}
-    assert len(got) == 124 and {v for (k, _), v in got.items() if k == 9} == {9}
+    assert axes[30].spread == 0.0 and axes[30].axis == [1.0, 0.0, 0.0]
+    got = {(r.node // 2 if r.node != 30 else 30, r.point_id): r.node for r in power.split_by_axes(df, 3).collect()}
+    assert len(got) == 124 and {v for (k, _), v in got.items() if k == 30} == {30}
     for k, cloud in clouds.items():
         side = (cloud - cloud.mean(axis=0)) @ axes[k].axis > 0
         assert [got[k, i] for i in range(60)] == [2 * k + int(b) for b in side]
