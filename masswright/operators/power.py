@@ -626,3 +626,60 @@ def replicate(sites: DataFrame, shifts: list[list[float]]) -> DataFrame:
     moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in [[0.0] * len(shifts[0]), *shifts]])
     rows = sites.select("*", F.posexplode(moves).alias("image", "shift"))
     return rows.withColumn("pos", arrays.add(F.col("pos"), F.col("shift"))).drop("shift")
+
+
+def transform_sites(sites: DataFrame, transformations: list[list[list[float]]]) -> DataFrame:
+    """Sites (batch_id, site_id, pos, weight) and their images under affine maps; image is 0 for the originals.
+
+    A map is a square matrix of one row more than there are axes, which acts on (pos, 1);
+    its last row must be 0, ..., 0, 1.  A null position stays null, others must have the
+    maps' number of axes.  Other columns are kept, but for one named image, which is
+    replaced; no maps give the originals alone, no sites no rows.
+    """
+    dim = len(transformations[0]) - 1 if transformations else 0
+    for m in transformations:
+        if len(m) != dim + 1 or any(len(row) != dim + 1 for row in m) or list(m[-1]) != [0.0] * dim + [1.0]:
+            raise ValueError("a transformation must be an affine map's square matrix, all of one size")
+    x = [F.get("pos", F.lit(d)) for d in range(dim)]
+
+    def moved(m) -> Column:
+        return F.array(*[reduce(lambda a, b: a + b, [F.lit(float(row[d])) * x[d] for d in range(dim)]) + F.lit(float(row[dim])) for row in m[:-1]])
+
+    places = F.array(F.transform("pos", lambda v: v.cast("double")), *[F.when(F.col("pos").isNotNull(), moved(m)) for m in transformations])
+    return sites.select(*[c for c in sites.columns if c not in ("pos", "image")], F.posexplode(places).alias("image", "pos"))
+
+
+def _image_ids(sites: DataFrame, transformations: list[list[list[float]]]) -> DataFrame:
+    """Images as sites of their own, numbered by site, then image; ids too large for that raise an overflow."""
+    n = len(transformations) + 1
+    key = F.try_add(F.try_multiply(F.col("site_id").cast("long"), F.lit(n).cast("long")), F.col("image").cast("long"))
+    rows = transform_sites(sites.select("batch_id", "site_id", "pos", "weight"), transformations)
+    known = F.when(F.col("site_id").isNotNull() & key.isNull(), F.raise_error(F.lit("a site's id is too large for its images")).cast("long")).otherwise(key)
+    return rows.select("batch_id", known.alias("site_id"), "pos", "weight")
+
+
+def _image_columns(n: int) -> dict[str, Column]:
+    image = F.pmod(F.col("site_id"), F.lit(n).cast("long"))
+    return {"image": image.cast("int"), "site_id": F.call_function("div", F.col("site_id") - image, F.lit(n).cast("long"))}
+
+
+def assign_images(points: DataFrame, sites: DataFrame, transformations: list[list[list[float]]]) -> DataFrame:
+    """assign under a metric with transformations: a site is as near as the nearest of it and its images.
+
+    Adds site_id, cost and image (0: the site itself); ties go to the smaller id, then
+    image.  Null positions get a null site and image.  A column of points named image is replaced.
+    """
+    found = assign(points.drop("image"), _image_ids(sites, transformations))
+    return found.withColumns(_image_columns(len(transformations) + 1))
+
+
+def image_cell_integrals(sites: DataFrame, transformations: list[list[list[float]]], grid: DataFrame, knots: list[list[float]], order: int = 0) -> DataFrame:
+    """Integrals over the cells of sites and of their images, which share the grid's box.
+
+    Returns batch_id, site_id, image, mass, first and second: a site's mass is the sum over
+    its images.  Cells without mass have no row.
+    """
+    lo, hi = [float(k[0]) for k in knots], [float(k[-1]) for k in knots]
+    sums = cell_integrals(cells(_image_ids(sites, transformations), lo, hi), grid, knots, order)
+    own = sums.where("neighbor is null and mass <> 0").withColumns(_image_columns(len(transformations) + 1))
+    return own.select("batch_id", "site_id", "image", "mass", "first", "second")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from masswright.functions import arrays
-from masswright.operators import measures, ot1d, solver
+from masswright.operators import measures, ot1d, power, solver
 
 
 def is_discrete(measure: DataFrame) -> bool:
@@ -59,7 +59,9 @@ def barycenters(f: DataFrame, g: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Norm2:
-    """The squared Euclidean distance."""
+    """The squared Euclidean distance to a site, or to the nearest of it and its images under affine maps (see power.transform_sites)."""
+
+    transformations: tuple = ()
 
 
 @dataclass(frozen=True)
@@ -76,6 +78,11 @@ class PeriodicMetric:
         return [p is not None for p in self.period]
 
 
+def nearest_sites(points: DataFrame, sites: DataFrame, metric: Norm2 = Norm2()) -> DataFrame:  # noqa: B008
+    """Points (batch_id, pos, any others) with the site_id, cost and image that are best under the metric."""
+    return power.assign_images(points, sites, list(metric.transformations))
+
+
 def semi_discrete_plan(
     sites: DataFrame,
     grid: DataFrame,
@@ -97,8 +104,11 @@ def semi_discrete_plan(
     Returns one row per site (batch_id, site_id, pos, weight, mass, barycenter,
     second_moment of its cell about the site, offset) and the squared distances (batch_id,
     distance, error).  The Brenier potential at x is the largest x . pos - offset, and its
-    gradient there is that site's pos.  Site ids must be unique in a batch.
+    gradient there is that site's pos.  Site ids must be unique in a batch.  Weights are
+    not solved for under transformations, which raise ValueError.
     """
+    if isinstance(metric, Norm2) and metric.transformations:
+        raise ValueError("plans of a metric with transformations are not supported")
     if "batch_id" not in sites.columns:
         sites = sites.withColumn("batch_id", F.lit(0).cast("long"))
     dim, key = len(knots), ["batch_id", "site_id"]

@@ -586,6 +586,20 @@ def part_assign(spark, sf_dir):
     return found.select("point_id", "site_id", rounded(F.col("cost") * 1000).alias("cost"))
 
 
+#: A quarter turn about the square's centre, and the mirror image across the vertical line through it.
+TURN_AND_MIRROR = [[[0.0, -1.0, 1.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [[-1.0, 0.0, 1.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]]
+
+
+@query(f"""WITH points AS ({POINTS}), sites AS ({SITES}),
+images AS (SELECT sx, sy, w FROM sites UNION ALL SELECT 1 - sy, sx, w FROM sites UNION ALL SELECT 1 - sx, sy, w FROM sites),
+best AS (SELECT rid, point_id, min((px - sx) * (px - sx) + (py - sy) * (py - sy) - w) AS cost FROM points, images GROUP BY ALL)
+SELECT point_id, {r('cost')} AS cost FROM best""")
+def image_assign(spark, sf_dir):
+    """Line items assigned to the sites of part_sites, or to their images by a turn and a mirror."""
+    found = power.assign_images(line_points(spark, sf_dir), part_sites(spark, sf_dir), TURN_AND_MIRROR)
+    return found.select("point_id", rounded("cost").alias("cost"))
+
+
 _INTEGRALS = f"""SELECT site_id, NULL::BIGINT AS neighbor, NULL::INTEGER AS ix, NULL::INTEGER AS iy, {r('mass * 1000')} AS mass, {r('fx * 1000')} AS fx, {r('fy * 1000')} AS fy, {r('second * 1000')} AS second, 0.0::DOUBLE AS facet FROM wholes
 UNION ALL SELECT site_id, neighbor, CAST(ix AS INTEGER), CAST(iy AS INTEGER), 0.0, 0.0, 0.0, 0.0, {r('facet * 10')} FROM edges WHERE neighbor IS NOT NULL AND facet > 1e-7"""
 

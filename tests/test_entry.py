@@ -26,7 +26,7 @@ def rounded(rows):
     return sorted((tuple(None if x is None or x != x else round(x, 5) + 0.0 if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["ot1d_uniform_distance", "ot1d_step_barycenter", "ot1d_affine_cuts", "grid_hist_2d", "power_assign", "power_cell_barycenter", "power_assign_64d", "bisector_planes", "cell_facets", "cell_clip", "cell_integrals", "newton_matrix", "vtk_faces", "lloyd_points", "cell_measure_box", "linspace", "ot1d_discrete_discrete", "cdf_1d", "quantile_1d", "part_assign", "torus_cell_integrals", "ball_newton_matrix", "centroid_derivatives", "obstacle_cell_integrals", "node_axis_split"])
+@pytest.mark.parametrize("name", ["ot1d_uniform_distance", "ot1d_step_barycenter", "ot1d_affine_cuts", "grid_hist_2d", "power_assign", "power_cell_barycenter", "power_assign_64d", "bisector_planes", "cell_facets", "cell_clip", "cell_integrals", "newton_matrix", "vtk_faces", "lloyd_points", "cell_measure_box", "linspace", "ot1d_discrete_discrete", "cdf_1d", "quantile_1d", "part_assign", "image_assign", "torus_cell_integrals", "ball_newton_matrix", "centroid_derivatives", "obstacle_cell_integrals", "node_axis_split"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):

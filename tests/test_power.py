@@ -8,6 +8,7 @@ from masswright.functions import polytopes
 from masswright.functions.jets import DensePolynomial, Jet, bisect_largest_inside, conjugate_gradient, minimize_lbfgs, minimize_sgd
 from masswright.operators import linear, measures, power, regions, solver
 from masswright.plans import ot_plan
+from masswright.session import shared_path
 
 
 def sites(spark, pos, weights=None):
@@ -304,3 +305,44 @@ def test_histogram_and_box(spark):
     assert [tuple(r) for r in power.axis_histogram(df, 0, 4).orderBy("bin").collect()] == [(0, 1, 1), (1, 1, 2), (3, 2, 4)]
     assert tuple(power.bounding_box(df, 2).first()) == (4, [0.0, 2.0], [1.0, 5.0])
     assert power.axis_histogram(df.where(F.lit(False)), 0).count() == 0
+
+
+def test_images_of_sites_under_affine_maps(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pos, weights = rng.random((9, 2)), rng.random(9) * 0.02
+    maps = [[[0.0, -1.0, 1.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [[-0.5, 0.2, 1.0], [0.1, 0.8, 0.1], [0.0, 0.0, 1.0]]]
+    places = np.stack([pos, *[pos @ np.array(m)[:2, :2].T + np.array(m)[:2, 2] for m in maps]], axis=1)
+    lattice = (np.stack(np.meshgrid(*[np.arange(60)] * 2), axis=-1).reshape(-1, 2) + 0.5) / 60
+    cost = ((lattice[:, None, None] - places) ** 2).sum(axis=-1) - weights[:, None]
+    best = cost.reshape(len(lattice), -1).argmin(axis=1)
+    rows = sites(spark, pos, weights).withColumn("site_id", F.col("site_id") - 4)
+    points = spark.createDataFrame([(0, i, p.tolist()) for i, p in enumerate(lattice)] + [(0, len(lattice), None)], "batch_id long, point_id long, pos array<double>")
+    for in_task in (1024, 5):
+        monkeypatch.setattr(power, "SITES_IN_TASK", in_task)
+        found = {r["point_id"]: r for r in power.assign_images(points, rows, maps).collect()}
+        assert found.pop(len(lattice))["site_id"] is None
+        assert [(found[i]["site_id"] + 4) * 3 + found[i]["image"] for i in range(len(lattice))] == best.tolist()
+        assert np.allclose([found[i]["cost"] for i in range(len(lattice))], cost.reshape(len(lattice), -1).min(axis=1))
+    grid = measures.polynomial_grid(spark, [[[1.0]]], [[0.0, 1.0], [0.0, 1.0]])
+    masses = np.zeros(27)
+    for r in power.image_cell_integrals(rows, maps, grid, [[0.0, 1.0], [0.0, 1.0]]).collect():
+        masses[(r["site_id"] + 4) * 3 + r["image"]] = r["mass"]
+    assert masses.sum() == pytest.approx(1) and np.allclose(masses, np.bincount(best, minlength=27) / len(lattice), atol=0.01)
+    assert ot_plan.nearest_sites(points.withColumn("image", F.lit("mine")), rows).where("image <> 0").isEmpty()
+    assert power.assign_images(points, rows.limit(0), maps).isEmpty() and power.assign_images(points.limit(0), rows, maps).isEmpty()
+    with pytest.raises(ValueError, match="not supported"):
+        ot_plan.semi_discrete_plan(rows, grid, [[0.0, 1.0], [0.0, 1.0]], metric=ot_plan.Norm2(tuple(maps)))
+    with pytest.raises(ValueError, match="affine"):
+        power.transform_sites(rows, [[[1.0, 0.0], [0.0, 2.0]]])
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_path(session("spark://a:7077", "hdfs://a/b/"), "x").startswith("hdfs://a/b/x-")
+    assert shared_path(session("local[4]", None), "x").startswith("/tmp/")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_path(session("spark://a:7077", None), "x")
