@@ -17,7 +17,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from masswright.functions import arrays, polytopes
+from masswright.functions import arrays, nearby, polygons, polytopes
 from masswright.functions import cells as cells_of
 from masswright.session import ship_package, stage_table
 
@@ -30,6 +30,10 @@ POINTS_PER_TASK = 100_000
 #: Distances held at a time.
 DISTANCES = 2_000_000
 SITES_PER_TILE = 64
+#: So many near sites are tried first for a cell; cells that may meet more get four times as many.
+NEAR_SITES = 24
+#: Pairs of a polygon and a piece that are integrated at a time.
+PAIRS = 2000
 
 
 def _best_sites(pos: np.ndarray, site_pos: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,22 +196,85 @@ CELL_SCHEMA = (
 )
 
 
-def _site_cell(k: int, pos: np.ndarray, weights: np.ndarray, start: polytopes.Polytope):
-    """The cell of row k within ``start`` against the other rows, nearest first; cut ids are rows."""
-    cell, p, w = start, pos[k], weights[k]
-    top = float(weights.max())
-    gap = np.linalg.norm(pos - p, axis=1)
-    for j in np.argsort(gap, kind="stable"):
-        if j == k or cell.empty:
-            continue
-        r = np.linalg.norm(cell.vertices - p, axis=1).max()
-        if gap[j] > r and (gap[j] - r) ** 2 >= r * r - w + top:
-            break
-        if gap[j] == 0.0:  # the table holds one site of a place
+def _sides(pos: np.ndarray, lo: list[float], hi: list[float], periodic: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The box that every site's cell starts from: on periodic axes half-way to the site's own images."""
+    half = (np.array(hi) - np.array(lo)) / 2
+    return np.where(periodic, pos - half, lo), np.where(periodic, pos + half, hi)
+
+
+def _side_label(d: int, up: int) -> int:
+    return -10 - 2 * d - up
+
+
+def _flat_cells(pos: np.ndarray, weights: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of the rows ``own`` within boxes against all rows: numbers of vertices, vertices, numbers of cuts, cuts as rows or sides.
+
+    A cell meets its nearest sites first, and more only while a farther one may still cut it.
+    """
+    dim, top = pos.shape[1], float(weights.max(initial=0.0))
+    flat = dim == 2
+    if flat:
+        cells = polygons.boxes(low - pos[own], high - pos[own], [_side_label(d, up) for d in range(2) for up in (0, 1)])
+        slack = 1e-15 * (1.0 + np.abs(pos[own]).max(axis=1, initial=0.0))  # rounding of the positions
+    else:
+        cells = [polytopes.box(a, b) for a, b in zip(low, high, strict=True)]
+        for c in cells:
+            c.ids[:] = [_side_label(d, up) for d in range(dim) for up in (0, 1)]
+    k, todo = NEAR_SITES, np.arange(len(own))
+    while len(todo):
+        near, gaps, full = nearby.nearest(pos, own[todo], k)
+        grow = _clip_polygons if flat else _clip_polytopes
+        radius, empty = grow(cells, todo, near, gaps, pos, weights, own, *([slack] if flat else []))
+        reach = radius + np.sqrt(np.maximum(0.0, radius * radius - weights[own[todo]] + top))
+        todo = todo[~empty & (reach >= full)] if k < len(pos) else todo[:0]
+        k *= 4
+    if flat:
+        valid = cells.valid()
+        return cells.n, (cells.vertices + pos[own, None])[valid], cells.n, cells.labels[valid]
+    used = [[c.ids[i] for i in sorted(frozenset().union(*c.on))] if c.on else [] for c in cells]
+    return np.array([len(c.vertices) for c in cells]), np.concatenate([np.zeros((0, dim)), *[c.vertices for c in cells]]), np.array([len(u) for u in used]), np.array(sum(used, []), np.int64)
+
+
+def _clip_polygons(rings, todo, near, gaps, pos, weights, own, slack) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts polygons around their sites by near sites, the strongest ones first; their radii and whether they are empty."""
+    w, theirs = weights[own[todo]], weights[near]
+    order = np.argsort(gaps * gaps - theirs, axis=1, kind="stable")
+    near, gaps, theirs = (np.take_along_axis(x, order, axis=1) for x in (near, gaps, theirs))
+    radius = rings.radii(todo)
+    for c in range(near.shape[1]):
+        g = gaps[:, c]
+        room = radius * radius - w + theirs[:, c]
+        far = (g > radius) & ((g - radius) ** 2 >= room)
+        at = np.flatnonzero((near[:, c] >= 0) & (g > 0) & (rings.n[todo] > 2) & ~far)
+        if not len(at):
             continue
-        d = pos[j] - p
-        cell = polytopes.clip(cell, d, float(p @ d) + (float(d @ d) + w - weights[j]) / 2, int(j))
-    return cell
+        j, g = near[at, c], g[at]
+        cut = rings.clip(todo[at], (pos[j] - pos[own[todo[at]]]) / g[:, None], (g + (w[at] - theirs[at, c]) / g) / 2, j, slack[todo[at]])
+        radius[at[cut]] = rings.radii(todo[at[cut]])
+    return radius, rings.n[todo] <= 2
+
+
+def _clip_polytopes(cells, todo, near, gaps, pos, weights, own) -> tuple[np.ndarray, np.ndarray]:
+    """_clip_polygons in any dimension, one cell after the other, nearest sites first."""
+    radius = np.zeros(len(todo))
+    order = np.argsort(gaps, axis=1, kind="stable")
+    top = float(weights.max())
+    for t, i in enumerate(todo.tolist()):
+        cell, p, w = cells[i], pos[own[i]], weights[own[i]]
+        for c in order[t].tolist():
+            j, gap = int(near[t, c]), gaps[t, c]
+            if j < 0 or cell.empty:
+                break
+            r = np.linalg.norm(cell.vertices - p, axis=1).max()
+            if gap > r and (gap - r) ** 2 >= r * r - w + top:
+                break
+            if gap == 0.0:  # the table holds one site of a place
+                continue
+            d = pos[j] - p
+            cell = polytopes.clip(cell, d, float(p @ d) + (float(d @ d) + w - weights[j]) / 2, j)
+        cells[i] = cell
+        radius[t] = np.linalg.norm(cell.vertices - p, axis=1).max(initial=0.0)
+    return radius, np.array([cells[i].empty for i in todo.tolist()])
 
 
 def _image_shifts(lo: list[float], hi: list[float], periodic: list[bool]) -> np.ndarray:
@@ -263,34 +330,42 @@ def cells(sites: DataFrame, lo: list[float], hi: list[float], periodic: list[boo
 
         pos = regions.positions(table.column("pos"), dim)
         image, weights, ids, batch = (table.column(c).to_numpy() for c in ("_image", "weight", "site_id", "batch_id"))
-        tile = int(table.column("_tile")[0].as_py())
-        own = np.flatnonzero((table.column("_leaf").to_numpy() == tile) & (image == 0) & table.column("_todo").to_numpy(zero_copy_only=False))
+        tile, leaf = int(table.column("_tile")[0].as_py()), table.column("_leaf").to_numpy()
+        own = np.flatnonzero((leaf == tile) & (image == 0) & table.column("_todo").to_numpy(zero_copy_only=False))
         pos = pos + shifts[image]
-        known = set(zip(table.column("_leaf").to_pylist(), image.tolist(), strict=True)) if bounds is not None else set()
-        out = []
-        for k in own.tolist():
-            half = (np.array(hi) - np.array(lo)) / 2
-            start = polytopes.box(np.where(periodic, pos[k] - half, lo), np.where(periodic, pos[k] + half, hi))
-            for d in np.flatnonzero(periodic).tolist():  # half-way to the site's own images
-                start.ids[2 * d], start.ids[2 * d + 1] = -2 * d - 10, -2 * d - 11
-            cell = _site_cell(k, pos, weights, start)
-            used = sorted(frozenset().union(*cell.on)) if cell.on else []
-            cut_ids, moved = [], []
-            for c in used:
-                j = cell.ids[c]
-                d, up = divmod(-10 - j, 2) if j <= -10 else (0, 0)
-                step = (2.0 * half[d] * (2 * up - 1)) * np.eye(dim)[d]
-                cut_ids.append(int(ids[j]) if j >= 0 else int(ids[k]) if j <= -10 else polytopes.BOUNDARY)
-                moved.append((shifts[image[j]] if j >= 0 else step if j <= -10 else np.zeros(dim)).tolist())
-            lacks = []
-            if bounds is not None and len(cell.vertices):
-                r = float(np.linalg.norm(cell.vertices - pos[k], axis=1).max())
-                lacks = [x for x in regions.leaves_in_reach(bounds, shifts, int(batch[k]), pos[k], r, r * r - float(weights[k])) if x not in known]
-            normals, offsets = cell.normals[used].tolist(), cell.offsets[used].tolist()
-            out.append((int(batch[k]), int(ids[k]), pos[k].tolist(), float(weights[k]), cell.closed, cell.vertices.tolist(), normals, offsets, cut_ids, moved, tile, [a for a, _ in lacks], [b for _, b in lacks]))
-        vectors, numbers = pa.list_(pa.list_(pa.float64())), pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.bool_(), vectors, vectors, pa.list_(pa.float64()), numbers, vectors, pa.int64(), numbers, numbers]
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(fields, kinds, strict=True))})
+        low, high = _sides(pos[own], lo, hi, periodic)
+        n, vertices, n_cuts, cut = _flat_cells(pos, weights, own, low, high)
+        # Cuts are rows, or sides of the box: the boundary, or half-way to an image of the site itself.
+        of = np.repeat(np.arange(len(own)), n_cuts)
+        side, k, j = cut < 0, own[of], np.maximum(cut, 0)
+        d, up = np.divmod(np.where(side, -10 - cut, 0), 2)
+        out = (2.0 * up - 1.0)[:, None] * np.eye(dim)[d]
+        normals = np.where(side[:, None], out, pos[j] - pos[k])
+        middle = (pos[k] * normals).sum(axis=1) + ((normals * normals).sum(axis=1) + weights[k] - weights[j]) / 2
+        offsets = np.where(side, np.where(up == 1, high[of, d], -low[of, d]), middle)
+        itself = side & np.array(periodic)[d]
+        cut_ids = np.where(side, np.where(itself, ids[k], polytopes.BOUNDARY), ids[j])
+        moved = np.where(side[:, None], np.where(itself, np.array(hi)[d] - np.array(lo)[d], 0.0)[:, None] * out, shifts[image[j]])
+        rows = more = images = np.zeros(0, np.int64)
+        if bounds is not None and len(own):
+            radius, owner = np.full(len(own), -1.0), np.repeat(np.arange(len(own)), n)
+            np.maximum.at(radius, owner, np.sqrt(((vertices - pos[own[owner]]) ** 2).sum(axis=1)))
+            real = np.flatnonzero(n)
+            rows, more, images = regions.leaves_in_reach(bounds, shifts, int(batch[own[0]]), pos[own[real]], radius[real], radius[real] ** 2 - weights[own[real]])
+            new = ~np.isin(more * len(shifts) + images, np.unique(leaf * len(shifts) + image))
+            rows, more, images = real[rows[new]], more[new], images[new]
+        lacks = np.bincount(rows, minlength=len(own))
+        order = np.argsort(rows, kind="stable")
+
+        def lists(values, counts):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+        def vectors(x):
+            return lists(np.ascontiguousarray(x).ravel(), np.full(len(x), dim))
+
+        columns = [pa.array(batch[own]), pa.array(ids[own]), vectors(pos[own]), pa.array(weights[own]), pa.array(np.ones(len(own), bool)), lists(vectors(vertices), n)]
+        columns += [lists(vectors(normals), n_cuts), lists(offsets, n_cuts), lists(cut_ids, n_cuts), lists(vectors(moved), n_cuts)]
+        return pa.table([*columns, pa.array(np.full(len(own), tile)), lists(more[order], lacks), lists(images[order], lacks)], names=fields)
 
     schema = f"{CELL_SCHEMA}, _tile long, _more array<long>, _images array<long>"
     fields = [x.strip().split(" ")[0] for x in schema.split(", ")]
@@ -340,7 +415,9 @@ def _cells_by_box(diagram: DataFrame, grid: DataFrame, knots: list[list[float]],
     rows = rows.withColumn("idx", F.array(*[F.pmod(x, F.lit(n)).cast("int") for x, n in zip(at_place, sizes, strict=True)]))
     rows = rows.withColumn("turn", F.array(*[(t * F.lit(axis[-1] - axis[0])).cast("double") for t, axis in zip(turns, knots, strict=True)]))
     no_cuts = [F.array().cast("array<array<double>>").alias("piece_normals"), F.array().cast("array<double>").alias("piece_offsets")]
-    return rows.join(grid.select("batch_id", "idx", "lo", "hi", "coeffs"), ["batch_id", "idx"]).select("*", *no_cuts)
+    # Once written, the grid's size is known: a small one is broadcast, so that cells of few boxes do not meet in few tasks.
+    boxes = stage_table(grid.select("batch_id", "idx", "lo", "hi", "coeffs"), "grid-boxes")
+    return rows.join(boxes, ["batch_id", "idx"]).select("*", *no_cuts)
 
 
 def cell_integrals(diagram: DataFrame, grid: DataFrame, knots: list[list[float]], order: int, periodic: list[bool] | None = None, balls: bool = False) -> DataFrame:
@@ -373,6 +450,11 @@ def _integrate(joined: DataFrame, dim: int, order: int, balls: bool) -> DataFram
     exponents = arrays.grid_exponents(order, dim)
     degree = order * dim + 2
 
+    def work_flat(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIRS):
+                yield _integrate_flat(batch.slice(at, PAIRS), names, exponents, degree, balls)
+
     def work(batches):
         import pyarrow as pa
 
@@ -388,7 +470,7 @@ def _integrate(joined: DataFrame, dim: int, order: int, balls: bool) -> DataFram
                 cuts = list(zip(rows["cut_normals"][k], rows["cut_offsets"][k], rows["cut_ids"][k], strict=True))
                 for c, (n, o, i) in enumerate(cuts):
                     part = polytopes.clip(part, n, o, c if i >= 0 else polytopes.BOUNDARY)
-                if part.empty or balls and rows["weight"][k] <= 0:
+                if part.empty:
                     continue
 
                 def density(x, coeffs=coeffs, turn=turn):
@@ -396,18 +478,8 @@ def _integrate(joined: DataFrame, dim: int, order: int, balls: bool) -> DataFram
                     return sum(c * np.prod([x[:, d] ** e for d, e in enumerate(powers)], axis=0) for c, powers in zip(coeffs, exponents, strict=True))
 
                 arc = 0.0
-                if balls:
-                    ring = polytopes.ring(part)
-                    held = polytopes.disk_part(part.vertices[ring], pos, float(rows["weight"][k]) ** 0.5, degree)
-                    x, w = held.inside
-                    arc = float(held.arcs[1] @ density(held.arcs[0])) if len(held.arcs[1]) else 0.0
-                    faces = []
-                    for i, e in enumerate(held.edges):
-                        shared = [c for c in part.on[ring[i]] & part.on[ring[(i + 1) % len(ring)]] if part.ids[c] >= 0]
-                        faces += [(part.ids[c], e) for c in shared[:1] if len(e[1])]
-                else:
-                    x, w = polytopes.quadrature([part.vertices[s] for s in polytopes.simplices(part)], degree)
-                    faces = [(part.ids[c], polytopes.quadrature(polytopes.facet_simplices(part, members, c), degree)) for c, members in polytopes.facets(part) if part.ids[c] >= 0]
+                x, w = polytopes.quadrature([part.vertices[s] for s in polytopes.simplices(part)], degree)
+                faces = [(part.ids[c], polytopes.quadrature(polytopes.facet_simplices(part, members, c), degree)) for c, members in polytopes.facets(part) if part.ids[c] >= 0]
                 if len(w):
                     m = w * density(x)
                     out.append((rows["batch_id"][k], rows["site_id"][k], (pos - turn).tolist(), rows["idx"][k], None, None, float(m.sum()), (m @ x).tolist(), float(m @ (x * x).sum(axis=1)), arc, 0.0, zero, zero * dim))
@@ -422,7 +494,84 @@ def _integrate(joined: DataFrame, dim: int, order: int, balls: bool) -> DataFram
 
     schema = "batch_id long, site_id long, pos array<double>, idx array<int>, neighbor long, shift array<double>, mass double, first array<double>, second double, arc double, facet double, facet_first array<double>, facet_second array<double>"
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    return joined.select("batch_id", "site_id", "pos", "idx", "weight", "lo", "hi", "turn", "coeffs", "piece_normals", "piece_offsets", "cut_normals", "cut_offsets", "cut_ids", "cut_shifts").mapInArrow(work, schema)
+    return joined.select("batch_id", "site_id", "pos", "idx", "weight", "lo", "hi", "turn", "coeffs", "piece_normals", "piece_offsets", "cut_normals", "cut_offsets", "cut_ids", "cut_shifts").mapInArrow(work_flat if dim == 2 else work, schema)
+
+
+def _padded(column, dim: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow column of lists of numbers, or of vectors, as rows of one length, and the lists' lengths."""
+    import pyarrow.compute as pc
+
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten()
+    values = (values.flatten() if dim else values).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(n), int(n.max(initial=0)), *([dim] if dim else [])), values.dtype)
+    out[np.arange(out.shape[1]) < n[:, None]] = values.reshape(-1, dim) if dim else values
+    return out, n
+
+
+def _integrate_flat(batch, names: list[str], exponents: list, degree: int, balls: bool):
+    """_integrate in two dimensions for all rows of a batch at once, in coordinates around the sites."""
+    import pyarrow as pa
+
+    pos, lo, hi, turn, coeffs = (_padded(batch.column(c))[0] for c in ("pos", "lo", "hi", "turn", "coeffs"))
+    weight = batch.column("weight").to_numpy()
+    slack = 1e-15 * (1.0 + np.abs(pos).max(axis=1, initial=0.0))
+    rings = polygons.boxes(lo + turn - pos, hi + turn - pos)
+    if balls:
+        rings.n[weight <= 0] = 0
+    ids = _padded(batch.column("cut_ids"))[0]
+    for kind in ("piece", "cut"):
+        normals, n = _padded(batch.column(f"{kind}_normals"), 2)
+        offsets = _padded(batch.column(f"{kind}_offsets"))[0]
+        for c in range(normals.shape[1]):
+            at = np.flatnonzero((n > c) & (rings.n > 2))
+            size = np.sqrt((normals[at, c] ** 2).sum(axis=1))
+            at, size = at[size > 0], size[size > 0]
+            if len(at):
+                labels = np.where(ids[at, c] >= 0, c, polytopes.BOUNDARY) if kind == "cut" else np.full(len(at), polytopes.BOUNDARY)
+                rings.clip(at, normals[at, c] / size[:, None], (offsets[at, c] - (normals[at, c] * pos[at]).sum(axis=1)) / size, labels, slack[at])
+
+    N = batch.num_rows
+    center = pos - turn
+
+    def weighed(nodes, of):
+        """Nodes with the density in their weights, around the origin of the grid."""
+        x = nodes.x + center[of, None]
+        density = sum(coeffs[of, c, None] * np.prod([x[:, :, d] ** e for d, e in enumerate(powers)], axis=0) for c, powers in enumerate(exponents))
+        return nodes.x + pos[of, None], nodes.w * density
+
+    def total(of, x, n):
+        return np.bincount(of, weights=x, minlength=n)
+
+    arc = np.zeros(N)
+    if balls:
+        inside, arcs, (k, label, edges) = polygons.disk_nodes(rings, np.sqrt(np.maximum(weight, 0.0)), degree)
+        arc = total(arcs.of, weighed(arcs, arcs.of)[1].sum(axis=1), N)
+    else:
+        inside, (k, label, edges) = [polygons.inside_nodes(rings, degree)], polygons.edge_nodes(rings, degree)
+    sums = np.zeros((4, N))
+    for nodes in inside:
+        x, m = weighed(nodes, nodes.of)
+        for i, f in enumerate((1.0, x[:, :, 0], x[:, :, 1], (x * x).sum(axis=2))):
+            sums[i] += total(nodes.of, (m * f).sum(axis=1), N)
+    x, m = weighed(edges, k)
+    facet = np.stack([(m * f).sum(axis=1) for f in (1.0, x[:, :, 0], x[:, :, 1], x[:, :, 0] ** 2, x[:, :, 0] * x[:, :, 1], x[:, :, 1] ** 2)])
+    own = np.flatnonzero(rings.n > 2)
+    a, b, at = len(own), len(k), np.concatenate([own, k])
+
+    def column(first, second):
+        return pa.array(np.concatenate([first, second]))
+
+    def vector(first, second, n):
+        return pa.ListArray.from_arrays(pa.array(np.arange(a + b + 1) * n, pa.int32()), pa.array(np.concatenate([first, second]).ravel()))
+
+    cut_shifts = _padded(batch.column("cut_shifts"), 2)[0]
+    shift = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(a), np.arange(b + 1) * 2]), pa.int32(), mask=np.arange(a + b + 1) < a), pa.array((cut_shifts[k, label] if b else np.zeros((0, 2))).ravel()))
+    columns = [batch.column("batch_id").take(pa.array(at)), batch.column("site_id").take(pa.array(at)), vector(center[own], center[k], 2), batch.column("idx").take(pa.array(at))]
+    columns += [pa.array(np.concatenate([np.zeros(a, np.int64), ids[k, label] if b else np.zeros(0, np.int64)]), mask=np.arange(a + b) < a), shift]
+    columns += [column(sums[0, own], np.zeros(b)), vector(sums[1:3, own].T, np.zeros((b, 2)), 2), column(sums[3, own], np.zeros(b)), column(arc[own], np.zeros(b))]
+    columns += [column(np.zeros(a), facet[0]), vector(np.zeros((a, 2)), facet[1:3].T, 2), vector(np.zeros((a, 4)), facet[[3, 4, 4, 5]].T, 4)]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _sum_parts(parts: DataFrame, dim: int) -> DataFrame:
@@ -464,6 +613,7 @@ def piece_integrals(diagram: DataFrame, pieces: DataFrame, dim: int, order: int
     rows = diagram.where(F.size("vertices") > dim)
     for name, f in (("low", F.array_min), ("high", F.array_max)):
         rows = rows.withColumn(name, F.array(*[f(cells_of.axis_values(at, d)) for d in range(dim)]))
+    pieces = stage_table(pieces, "pieces")  # a small table of known size is broadcast
     ends = pieces.groupBy("batch_id").agg(*[f(F.get(c, F.lit(d))).alias(f"{n}{d}") for d in range(dim) for f, c, n in ((F.min, "lo", "a"), (F.max, "hi", "b"))])
 
     def place(x: Column, d: int) -> Column:

@@ -231,12 +231,18 @@ def tiles_around(bounds: LeafBounds, shifts: np.ndarray, n: int) -> list[tuple[i
     return out
 
 
-def leaves_in_reach(bounds: LeafBounds, shifts: np.ndarray, batch: int, pos: np.ndarray, radius: float, room: float) -> list[tuple[int, int]]:
-    """(leaf, image) with a site that may cut a cell: its points are at most ``radius`` from ``pos``, and ``room`` is radius**2 less the weight."""
+def leaves_in_reach(bounds: LeafBounds, shifts: np.ndarray, batch: int, pos: np.ndarray, radius: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, image) with a site that may cut a row's cell: its points are at most ``radius`` from ``pos``, and ``room`` is radius**2 less the weight."""
     own = np.flatnonzero((bounds.batch == batch) & (bounds.n > 0))
-    reach = radius + np.sqrt(np.maximum(0.0, room + bounds.best_weight[own]))
-    out = []
+    found = [[np.zeros(0, np.int64)] * 3]
+    if not len(pos):
+        return tuple(found[0])
+    # Only leaves near the box of all rows are met with each of them.
+    lo, hi = pos.min(axis=0), pos.max(axis=0)
+    farthest = radius.max() + np.sqrt(np.maximum(0.0, room.max() + bounds.best_weight[own]))
     for image, s in enumerate(shifts):
-        gap = _box_gaps(bounds.lo[own] + s, bounds.hi[own] + s, pos, pos)
-        out += [(int(k), image) for k in own[gap <= reach * (1 + SLACK)]]
-    return out
+        for k in own[_box_gaps(bounds.lo[own] + s, bounds.hi[own] + s, lo, hi) <= farthest * (1 + SLACK)]:
+            reach = radius + np.sqrt(np.maximum(0.0, room + bounds.best_weight[k]))
+            rows = np.flatnonzero(_box_gaps(bounds.lo[k] + s, bounds.hi[k] + s, pos, pos) <= reach * (1 + SLACK))
+            found.append([rows, np.full(len(rows), k), np.full(len(rows), image)])
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
