@@ -653,12 +653,15 @@ def matrix_terms(integrals: DataFrame, sites: DataFrame) -> DataFrame:
     balls, which grow by arc / (2 radius).  Facets between images of one site cancel.
     ``sites`` are those of the diagram, with positions inside a periodic box.
     """
-    off = _facets(integrals, sites).where("row != col")
-    off = off.select("batch_id", "row", "col", (-F.col("facet") / (2 * F.col("apart"))).alias("val"))
-    both = off.unionByName(off.select("batch_id", "row", F.col("row").alias("col"), (-F.col("val")).alias("val")))
-    arcs = integrals.where("arc > 0").join(sites.select("batch_id", "site_id", "weight"), ["batch_id", "site_id"])
-    arcs = arcs.select("batch_id", F.col("site_id").alias("row"), F.col("site_id").alias("col"), (F.col("arc") / (2 * F.sqrt("weight"))).alias("val"))
-    return sum_triplets(both.unionByName(arcs))
+    # Every row gives its triplets at once: to take the integrals twice is to compute them twice.
+    p = sites.select("batch_id", F.col("site_id").alias("row"), F.col("pos").alias("pos0"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    q = sites.select("batch_id", F.col("site_id").alias("col"), F.col("pos").alias("pos1"))
+    rows = integrals.where("neighbor != site_id or arc > 0").withColumnsRenamed({"site_id": "row", "neighbor": "col"})
+    rows = rows.join(p, ["batch_id", "row"]).join(q, ["batch_id", "col"], "left")
+    val = -F.col("facet") / (2 * arrays.norm(arrays.subtract(arrays.add(F.col("pos1"), F.col("shift")), F.col("pos0"))))
+    terms = [F.struct(F.col(c).alias("col"), x.alias("val")) for c, x in (("col", val), ("row", -val), ("row", F.col("arc") / (2 * F.sqrt("weight"))))]
+    each = F.when(F.col("col").isNull(), F.array(terms[2])).otherwise(F.array(*terms[:2]))
+    return sum_triplets(rows.select("batch_id", "row", F.explode(each).alias("t")).select("batch_id", "row", "t.*"))
 
 
 def centroid_jacobian(integrals: DataFrame, sites: DataFrame, dim: int) -> DataFrame:
@@ -673,6 +676,7 @@ def centroid_jacobian(integrals: DataFrame, sites: DataFrame, dim: int) -> DataF
     Returns batch_id, row, row_axis, col, col_axis, val; integrals are those of whole cells
     (without balls), ``sites`` those of the diagram.  Cells without mass have no rows.
     """
+    integrals = stage_table(integrals, "integrals")  # read twice
     whole = integrals.where("neighbor is null and mass > 0").select("batch_id", F.col("site_id").alias("row"), F.col("mass").alias("cell_mass"), F.transform("first", lambda x: x / F.col("mass")).alias("centroid"))
     rows = _facets(integrals, sites).join(whole, ["batch_id", "row"])
     moment = [F.get("facet_first", F.lit(d)) for d in range(dim)]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from masswright.functions import nearby, polygons, polytopes
 from masswright.operators import measures, power
@@ -68,3 +69,18 @@ def test_cells_of_one_box_are_not_moved_to_it(spark):
     cells = power.cells(sites(spark, np.array([[0.2, 0.3], [0.7, 0.6]])), [0.0, 0.0], [1.0, 1.0])
     joined = power._cells_by_box(cells, measures.polynomial_grid(spark, [[[1.0]]]), [[0.0, 1.0]] * 2, None)
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newton_matrix_takes_the_integrals_once(spark):
+    rng = np.random.default_rng(4)
+    table = sites(spark, rng.random((12, 2)), np.full(12, 0.02))
+    sums = power.cell_integrals(power.cells(table, [0.0, 0.0], [1.0, 1.0]), measures.polynomial_grid(spark, [[[1.0]]]), [[0.0, 1.0]] * 2, 0, balls=True)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = power.matrix_terms(sums.mapInArrow(count, sums.schema), table).groupBy("batch_id").agg(F.count("val")).collect()
+    assert rows and seen.value == sums.count()
