@@ -61,3 +61,41 @@ def nearest(pos: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         near[own, :m], gaps[own, :m] = others[at], np.sqrt(found)
         full[own] = np.minimum(seen, np.sqrt(found.max(axis=1)) if m < len(others) else np.inf)
     return near, gaps, full
+
+
+def best_sites(pos: np.ndarray, sites: np.ndarray, weights: np.ndarray, brute, slack: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """What ``brute(pos, sites, weights)`` gives, index and cost of the best site of every position, the first of equal ones.
+
+    Positions are halved; a site stays with a half if it may beat, somewhere in its box, the
+    site that is best at the box's centre.  The difference of two costs is linear in the
+    position, so its least value is at a corner.
+    """
+    best, cost = np.zeros(len(pos), np.int64), np.full(len(pos), np.nan)
+    real = np.isfinite(pos).all(axis=1)
+    odd = np.flatnonzero(~real & ~np.isnan(pos).any(axis=1))
+    if len(odd):
+        best[odd], cost[odd] = brute(pos[odd], sites, weights)
+    size = max(float(np.abs(pos[real]).max(initial=0.0)), float(np.abs(sites).max(initial=0.0)))
+    slack *= 1.0 + 4 * pos.shape[1] * size * size + float(np.abs(weights).max(initial=0.0))
+    square = (sites * sites).sum(axis=1) - weights
+    todo = [(np.flatnonzero(real), np.arange(len(sites)))]
+    while todo:
+        rows, left = todo.pop()
+        if not len(rows):
+            continue
+        x = pos[rows]
+        lo, hi = x.min(axis=0), x.max(axis=0)
+        if len(left) > 1:
+            p = sites[left]
+            middle = (lo + hi) / 2
+            rival = left[np.argmin(square[left] - 2 * p @ middle)]
+            step = p - sites[rival]
+            least = square[left] - square[rival] - 2 * np.where(step > 0, step * hi, step * lo).sum(axis=1)
+            left = left[least <= slack]
+        parts = _halves(pos, rows) if len(left) > 4 and len(rows) > BLOCK else [rows]
+        if len(parts) == 1:
+            at, cost[rows] = brute(x, sites[left], weights[left])
+            best[rows] = left[at]
+        else:
+            todo += [(part, left) for part in parts]
+    return best, cost

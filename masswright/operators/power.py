@@ -108,7 +108,7 @@ def assign(points: DataFrame, sites: DataFrame, keys: list[str] | None = None) -
         best, cost = np.zeros(points.num_rows, np.int64), np.full(points.num_rows, np.nan)
         ids = order.column("site_id").to_numpy()
         if len(ids) and points.num_rows:
-            best, cost = _best_sites(regions.positions(points.column("pos"), dim), regions.positions(order.column("pos"), dim), order.column("weight").to_numpy())
+            best, cost = nearby.best_sites(regions.positions(points.column("pos"), dim), regions.positions(order.column("pos"), dim), order.column("weight").to_numpy(), _best_sites)
             best = ids[best]
         columns = [points.column(c).combine_chunks() for c in names]
         table = pa.Table.from_batches([_with_site(columns, names, best, cost)])

@@ -32,6 +32,25 @@ def test_nearest_leaves_none_out(kind, dim):
     assert np.isinf(nearby.nearest(x[:9], np.arange(9), 12)[2]).all()
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_best_sites_equal_all_pairs_in_few(kind):
+    rng = np.random.default_rng(8)
+    p, x = places(kind, 3000), np.concatenate([places("even", 5000) * 1.4 - 0.2, [[np.nan, 0.5], [np.inf, 0.5]], np.full((500, 2), 0.25)])
+    w = rng.integers(0, 3, len(p)) * 1e-4
+    pairs = []
+
+    def brute(a, b, c):
+        pairs.append(len(a) * len(b))
+        return power._best_sites(a, b, c)
+
+    best, cost = nearby.best_sites(x, p, w, brute)
+    want, least = power._best_sites(x, p, w)
+    real = np.isfinite(least)
+    assert best[real].tolist() == want[real].tolist() and cost[real].tolist() == least[real].tolist()
+    assert np.isnan(cost[5000]) and np.isinf(cost[5001])
+    assert kind == "clustered" or sum(pairs) < len(x) * len(p) / 20
+
+
 @pytest.mark.parametrize("spread", [1e-5, 1e-2])  # with the second, most sites have no cell
 def test_cells_of_a_tile_meet_near_sites(spread):
     rng = np.random.default_rng(2)
