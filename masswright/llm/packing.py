@@ -19,7 +19,7 @@ within their length, in Spark.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -38,6 +38,10 @@ ROUNDS = 32
 ETA = 0.02
 #: Configurations are taken if their price is at most this share below the best.
 DELTA = 0.004
+#: Shares of the prices of the best bound in those at which a restricted program's solution is priced.
+SHARES = (0.9, 0.7, 0.5, 0.3, 0.0)
+#: Pairs of lengths within configurations that an interior point step adds up one by one, at most.
+PAIRS = 2_000_000
 
 #: Indices of lengths, how often each occurs, and the number of sequences of this kind.
 Pattern = tuple[np.ndarray, np.ndarray, int]
@@ -86,6 +90,26 @@ def take_configurations(lengths: np.ndarray, values: np.ndarray, best: np.ndarra
     return taken
 
 
+def normal_matrix(cover: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The function of weights w that gives cover @ diag(w) @ cover.T.
+
+    A configuration holds few lengths, so only the pairs of its own are added up; where
+    these are more than PAIRS, the dense product takes less memory.
+    """
+    kinds, columns = np.nonzero(cover)
+    order = np.argsort(columns, kind="stable")
+    kinds, columns = kinds[order], columns[order]
+    n = np.bincount(columns, minlength=cover.shape[1])
+    if int((n * n).sum()) > PAIRS:
+        return lambda w: (cover * w) @ cover.T
+    each = n[columns]
+    left = np.repeat(np.arange(len(kinds)), each)
+    right = np.repeat((np.cumsum(n) - n)[columns], each) + np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)
+    at, of = kinds[left] * len(cover) + kinds[right], columns[left]
+    times = cover[kinds[left], of] * cover[kinds[right], of]
+    return lambda w: np.bincount(at, times * w[of], len(cover) ** 2).reshape(len(cover), len(cover))
+
+
 def solve_restricted(columns: list[tuple[int, ...]], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the given configurations, at least covering ``counts``, whose sum is least to 1e-4, and the lengths' prices.
 
@@ -96,6 +120,7 @@ def solve_restricted(columns: list[tuple[int, ...]], counts: np.ndarray) -> tupl
     cover = np.zeros((len(counts), len(columns)))
     for k, used in enumerate(columns):
         np.add.at(cover[:, k], list(used), 1.0)
+    normal = normal_matrix(cover)
     prices = np.full(len(counts), 0.9 / cover.sum(axis=0).max())
     numbers = np.full(len(columns), 2.0 * float((counts / cover.sum(axis=1)).max()))
     spare, over = costs - prices @ cover, cover @ numbers - counts
@@ -105,7 +130,7 @@ def solve_restricted(columns: list[tuple[int, ...]], counts: np.ndarray) -> tupl
             break
         aim = 0.1 * gap / (len(numbers) + len(prices))
         first, second = aim / spare - numbers, aim / prices - over
-        system = (cover * (numbers / spare)) @ cover.T
+        system = normal(numbers / spare)
         system[np.diag_indices(len(prices))] += over / prices
         move = np.linalg.solve(system, second - cover @ first)
         d_spare = -(move @ cover)
@@ -120,15 +145,19 @@ def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
     """Configurations and their fractional numbers, which cover all counts; their total, within ``gap`` of the last; a lower bound of any cover.
 
     The solution is the mean of the rounds since the last power of two, so that it forgets
-    the first prices.
+    the first prices.  The restricted program's own prices may be far too high for a length
+    that few of its configurations hold, and then give a poor bound and configurations of
+    that length alone.  So each of its solutions is priced several times: at prices on the
+    way to those of the best bound so far (SHARES), and at its own.
     """
-    behind, low, mean = np.zeros(len(lengths)), 0.0, {}
+    behind, low, mean, known = np.zeros(len(lengths)), 0.0, {}, np.zeros(len(lengths))
     for rounds in range(ROUNDS):
         if rounds & (rounds - 1) == 0:
             cover, mean = np.zeros(len(lengths)), {}
         values = lengths * np.exp(ETA * behind)
         best = price_capacities(lengths, values, capacity)
-        low = max(low, float(counts @ values) / best[capacity])
+        if (bound := float(counts @ values) / best[capacity]) > low:
+            low, known = bound, values / best[capacity]
         behind += 1
         got = np.zeros(len(lengths))
         for used, number in take_configurations(lengths, values, best, counts * np.minimum(behind, 2.0)):
@@ -142,12 +171,17 @@ def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
     columns = list(dict.fromkeys([*mean, *[(k,) * int(capacity // n) for k, n in enumerate(lengths.tolist())]]))
     while True:
         numbers, prices = solve_restricted(columns, counts)
-        best = price_capacities(lengths, prices, capacity)
-        low, value = max(low, float(counts @ prices) / best[capacity]), float(numbers.sum())
-        if value <= (1 + gap) * low:
-            return {used: float(x) for used, x in zip(columns, numbers, strict=True)}, value, low
-        # Prices past the gap mean that configurations near the best one cost less than what they cover.
-        columns = list(dict.fromkeys([*columns, *[used for used, _ in take_configurations(lengths, prices, best, counts.astype(float))]]))
+        value, center, found = float(numbers.sum()), known, []
+        for share in SHARES:
+            mixed = share * center + (1 - share) * prices
+            best = price_capacities(lengths, mixed, capacity)
+            if (bound := float(counts @ mixed) / best[capacity]) > low:
+                low, known = bound, mixed / best[capacity]
+            if value <= (1 + gap) * low:
+                return {used: float(x) for used, x in zip(columns, numbers, strict=True)}, value, low
+            found += [used for used, _ in take_configurations(lengths, mixed, best, counts.astype(float))]
+        # At the program's own prices (share 0), a bound past the gap means that configurations near the best one cost less than what they cover.
+        columns = list(dict.fromkeys([*columns, *found]))
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[Pattern]:

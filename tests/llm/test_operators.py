@@ -397,6 +397,31 @@ def test_hard_histograms_meet_the_stated_gap():
         assert sequences(packing.plan_packing(lengths, counts, 2048)[0], lengths, counts, 2048) <= 1.006 * bound + 12
 
 
+def test_few_restricted_programs_meet_the_gap(monkeypatch):
+    """A rare short length, whose price in the restricted program is far too high."""
+    for seed in (3, 10):
+        rng = np.random.default_rng(seed)
+        pieces = [rng.normal(76.8, 15.36, 1000).astype(int), rng.integers(17, 512, 200), [10]]
+        lengths, counts = np.unique(np.concatenate(pieces), return_counts=True)
+        solve, solved = packing.solve_restricted, []
+        with monkeypatch.context() as m:
+            m.setattr(packing, "solve_restricted", lambda *a, f=solve, n=solved: n.append(1) or f(*a))
+            solution, value, bound = packing.solve_configurations(lengths, counts, 512)
+        assert len(solved) <= 15
+        cover = np.zeros(len(lengths))
+        for used, number in solution.items():
+            np.add.at(cover, list(used), number)
+        assert (cover >= counts * (1 - 1e-6)).all() and counts @ lengths / 512 <= bound <= value <= 1.005 * bound
+
+
+def test_normal_matrix_equals_the_dense_product(monkeypatch):
+    rng = np.random.default_rng(2)
+    cover, weights = rng.integers(0, 3, (9, 20)).astype(float), rng.random(20)
+    for pairs in (packing.PAIRS, 0):
+        monkeypatch.setattr(packing, "PAIRS", pairs)
+        assert np.allclose(packing.normal_matrix(cover)(weights), (cover * weights) @ cover.T)
+
+
 def test_the_program_handles_a_wide_histogram():
     rng = np.random.default_rng(7)
     lengths = np.unique(np.minimum(2048, np.exp(rng.normal(6, 1.1, 4000)).astype(int) + 2))
